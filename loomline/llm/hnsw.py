@@ -11,8 +11,8 @@ from .common import cut, shuffle_partitions, table
 from .components import components
 
 #: Vectors of a shard (about), links of a node on the ground layer and above, first beam, recall that audits ask for.
-SHARD, GROUND, UPPER, BEAM, RECALL = 4096, 32, 16, 48, 0.995
-BLOCK, AT_ONCE = 256, 4
+SHARD, GROUND, UPPER, BEAM, RECALL = 4096, 32, 16, 48, 0.999
+BLOCK, AT_ONCE = 256, 16
 
 
 class Graph:
@@ -45,7 +45,30 @@ class Graph:
             links[new] = self._spread(cand, sim, degree)
             self._back(links, new, degree)
             done += len(new)
-        self.layers.append(links)
+        self.layers.append(self._mended(links, nodes))
+
+    def _mended(self, links: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Choosing links anew can leave a node that no walk reaches: link it from the nearest reached one."""
+        while True:
+            seen = np.zeros(len(self.x), bool)
+            edge = nodes[:1]
+            while len(edge):
+                seen[edge] = True
+                edge = np.unique(links[edge])
+                edge = edge[edge >= 0]
+                edge = edge[~seen[edge]]
+            lost, good = nodes[~seen[nodes]], nodes[seen[nodes]]
+            if not len(lost):
+                return links
+            lost = lost[:BLOCK]
+            near = good[(self.x[lost] @ self.x[good].T).argmax(axis=1)]
+            order = np.argsort(near, kind="stable")
+            near, lost = near[order], lost[order]
+            first = np.flatnonzero(np.diff(near, prepend=-1))
+            column = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
+            more = np.full((len(links), column.max() + 1), -1, np.int64)
+            more[near, column] = lost
+            links = np.concatenate([links, more], axis=1)
 
     def _spread(self, cand: np.ndarray, sim: np.ndarray, degree: int) -> np.ndarray:
         """Up to `degree` of each row's candidates: nearest first, passing over those nearer to a chosen one; then the nearest rest."""
@@ -174,17 +197,16 @@ class Shard:
         """Confirmed (query, member) links of a block; the beam widens until an audit of the block by brute force passes."""
         audit = np.arange(0, len(unit), 8)
         truth = unit[audit] @ self.unit.T >= self.least
-        while True:
+        while self.beam < len(self.ids):
             a, b = self.graph.within(unit, self.least - 1e-4, self.beam)
             true = np.einsum("nd,nd->n", unit[a], self.unit[b]) >= self.least
             a, b = a[true], b[true]
             found = np.zeros((len(unit), len(self.ids)), bool)
             found[a, b] = True
-            if self.beam >= len(self.ids) or (found[audit] & truth).sum() >= RECALL * truth.sum():
+            if (found[audit] & truth).sum() >= RECALL * truth.sum():
                 return a, b
             self.beam *= 2
-            if self.beam >= len(self.ids):  # the widest beam is the whole shard
-                return np.nonzero(unit @ self.unit.T >= self.least)
+        return np.nonzero(unit @ self.unit.T >= self.least)  # the widest beam is the whole shard
 
     def told(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray):
         """(id, links, member): for each query and each local component that it meets, the links and one member."""
