@@ -15,7 +15,7 @@ from .common import mix, randoms, table
 from .shingles import batches, shingle_sets
 
 #: Bounds of the training sample: labelled rows of each kind, and the longest text among them.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 2500, 4500, 12_000
+MOST_TOXIC, MOST_CLEAN, LONGEST = 1500, 3000, 6_000
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 15, 8, 12, 12
 GRAMS = (3, 5, 7)
@@ -187,17 +187,26 @@ def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _log_odds(buckets: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket the log odds that a text with it is toxic, from the texts that hold it; whether these are enough."""
-    pairs = np.unique(text * BUCKETS + buckets)
-    b, toxic = pairs % BUCKETS, y[pairs // BUCKETS]
-    one, all_ = np.bincount(b, weights=toxic, minlength=BUCKETS), np.bincount(b, minlength=BUCKETS)
-    base = y.mean()
-    share = np.clip(one / np.maximum(all_, 1), 1e-9, 1 - 1e-9)
-    surprise = all_ * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    known = (share > base) & (surprise > EVIDENCE)
-    odds = np.clip(np.log((one + base) / (all_ - one + 1 - base) * (1 - base) / base), 0, 5)
-    return np.where(known, odds, 0).astype(np.float32), known
+def _log_odds(texts: list[str | None], y: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For the buckets of words and of n-grams: log odds that a text that holds one is toxic, and whether enough texts say so."""
+    one, all_ = {k: np.zeros(BUCKETS) for k in ("word", "gram")}, {k: np.zeros(BUCKETS) for k in ("word", "gram")}
+    for i, j in batches(texts, 1 << 18):
+        w = Words(texts[i:j])
+        owner = np.repeat(np.arange(j - i), np.diff(w.offsets))
+        many = np.diff(np.append(w.first, len(w.gram)))[w.index]
+        at = np.repeat(w.first[w.index], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        for k, buckets, of in (("word", w.word[w.index], owner), ("gram", w.gram[at], np.repeat(owner, many))):
+            pairs = np.unique(of * BUCKETS + buckets)
+            one[k] += np.bincount(pairs % BUCKETS, weights=y[i:j][pairs // BUCKETS], minlength=BUCKETS)
+            all_[k] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+    base, out = y.mean(), {}
+    for k in one:
+        share = np.clip(one[k] / np.maximum(all_[k], 1), 1e-9, 1 - 1e-9)
+        surprise = all_[k] * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+        known = (share > base) & (surprise > EVIDENCE)
+        odds = np.clip(np.log((one[k] + base) / (all_[k] - one[k] + 1 - base) * (1 - base) / base), 0, 5)
+        out[k] = np.where(known, odds, 0).astype(np.float32), known
+    return out
 
 
 def _unlike(texts: list[str | None]) -> np.ndarray:
@@ -225,17 +234,13 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 8, batch: int =
         p["out"][:] = 0
         p["shift"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 9))
         return p | {"slope": np.zeros(1, np.float32)}
+    odds = _log_odds(texts, y)
+    word_known, gram_known = odds["word"][1], odds["gram"][1]
+    for k in ("word", "gram"):
+        p[k][:, 0] = 0.5 * odds[k][0]
+        p[k] *= odds[k][1][:, None]
     words = Words(texts)
     at, text = words.windows()
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets))
-    odds, word_known = _log_odds(words.word[words.index], owner, y)
-    p["word"][:, 0] = 0.5 * odds
-    p["word"] *= word_known[:, None]
-    many = np.diff(np.append(words.first, len(words.gram)))[words.index]
-    gram_at = np.repeat(words.first[words.index], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    odds, gram_known = _log_odds(words.gram[gram_at], np.repeat(owner, many), y)
-    p["gram"][:, 0] = 0.5 * odds
-    p["gram"] *= gram_known[:, None]
     for d in "fb":
         p[f"x{d}"][[0, WIDTH]] += np.float32(0.5)
     words.told(p)
