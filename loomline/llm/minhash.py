@@ -14,7 +14,7 @@ from .shingles import batches, set_key, shingle_sets
 PERMUTATIONS, ROWS = 80, 5
 #: Members of a hub that one group verifies; a larger hub is dealt to more groups.
 GROUP = 128
-#: Hub turns before what is left is compared pair by pair.
+#: Turns; the last one searches what is left by its rarest shingles.
 TURNS = 3
 
 
@@ -99,8 +99,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, permutations
 
     Copies share a class from their set's key on; only one of them goes on. Candidates meet in a band's bucket. Each
     bucket first compares its members with one hub, and links join them into components; buckets that still hold
-    several components take other hubs, and after TURNS of these all pairs of different components that were not
-    compared yet. So no link between components is lost, and large groups of likes cost a comparison a member.
+    several components take other hubs, and after TURNS of these what is left is searched exactly by its rarest
+    shingles (prefix_pairs). So no candidate link between components is lost, large groups of likes cost a comparison
+    a member, and large groups of half-likes are not compared pair by pair.
     A null, empty or blank text has an empty set and is linked with nothing. A null doc_id has component_id null
     and stays (kept true). Rows that repeat a doc_id are one document. Other columns are ignored.
     """
@@ -118,19 +119,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, permutations
     spread = active.select("bucket", "node")
     for turn in range(1, TURNS + 1):
         labels = components(links)
-        spread, rest = _unsettled(spread, labels)
+        spread, rest = _unsettled(spread.select("bucket", "node"), labels)
         if rest.isEmpty():
             break
         if turn == TURNS:
-            new = rest.where("outside").alias("x").join(spread.alias("y"), F.expr("x.bucket = y.bucket and x.label <> y.label"))
-            new = new.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            new = prefix_pairs(texts.join(spread.select("node", "label").distinct(), "node"), k, percent)
         else:
             pick = rest.groupBy("bucket").agg(F.min(F.struct(F.when(F.col("outside"), 0).otherwise(1), F.xxhash64("node", F.lit(turn)), "node", "label")).alias("h"))
-            new = rest.join(pick, "bucket").where("label <> h.label").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
-        new = cut(new.distinct().join(tested, ["a", "b"], "left_anti"))
+            new = rest.join(pick, "bucket").where("label <> h.label").select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        new = cut(new.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(new)
         links = links.union(cut(confirmed(new, texts, k, percent)))
-        spread = spread.select("bucket", "node")
     labels = components(links)
     of_key = one.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component"))
     out = known.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
@@ -138,6 +137,36 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, permutations
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def prefix_pairs(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of different labels among (node, label, text) that can be percent alike, exactly: a superset of those that are.
+
+    With all shingles in one order, rarest first, sets of n shingles that are so alike share one of their first
+    n - ceil(percent n / 100) + 1; those that one node alone holds come first and match nothing. Sizes and the
+    places of the shared shingle bound what two sets can share, and pairs beyond that bound are not made.
+    """
+
+    def run(parts):
+        for part in parts:
+            nodes, labels, texts_ = (part.column(i).to_pylist() for i in range(3))
+            for i, j in batches(texts_):
+                sets = shingle_sets(texts_[i:j], k)
+                sizes = [len(s) for s in sets]
+                of = np.repeat(np.arange(i, j), sizes)
+                columns = [np.array(nodes, np.int64)[of], np.array(labels, np.int64)[of], np.repeat(sizes, sizes).astype(np.int64), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "label", "n", "h"])
+
+    held = cut(texts.select("node", "label", "text").mapInArrow(run, "node long, label long, n long, h long").distinct())
+    often = held.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1")
+    common = held.join(often, "h").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h", (F.col("l0") < F.col("l1")).alias("mixed")))).alias("order"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = F.col("n") - F.size("order")
+    prefix = common.select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int"))).alias("i", "s"))
+    prefix = cut(prefix.where("s.mixed").select("node", "label", "n", F.col("s.h").alias("h"), (F.col("alone") + F.col("i") + 1).alias("at")))
+    need = f"ceil({percent} * (x.n + y.n) / (100.0 + {percent}))"
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 1 + least(x.n - x.at, y.n - y.at) >= {need}"
+    return prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.h = y.h and x.node < y.node and x.label <> y.label and {alike}")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _unsettled(spread: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets of several components: all their rows with labels, and again with `outside`: not of the bucket's largest one."""
     at = spread.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
