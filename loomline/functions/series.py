@@ -59,7 +59,7 @@ def admissible(history: Column, future: Column) -> Column:
     """Finite, not empty, not all zero, and a future not far beyond what the history spans."""
     fine = lambda a: (F.size(a) > 0) & F.forall(a, is_finite)
     n = F.size(history)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), F.size(a))
     level = mean(F.transform(history, F.abs))
     sd = F.sqrt(F.greatest(mean(F.transform(history, lambda x: x * x)) - mean(history) * mean(history), F.lit(0.0)))
     steps = F.when(n > 1, mean(F.zip_with(F.slice(history, 2, F.greatest(n - 1, F.lit(1))), F.slice(history, 1, F.greatest(n - 1, F.lit(1))), lambda a, b: F.abs(a - b)))).otherwise(0.0)

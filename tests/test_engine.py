@@ -37,7 +37,7 @@ def test_constant_series_do_not_divide_by_zero(spark):
 
 def test_dominant_period(spark):
     t = np.arange(96)
-    got = series.dominant_period(long(spark, a=list(np.sin(2 * np.pi * t / 12) + 0.1 * t), b=[1.0] * 3)).orderBy("series_id").collect()
+    got = series.dominant_period(long(spark, a=(np.sin(2 * np.pi * t / 12) + 0.1 * t).tolist(), b=[1.0] * 3)).orderBy("series_id").collect()
     assert abs(got[0].period - 12) < 1e-9 and got[0].share > 0.9 and got[1].period == 0
 
 
