@@ -264,7 +264,7 @@ def d13(spark, sf):
     return fx.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The"))), "\n").alias("text"))
 
 
-from .plans import prepare  # noqa: E402, F401  (registers its queries)
+from .plans import forecasts, prepare  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -155,3 +155,37 @@ def dominant_period(s: DataFrame) -> DataFrame:
         return pd.DataFrame({"series_id": [g.series_id.iloc[0]], "period": [period], "share": [share]})
 
     return s.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, period double, share double")
+
+
+def predictive_gain(source: DataFrame, target: DataFrame, n: int) -> DataFrame:
+    """pair, lag, gain: how much of what a value's predecessor leaves open the source at an earlier step explains.
+
+    The relative fall of the squared error is the squared partial correlation, so moments by lag are enough. Of equal
+    gains the first lag counts; lag 0 and gain 0 where nothing is gained.
+    """
+    reach = min(32, n // 4)
+    own = target.withColumn("z", F.lag("value").over(W.partitionBy("pair").orderBy("pos"))).where(F.col("pos") >= reach)
+    near = source.select("pair", F.col("value").alias("x"), "pos", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("lag")).withColumn("pos", F.col("pos") + F.col("lag"))
+    j = own.select("pair", "pos", F.col("value").alias("y"), "z").join(near, ["pair", "pos"])
+    both = {"yz": ("y", "z"), "yx": ("y", "x"), "zx": ("z", "x")}
+    m = j.groupBy("pair", "lag").agg(*[e.alias(f"{k}_{name}") for k, (a, b) in both.items() for name, e in _moments(F.col(a), F.col(b)).items()])
+    r = {k: correlation(*(F.col(f"{k}_{c}") for c in ("n", "va", "vb", "cab"))) for k in both}
+    rest = (1 - r["yz"] * r["yz"]) * (1 - r["zx"] * r["zx"])
+    gain = F.coalesce(guarded(F.pow(r["yx"] - r["yz"] * r["zx"], 2), rest, 1e-12), F.lit(0.0))
+    g = m.select("pair", F.col("lag").cast("long").alias("lag"), gain.alias("gain"))
+    best = g.groupBy("pair").agg(F.max_by(F.struct("lag", "gain"), F.struct(F.round("gain", 9), -F.col("lag"))).alias("b"))
+    return best.select("pair", F.when(F.col("b.gain") > 0, F.col("b.lag")).otherwise(0).alias("lag"), "b.gain")
+
+
+def polynomial(s: DataFrame) -> DataFrame:
+    """linear_r2, quadratic_r2 and curve (coefficient of t squared for standardised values, t from -1 to 1); null for constant series.
+
+    Even steps make t and t squared orthogonal once the mean is taken off, so each part is a correlation of its own.
+    """
+    whole = W.partitionBy("series_id")
+    t = 2.0 * (F.row_number().over(whole.orderBy("pos")) - 1) / F.nullif(F.count("*").over(whole) - 1, F.lit(0)) - 1
+    s = s.withColumn("t", t).withColumn("t2", F.col("t") * F.col("t"))
+    out = s.groupBy("series_id").agg(*[e.alias(f"{k}_{c}") for k, c2 in (("a", "t"), ("b", "t2")) for c, e in _moments(F.col(c2), F.col("value")).items()])
+    r1, r2 = (correlation(*(F.col(f"{k}_{c}") for c in ("n", "va", "vb", "cab"))) for k in ("a", "b"))
+    some = F.sqrt(F.col("a_vb")) >= 1e-12
+    return out.select("series_id", F.when(some, r1 * r1).alias("linear_r2"), F.when(some, r1 * r1 + r2 * r2).alias("quadratic_r2"), F.when(some, guarded(F.col("b_cab"), F.col("b_va")) / F.nullif(F.sqrt("b_vb"), F.lit(0.0))).alias("curve"))

@@ -56,3 +56,10 @@ def violations(shards: DataFrame, windows: DataFrame) -> DataFrame:
     missing = windows.join(shards, "window", "left_anti").select("window", F.lit("missing").alias("problem"))
     bad = shards.where("value is null or isnan(value) or abs(value) = double('inf')").select("window", F.lit("not finite").alias("problem"))
     return dup.union(out).union(missing).union(bad)
+
+
+def coverage(forecasts: DataFrame, windows: DataFrame, each: int) -> DataFrame:
+    """cell, forecasts, expected: counts to compare, zero where a side lacks the cell."""
+    a = forecasts.groupBy("cell").agg(F.count("*").alias("forecasts"))
+    b = windows.groupBy("cell").agg((F.count("*") * each).alias("expected"))
+    return a.join(b, "cell", "full_outer").select("cell", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("forecasts", "expected")])
