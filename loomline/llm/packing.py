@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
         for part in parts:
             ids, texts = part.column(0), part.column(1)
             for i, j in slices(texts):
-                flat, offsets = encode(texts.slice(i, j - i), path)
+                flat, offsets = encode(texts.slice(i, j - i), path, added=True)
                 flat = flat.astype("<u4", copy=False)
                 row, out = [], ([], [], [], [])
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -183,7 +183,7 @@ def id_matrices(docs: DataFrame, length: int = LENGTH, path: str | None = None,
             ids, texts = part.column(0).to_pylist(), part.column(1)
             base = part.column(2)[0].as_py() << 40 if len(ids) else base
             for i, j in slices(texts):
-                flat, offsets = encode(texts.slice(i, j - i), path)
+                flat, offsets = encode(texts.slice(i, j - i), path, added=True)
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     for p, (s, n) in enumerate(cuts(b - a, length)):
                         held.append((ids[i + k], p, s, flat[a + s : a + s + n].copy()))

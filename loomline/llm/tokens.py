@@ -1,7 +1,8 @@
 """Token ids of whole texts, a batch at a time: each distinct blank-separated chunk of a batch is encoded once.
 
 The ids are those of the byte-level vocabulary in byte_bpe_50k.json. They are computed from the same vocabulary's rank
-file, chunk by chunk; a text in which white space meets a blank is encoded whole, so that ids never differ.
+file, chunk by chunk; a text in which white space meets a blank is encoded whole, so that ids never differ. That file's
+added tokens (<|endoftext|>) are found in plain text too; a text that holds one is encoded whole.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,15 @@ END = 0
 _TANGLED = r"^ | $| [ \t\n\x0b\f\r\x1c-\x1f\x{85}\p{Z}]|[ \t\n\x0b\f\r\x1c-\x1f\x{85}\p{Z}] "
 
 
+@functools.lru_cache(1)
+def added_tokens() -> dict[str, int]:
+    """The tokenizer file's added tokens, none of which strips or needs what surrounds it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @functools.lru_cache(1)
 def encoder(path: str | None = None):
     import public_tokenizers
@@ -27,15 +38,23 @@ def encoder(path: str | None = None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if path else added_tokens())
+
 
+def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each followed by END, and each text's offsets into them. A null text is empty.
 
-def encode(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each followed by END, and each text's offsets into them. A null text is empty."""
-    run = encoder(path)
+    With `added`, the tokenizer file's added tokens get their own id, as its tokenizer gives them; without, they are
+    plain text. Another rank file (`path`) has none.
+    """
+    coder = encoder(path)
+    run = coder.encode_ordinary
+    whole_run = functools.partial(coder.encode, allowed_special="all") if added else run
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     tangled = pc.match_substring_regex(texts, _TANGLED).to_numpy(zero_copy_only=False)
+    for token in coder.special_tokens_set if added else ():
+        tangled = tangled | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
     plain = texts.filter(pa.array(~tangled))
     parts = pc.split_pattern(plain, " ")
     coded = parts.flatten().dictionary_encode()
@@ -46,7 +65,7 @@ def encode(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.nda
     # first chunks have no blank before them; each tangled text is a chunk; the last entry is END
     first = coded.dictionary.take(pa.array(index[heads])).to_pylist() if len(heads) else []
     ids += [run(x) for x in first]
-    ids += [run(x) for x in texts.filter(pa.array(tangled)).to_pylist()]
+    ids += [whole_run(x) for x in texts.filter(pa.array(tangled)).to_pylist()]
     ids.append([END])
     index[heads] = base + np.arange(len(heads))
     many = np.ones(n, np.int64)

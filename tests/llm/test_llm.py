@@ -119,6 +119,21 @@ def test_token_ids_are_the_tokenizers(spark):
         assert flat[at[i] : at[i + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0]
 
 
+def test_packed_ids_hold_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end}{end}", f" {end} a ", f"one two {end} three", f"x  \n{end}\n  y", f"it{end}'s", "<|endoftext|", f"<{end}>", "a b"]
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert ids[0] == [64, 50256, 65, 0]
+    d = odd(spark, list(enumerate(texts)))
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed(d).collect()} == {i: (len(x), zlib.crc32(np.array(x, "<u4"))) for i, x in enumerate(ids)}
+    got = {d: np.frombuffer(r.ids, "<u4")[a:b].tolist() for r in packing.id_matrices(d).collect() for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:])}
+    assert got == dict(enumerate(ids))
+
+
 def test_packing_is_gapless_and_lossless(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.packed(docs, length=256).toPandas().sort_values(["sequence_id", "offset"])
