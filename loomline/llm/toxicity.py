@@ -340,21 +340,26 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
-    """Train on a bounded sample (MOST_TOXIC + MOST_CLEAN rows of at most LONGEST characters) of the labelled rows that are not held out.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of at most MOST_TOXIC + MOST_CLEAN distinct labelled doc_ids that are not held out.
 
-    Rows are drawn in the order of a hash of doc_id; labels are null-safe, a doc_id labelled twice counts as toxic if
-    any label is, and is read once.
+    They are drawn in the order of a hash of doc_id; labels are null-safe, a doc_id labelled twice counts as toxic if
+    any label is. A doc_id of several rows counts once and is read once, with its least text: rows become one in Spark,
+    before the limit and before anything is collected.
     """
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    short = docs.where(F.char_length("text") <= LONGEST).select("doc_id").join(marked, "doc_id")
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    short = docs.where(F.char_length("text") <= LONGEST)
+    known = short.select("doc_id").distinct().join(marked, "doc_id")
     some = None
     for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        part = short.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.union(part)
-    ids = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.char_length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    return short.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
+    """Train on a bounded sample of the labelled rows of at most LONGEST characters."""
+    rows = sample(docs, labels).toPandas().sort_values("doc_id")
     return train(rows.text.tolist(), rows.toxic.to_numpy(), epochs)
 
 

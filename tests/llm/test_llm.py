@@ -216,6 +216,16 @@ def test_toxicity_learns_planted_words():
     assert ((s >= 0.5) == y[450:]).mean() > 0.97
 
 
+def test_toxicity_sample_counts_distinct_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 6)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 9)
+    ids = [r.doc_id for r in spark.range(100).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()]
+    docs = [(i, f"t{i}") for i in range(100)] + [(ids[0], f"u{j}") for j in range(50)] + [(ids[1], f"u{j}") for j in range(50)]
+    marks = [(i, int(n % 2 == 0)) for n, i in enumerate(ids)] + [(ids[0], 0), (ids[1], None), (None, 1)] + [(ids[1], 0)] * 20
+    got = toxicity.sample(odd(spark, docs), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert sorted((r.doc_id, r.text, r.toxic) for r in got) == sorted([(i, f"t{i}", 1) for i in ids[0:12:2]] + [(i, f"t{i}", 0) for i in ids[1:19:2]])
+
+
 def test_mixing_weights_and_budget(spark):
     rows = [(i, "w " * 10, "big" if i < 600 else f"s{i % 3}") for i in range(900)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
