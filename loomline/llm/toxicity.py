@@ -1,7 +1,9 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-The network is written and trained in numpy on the driver, from a bounded sample of labelled rows; Spark tasks then
-score every overlapping window of every whole text, and a document's score is that of its highest window.
+The network is written and trained in numpy on the driver, from a bounded sample of labelled rows of any length. Spark
+tasks read their whole texts: they count the evidence of words, pick the windows that the driver trains on, and find the
+highest window of each for calibration. Spark tasks then score every overlapping window of every whole text, and a
+document's score is that of its highest window.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, randoms, table
+from .common import cut, mix, randoms, shuffle_partitions, table
 from .shingles import batches, shingle_sets
 
-#: Bounds of the training sample: labelled rows of each kind, and the longest text among them.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1500, 3000, 6_000
+#: Bounds of the training sample: labelled rows of each kind.
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 15, 8, 12, 12
+#: Windows of a text that the driver trains on: all up to MOST_WINDOWS; of more, HINTED with most evidence, others by hash.
+MOST_WINDOWS, HINTED = 32, 24
 GRAMS = (3, 5, 7)
 #: A bucket is known if its share of toxic training texts is this unlikely (as a log) by chance; others keep a zero embedding.
 EVIDENCE = 7.0
@@ -187,60 +191,106 @@ def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _log_odds(texts: list[str | None], y: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For the buckets of words and of n-grams: log odds that a text that holds one is toxic, and whether enough texts say so."""
-    one, all_ = {k: np.zeros(BUCKETS) for k in ("word", "gram")}, {k: np.zeros(BUCKETS) for k in ("word", "gram")}
+def _counts(texts: list[str | None], y: np.ndarray) -> np.ndarray:
+    """For the buckets of words and of n-grams (BUCKETS each): toxic texts that hold one, and all texts that do."""
+    out = np.zeros((2, 2, BUCKETS), np.int64)
     for i, j in batches(texts, 1 << 18):
         w = Words(texts[i:j])
         owner = np.repeat(np.arange(j - i), np.diff(w.offsets))
         many = np.diff(np.append(w.first, len(w.gram)))[w.index]
         at = np.repeat(w.first[w.index], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        for k, buckets, of in (("word", w.word[w.index], owner), ("gram", w.gram[at], np.repeat(owner, many))):
+        for k, (buckets, of) in enumerate(((w.word[w.index], owner), (w.gram[at], np.repeat(owner, many)))):
             pairs = np.unique(of * BUCKETS + buckets)
-            one[k] += np.bincount(pairs % BUCKETS, weights=y[i:j][pairs // BUCKETS], minlength=BUCKETS)
-            all_[k] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    base, out = y.mean(), {}
-    for k in one:
-        share = np.clip(one[k] / np.maximum(all_[k], 1), 1e-9, 1 - 1e-9)
-        surprise = all_[k] * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+            out[k, 0] += np.bincount(pairs % BUCKETS, weights=y[i:j][pairs // BUCKETS], minlength=BUCKETS).astype(np.int64)
+            out[k, 1] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+    return out
+
+
+def _log_odds(counts: np.ndarray, base: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For the buckets of words and of n-grams: log odds that a text that holds one is toxic, and whether enough texts say so."""
+    out = {}
+    for k, (one, all_) in zip(("word", "gram"), counts, strict=True):
+        share = np.clip(one / np.maximum(all_, 1), 1e-9, 1 - 1e-9)
+        surprise = all_ * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
         known = (share > base) & (surprise > EVIDENCE)
-        odds = np.clip(np.log((one[k] + base) / (all_[k] - one[k] + 1 - base) * (1 - base) / base), 0, 5)
+        odds = np.clip(np.log((one + base) / (all_ - one + 1 - base) * (1 - base) / base), 0, 5)
         out[k] = np.where(known, odds, 0).astype(np.float32), known
     return out
 
 
-def _unlike(texts: list[str | None]) -> np.ndarray:
-    """Positions of texts of which no near copy stands before them: a copied text must not count as many witnesses."""
+def _picked(texts: list[str | None], odds: dict) -> list[tuple[list[bytes], list[int]]]:
+    """For each text the words of its windows for training, one window after another, and how many each has."""
+    words = Words(texts)
+    at, text = words.windows()
+    hint = words.inputs({k: odds[k][0][:, None] for k in ("word", "gram")}).sum(axis=1)
+    score = np.where(at >= 0, hint[words.index[at]] if len(hint) else 0, 0).max(axis=1)
+    ends = np.searchsorted(text, np.arange(len(texts) + 1))
+    out = []
+    for t, i, j in zip(texts, ends[:-1], ends[1:], strict=True):
+        keep = np.arange(j - i)
+        if len(keep) > MOST_WINDOWS:
+            by = np.argsort(-score[i:j], kind="stable")
+            rest = by[HINTED:]
+            keep = np.sort(np.concatenate([by[:HINTED], rest[np.argsort(mix(rest.astype(np.uint64) + np.uint64(1)))[: MOST_WINDOWS - HINTED]]]))
+        said = _CLEAN[np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)].tobytes().split()
+        parts = [said[k * STRIDE : k * STRIDE + WINDOW] for k in keep.tolist()]
+        out.append(([w for x in parts for w in x], [len(x) for x in parts]))
+    return out
+
+
+def _signatures(texts: list[str | None]) -> list[np.ndarray]:
+    """Min-hashes of each whole text's shingles; none of a text without words."""
     a = randoms(14, 4) | np.uint64(1)
+    return [(a[:, None] * s[None, :]).min(axis=1) if len(s) else np.zeros(0, np.uint64) for j, k in batches(texts) for s in shingle_sets(texts[j:k], 4)]
+
+
+def _unlike(signatures: list[np.ndarray]) -> np.ndarray:
+    """Positions of texts of which no near copy stands before them: a copied text must not count as many witnesses."""
     seen, out = set(), []
-    for i, s in enumerate(x for j, k in batches(texts) for x in shingle_sets(texts[j:k], 4)):
-        keys = {(j, int(k)) for j, k in enumerate((a[:, None] * s[None, :]).min(axis=1))} if len(s) else set()
+    for i, s in enumerate(signatures):
+        keys = {(j, int(k)) for j, k in enumerate(s)}
         if not keys & seen:
             out.append(i)
         seen |= keys
     return np.array(out, int)
 
 
-def train(texts: list[str | None], y: np.ndarray, epochs: int = 8, batch: int = 256, seed: int = 1) -> dict:
-    """Fit on texts with labels of 0 and 1 (either may be absent: the score is then the same for all).
+def train(texts: list[str | None], y: np.ndarray, epochs: int = 8) -> dict:
+    """Fit on texts with labels of 0 and 1 (either may be absent: the score is then the same for all)."""
+    unlike = _unlike(_signatures(texts))
+    texts, y = [texts[i] for i in unlike], np.asarray(y, np.float32)[unlike]
+    if not len(y) or y.min() == y.max():
+        return _untold(y)
+    odds = _log_odds(_counts(texts, y), y.mean())
+    p = _fitted(_picked(texts, odds), y, odds, epochs)
+    return p | _calibrated(_tops(p, texts), y)
+
+
+def _untold(y: np.ndarray) -> dict:
+    """Weights where there is nothing to tell apart."""
+    p = start_weights()
+    p["out"][:] = 0
+    p["shift"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 9))
+    return p | {"slope": np.zeros(1, np.float32)}
+
+
+def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: dict, epochs: int = 8, batch: int = 256, seed: int = 1) -> dict:
+    """Weights from the picked windows of texts and the labels of these, not calibrated yet.
 
     The first component of each embedding starts as its log odds. A toxic text is toxic in some window, not in all:
     each epoch takes its highest window as the toxic example, and a clean text's highest and one other as clean ones.
     """
     p = start_weights(seed)
-    unlike = _unlike(texts)
-    texts, y = [texts[i] for i in unlike], np.asarray(y, np.float32)[unlike]
-    if not len(y) or y.min() == y.max():  # nothing to tell apart
-        p["out"][:] = 0
-        p["shift"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 9))
-        return p | {"slope": np.zeros(1, np.float32)}
-    odds = _log_odds(texts, y)
     word_known, gram_known = odds["word"][1], odds["gram"][1]
     for k in ("word", "gram"):
         p[k][:, 0] = 0.5 * odds[k][0]
         p[k] *= odds[k][1][:, None]
-    words = Words(texts)
-    at, text = words.windows()
+    coded = pa.array((w for x, _ in picked for w in x), pa.binary()).dictionary_encode()
+    words = Words([b" ".join(coded.dictionary.to_pylist()).decode("utf-8", "surrogatepass")])
+    words.index = words.index[coded.indices.to_numpy()]
+    words.offsets = np.cumsum([0, *(n for _, sizes in picked for n in sizes)])
+    at, _ = words.windows()  # one each
+    text = np.repeat(np.arange(len(picked)), [len(sizes) for _, sizes in picked])
     for d in "fb":
         p[f"x{d}"][[0, WIDTH]] += np.float32(0.5)
     words.told(p)
@@ -251,7 +301,7 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 8, batch: int =
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    epochs = max(epochs, min(40, -(-240 * batch // (2 * len(texts)))))  # a small sample needs its updates too
+    epochs = max(epochs, min(40, -(-240 * batch // (2 * len(y)))))  # a small sample needs its updates too
     weight = np.float32(min(8.0, (1 - y.mean()) / y.mean() / 2 + 1))
     for epoch in range(epochs):
         if epoch:
@@ -288,9 +338,7 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 8, batch: int =
                 m[k] += np.float32(0.1) * (v - m[k])
                 s[k] += np.float32(0.01) * (v * v - s[k])
                 p[k] -= rate * (np.float32(0.1) if k in ("word", "gram") else np.float32(1)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-    top = np.full(len(texts), -np.inf, np.float32)
-    np.maximum.at(top, text, _scores(p, words, index, mask))
-    return p | _calibrated(top, y)
+    return p
 
 
 def _scores(p: dict, words: Words, index: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -325,15 +373,20 @@ def _calibrated(top: np.ndarray, y: np.ndarray) -> dict:
     return {"slope": np.array([max(a, 0.05)], np.float32), "shift": np.array([b], np.float32)}
 
 
-def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:
-    """Score in [0, 1] of each whole text: that of its highest window."""
+def _tops(p: dict, texts: list[str | None]) -> np.ndarray:
+    """Logit of the highest window of each whole text."""
     words = Words(texts)
     words.told(p)
     at, text = words.windows()
     index, mask = (np.where(at >= 0, words.index[at], 0) if len(words.index) else np.zeros_like(at)).T, (at >= 0).T
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, text, _scores(p, words, np.ascontiguousarray(index), np.ascontiguousarray(mask)).astype(float))
-    return 1 / (1 + np.exp(-np.clip(p["slope"][0] * top + p["shift"][0], -30, 30)))
+    return top
+
+
+def score_texts(p: dict, texts: list[str | None]) -> np.ndarray:
+    """Score in [0, 1] of each whole text: that of its highest window."""
+    return 1 / (1 + np.exp(-np.clip(p["slope"][0] * _tops(p, texts) + p["shift"][0], -30, 30)))
 
 
 def held_out(doc_id):
@@ -348,19 +401,63 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     before the limit and before anything is collected.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    short = docs.where(F.char_length("text") <= LONGEST)
-    known = short.select("doc_id").distinct().join(marked, "doc_id")
+    docs = docs.where(F.col("text").isNotNull())
+    known = docs.select("doc_id").distinct().join(marked, "doc_id")
     some = None
     for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.union(part)
-    return short.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def _over(rows: DataFrame, run, schema: str) -> DataFrame:
+    """run(texts, labels) over texts a batch at a time; it returns the columns beside doc_id."""
+    names = [f.name for f in rows.select("doc_id").schema.fields] + [c.split()[0] for c in schema.split(", ")]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def go(parts):
+        for part in parts:
+            texts, y = part.column(1).to_pylist(), part.column(2).to_numpy()
+            for i, j in batches(texts):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), *run(texts[i:j], y[i:j])], names)
+
+    return rows.select("doc_id", "text", "toxic").mapInArrow(go, f"doc_id {kind}, {schema}")
+
+
+def _evidence(rows: DataFrame) -> np.ndarray:
+    """_counts of all rows, added up in Spark."""
+
+    def go(parts):
+        total = np.zeros((2, 2, BUCKETS), np.int64)
+        for part in parts:
+            total += _counts(part.column(0).to_pylist(), part.column(1).to_numpy())
+        flat = total.transpose(0, 2, 1).reshape(-1, 2)
+        at = np.flatnonzero(flat[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at, 0]), pa.array(flat[at, 1])], ["at", "one", "every"])
+
+    found = rows.select("text", "toxic").mapInArrow(go, "at long, one long, every long").groupBy("at").agg(F.sum("one").alias("one"), F.sum("every").alias("every")).toPandas()
+    out = np.zeros((2 * BUCKETS, 2), np.int64)
+    out[found["at"].to_numpy(int)] = found[["one", "every"]].to_numpy()
+    return out.reshape(2, BUCKETS, 2).transpose(0, 2, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
-    """Train on a bounded sample of the labelled rows of at most LONGEST characters."""
-    rows = sample(docs, labels).toPandas().sort_values("doc_id")
-    return train(rows.text.tolist(), rows.toxic.to_numpy(), epochs)
+    """train() on the sample, whose whole texts are read in Spark tasks only; the driver gets at most MOST_WINDOWS windows of each."""
+    rows = sample(docs, labels)
+    rows = cut(rows.repartition(shuffle_partitions(rows.sparkSession), "doc_id"))
+    signed = _over(rows, lambda t, y: [pa.array(y, pa.int32()), pa.array([s.tobytes() for s in _signatures(t)], pa.binary())], "toxic int, signature binary").toPandas().sort_values("doc_id")
+    signed = signed.iloc[_unlike([np.frombuffer(s, np.uint64) for s in signed.signature])]
+    y = signed.toxic.to_numpy(np.float32)
+    if not len(y) or y.min() == y.max():
+        return _untold(y)
+    ids = rows.sparkSession.createDataFrame([(i,) for i in signed.doc_id.tolist()], rows.select("doc_id").schema)
+    rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    odds = _log_odds(_evidence(rows), y.mean())
+    windows = _over(rows, lambda t, _: [pa.array(c, k) for c, k in zip(zip(*_picked(t, odds)), (pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)], "words array<binary>, sizes array<int>")
+    windows = windows.toArrow().sort_by("doc_id")
+    p = _fitted(list(zip(windows["words"].to_pylist(), windows["sizes"].to_pylist(), strict=True)), y, odds, epochs)
+    top = _over(rows, lambda t, _: [pa.array(_tops(p, t))], "top double").toPandas().sort_values("doc_id").top
+    return p | _calibrated(top.to_numpy(), y)
 
 
 def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:

@@ -216,6 +216,35 @@ def test_toxicity_learns_planted_words():
     assert ((s >= 0.5) == y[450:]).mean() > 0.97
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    g = np.random.default_rng(7)
+    words = ["".join(g.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    rows, marks = [], []
+    for i in range(260):
+        toxic = int(i % 4 == 0)
+        w = list(g.choice(words, 2000 if toxic or i % 4 == 1 else 60))
+        if toxic:
+            at = g.integers(len(w) - 5)
+            w[at : at + 3] = g.choice(["nastyword", "vileterm"], 3)
+        rows.append((i, " ".join(w)))
+        marks.append((i, toxic))
+    assert min(len(t) for (_, t), (_, y) in zip(rows, marks) if y) > 6000
+    d = odd(spark, rows)
+    p = toxicity.fit(d, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(d, p, ["doc_id"]).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in marks]) > 0.97
+
+
+def test_toxicity_is_the_same_in_tasks(spark):
+    g = np.random.default_rng(8)
+    texts = [" ".join(g.choice([f"w{j}" for j in range(200)], n)) + (" bad worse" if i % 3 == 0 else "") for i, n in enumerate(g.integers(1, 3000, 60))]
+    ids = [r.doc_id for r in spark.range(100).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(F.col("doc_id"))).collect()][:60]
+    y = np.array([int(i % 3 == 0) for i in range(60)])
+    p = toxicity.fit(odd(spark, list(zip(ids, texts))), spark.createDataFrame(list(zip(ids, y.tolist())), "doc_id long, toxic int"), 2)
+    q = toxicity.train(texts, y, 2)
+    assert all(np.allclose(p[k], q[k], atol=1e-5) for k in q)
+
+
 def test_toxicity_sample_counts_distinct_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_TOXIC", 6)
     monkeypatch.setattr(toxicity, "MOST_CLEAN", 9)
