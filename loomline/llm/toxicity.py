@@ -20,6 +20,8 @@ from .shingles import batches, shingle_sets
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 15, 8, 12, 12
+#: Min-hashes of a text, and how many must equal those of an earlier text of the same label for a copy of it.
+SIGNATURE, COPY = 32, 28
 #: Windows of a text that the driver trains on: all up to MOST_WINDOWS; of more, HINTED with most evidence, others by hash.
 MOST_WINDOWS, HINTED = 32, 24
 GRAMS = (3, 5, 7)
@@ -240,24 +242,26 @@ def _picked(texts: list[str | None], odds: dict) -> list[tuple[list[bytes], list
 
 def _signatures(texts: list[str | None]) -> list[np.ndarray]:
     """Min-hashes of each whole text's shingles; none of a text without words."""
-    a = randoms(14, 4) | np.uint64(1)
-    return [(a[:, None] * s[None, :]).min(axis=1) if len(s) else np.zeros(0, np.uint64) for j, k in batches(texts) for s in shingle_sets(texts[j:k], 4)]
-
-
-def _unlike(signatures: list[np.ndarray]) -> np.ndarray:
-    """Positions of texts of which no near copy stands before them: a copied text must not count as many witnesses."""
-    seen, out = set(), []
-    for i, s in enumerate(signatures):
-        keys = {(j, int(k)) for j, k in enumerate(s)}
-        if not keys & seen:
-            out.append(i)
-        seen |= keys
+    a = randoms(14, SIGNATURE) | np.uint64(1)
+    return [np.array([(x * s).min() for x in a]) if len(s) else np.zeros(0, np.uint64) for j, k in batches(texts) for s in shingle_sets(texts[j:k], 4)]
+
+
+def _unlike(signatures: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Positions of texts of which no near copy with the same label stands before them: a copied text must not count as
+    many witnesses. Texts without words are no copies."""
+    kept, label, out = np.zeros((len(signatures), SIGNATURE), np.uint64), np.zeros(len(signatures), int), []
+    for i, (s, v) in enumerate(zip(signatures, np.asarray(y, int).tolist(), strict=True)):
+        n = len(out)
+        if len(s) and ((kept[:n] == s).sum(axis=1)[label[:n] == v] >= COPY).any():
+            continue
+        kept[n], label[n] = (s, v) if len(s) else (0, -1)
+        out.append(i)
     return np.array(out, int)
 
 
 def train(texts: list[str | None], y: np.ndarray, epochs: int = 8) -> dict:
     """Fit on texts with labels of 0 and 1 (either may be absent: the score is then the same for all)."""
-    unlike = _unlike(_signatures(texts))
+    unlike = _unlike(_signatures(texts), y)
     texts, y = [texts[i] for i in unlike], np.asarray(y, np.float32)[unlike]
     if not len(y) or y.min() == y.max():
         return _untold(y)
@@ -446,7 +450,7 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
     rows = sample(docs, labels)
     rows = cut(rows.repartition(shuffle_partitions(rows.sparkSession), "doc_id"))
     signed = _over(rows, lambda t, y: [pa.array(y, pa.int32()), pa.array([s.tobytes() for s in _signatures(t)], pa.binary())], "toxic int, signature binary").toPandas().sort_values("doc_id")
-    signed = signed.iloc[_unlike([np.frombuffer(s, np.uint64) for s in signed.signature])]
+    signed = signed.iloc[_unlike([np.frombuffer(s, np.uint64) for s in signed.signature], signed.toxic)]
     y = signed.toxic.to_numpy(np.float32)
     if not len(y) or y.min() == y.max():
         return _untold(y)

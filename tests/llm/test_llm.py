@@ -235,6 +235,14 @@ def test_toxicity_learns_from_long_texts(spark):
     assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in marks]) > 0.97
 
 
+def test_toxicity_trains_on_variants():
+    w = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w), " ".join([*w[:199], "nasty"]), " ".join(w[:100] + [f"x{i}" for i in range(100)]), " ".join(w), "", ""]
+    y = [0, 1, 0, 0, 0, 1]
+    assert toxicity._unlike(toxicity._signatures(texts), y).tolist() == [0, 1, 2, 4, 5]
+    assert toxicity._unlike(toxicity._signatures([texts[0], texts[1]]), [0, 0]).tolist() == [0]
+
+
 def test_toxicity_is_the_same_in_tasks(spark):
     g = np.random.default_rng(8)
     texts = [" ".join(g.choice([f"w{j}" for j in range(200)], n)) + (" bad worse" if i % 3 == 0 else "") for i, n in enumerate(g.integers(1, 3000, 60))]
