@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .tokens import cuts, encode, slices
 
-LENGTH, OPEN_BINS = 2048, 4096
-#: Ids that are packed in one run, and most tasks; ids held at once by best-fit decreasing.
-RUN_IDS, MOST_TASKS, HELD_IDS = 8_000_000, 20_000, 4_000_000
+#: Places of a sequence, and bins that are open at once: the bound is reached in ordinary streams of documents.
+LENGTH, OPEN_BINS = 2048, 64
+#: Ids that one task packs (about), and most tasks; ids held at once by best-fit decreasing.
+TASK_IDS, MOST_TASKS, HELD_IDS = 32_000_000, 20_000, 4_000_000
 
 
 class OpenBins:
     """Online best fit with a fixed number of open bins; a bitset has bit f where some open bin has f free places."""
 
     def __init__(self, length: int, most: int):
-        self.length, self.most, self.bits, self.open = length, most, 0, 0
+        self.length, self.most, self.bits, self.open, self.closed = length, most, 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(length + 1)]
         self.next = 0
 
@@ -47,6 +48,7 @@ class OpenBins:
         else:
             if self.open >= self.most and size < self.length:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, bin_ = self.length, self.next
             self.next += 1
         self._put(bin_, free - size)
@@ -76,17 +78,16 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
 def packed(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Documents are tokenised where they are read; only the narrow pieces are dealt out, to tasks of about RUN_IDS ids,
-    each of which packs online with its own open bins (memory does not grow with the input). Long pieces arrive first;
-    a task of more ids takes them in runs, each long pieces first, so that the open bins last. Null texts hold the id 0
-    alone; null and repeated doc_ids are packed row by row; other columns are ignored; an empty table packs to nothing.
+    Documents are tokenised where they are read; only the narrow pieces are dealt out, to tasks of about TASK_IDS ids
+    (more past MOST_TASKS), each of which packs its pieces as they arrive, by doc_id and piece, with its own open bins:
+    its memory does not grow with the input. Null texts hold the id 0 alone; null and repeated doc_ids are packed row
+    by row; equal rows are alike, so their order does not matter; other columns are ignored; an empty table packs to
+    nothing.
     """
     found = cut(pieces(docs, length, path))
     total = found.agg(F.sum("length")).first()[0] or 0
-    runs = max(1, total // RUN_IDS)
-    tasks = int(min(runs, MOST_TASKS))
-    turn = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-runs // tasks)))
-    dealt = found.repartition(tasks).sortWithinPartitions(turn, F.desc("length"), "doc_id", "piece", "ids_crc32").withColumn("task", F.spark_partition_id())
+    tasks = int(min(max(1, total // TASK_IDS), MOST_TASKS))
+    dealt = found.repartition(tasks).sortWithinPartitions("doc_id", "piece", "ids_crc32").withColumn("task", F.spark_partition_id())
 
     def run(parts):
         bins = OpenBins(length, open_bins)

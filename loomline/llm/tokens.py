@@ -48,7 +48,7 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     plain text. Another rank file (`path`) has none.
     """
     coder = encoder(path)
-    run = coder.encode_ordinary
+    run, known = coder.encode_ordinary, chunk_ids(path)
     whole_run = functools.partial(coder.encode, allowed_special="all") if added else run
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
@@ -59,12 +59,12 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     parts = pc.split_pattern(plain, " ")
     coded = parts.flatten().dictionary_encode()
     heads = parts.offsets.to_numpy()[:-1] - parts.offsets.to_numpy()[0]
-    index = coded.indices.to_numpy().astype(np.int64)
-    ids = [run(" " + x) for x in coded.dictionary.to_pylist()]
+    index = coded.indices.to_numpy().copy()
+    ids = [known(" " + x) for x in coded.dictionary.to_pylist()]
     base = len(ids)
     # first chunks have no blank before them; each tangled text is a chunk; the last entry is END
     first = coded.dictionary.take(pa.array(index[heads])).to_pylist() if len(heads) else []
-    ids += [run(x) for x in first]
+    ids += [known(x) for x in first]
     ids += [whole_run(x) for x in texts.filter(pa.array(tangled)).to_pylist()]
     ids.append([END])
     index[heads] = base + np.arange(len(heads))
@@ -72,22 +72,35 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     many[~tangled] = np.diff(parts.offsets.to_numpy())
     many += 1
     begin = np.cumsum(many) - many
-    chunk = np.full(many.sum(), len(ids) - 1, np.int64)
+    chunk = np.full(many.sum(), len(ids) - 1, np.int32)
     body = np.ones(len(chunk), bool)
     body[begin + many - 1] = False
     whole = np.repeat(tangled, many)
     chunk[body & ~whole] = index
     chunk[body & whole] = base + len(heads) + np.arange(tangled.sum())
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    size = np.fromiter(map(len, ids), np.int32, len(ids))
     flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size.sum())
-    start = np.cumsum(size) - size
+    start = np.cumsum(size, dtype=np.int64) - size
     long = size[chunk]
-    ends = np.cumsum(long)
-    out = flat[np.repeat(start[chunk] - (ends - long), long) + np.arange(long.sum())]
-    return out, np.concatenate([[0], ends[begin + many - 1]])
+    ends = np.cumsum(long, dtype=np.int64)
+    offsets = np.concatenate([[0], ends[begin + many - 1]])
+    # places below 2^31 (a slice of texts has fewer ids than bytes) as 32-bit numbers
+    small = np.int32 if max(len(flat), len(chunk), offsets[-1]) < 2**31 else np.int64
+    at = np.repeat((start[chunk] - (ends - long)).astype(small), long)
+    del chunk, long, ends
+    at += np.arange(len(at), dtype=small)
+    return flat[at], offsets
 
 
-def slices(texts: pa.Array, most: int = 1 << 24):
+@functools.lru_cache(2)
+def chunk_ids(path: str | None):
+    """The ids of a chunk; those of the last few ten thousand short ones are remembered from slice to slice."""
+    run = encoder(path).encode_ordinary
+    kept = functools.lru_cache(1 << 15)(lambda x: tuple(run(x)))
+    return lambda x: kept(x) if len(x) <= 32 else run(x)
+
+
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Index ranges of texts of about `most` bytes (one text at least)."""
     held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
