@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
+from .common import cut, randoms, shuffle_partitions, table
 from .components import components
 
-#: Vectors of a shard (about), links of a node on the ground layer and above, first beam, recall that audits ask for.
-SHARD, GROUND, UPPER, BEAM, RECALL = 4096, 32, 16, 48, 0.999
-BLOCK, AT_ONCE = 256, 16
+#: Bytes of a shard's 32-bit components (its graph and doubles take four times that in a task), vectors at least, shards at least.
+SHARD_BYTES, SHARD_LEAST, FEWEST = 1 << 26, 4096, 4
+#: Links of a node on the ground layer and above, beam while building, first beam of queries, nodes expanded at once.
+GROUND, UPPER, BUILD_BEAM, BEAM, AT_ONCE = 32, 16, 48, 16, 4
+#: Recall that audits ask for, and their probes and queries in each task.
+RECALL, PROBES = 0.995, 512
+#: Vectors added, and queries flooded, together; places of the table of visited nodes; bytes of a part of a stored graph.
+BLOCK, VISITED, PART = 256, 1 << 22, 1 << 20
+#: Cosines this near the threshold in 32 bits are computed again in doubles.
+DOUBT = np.float32(1e-4)
 
 
 class Graph:
-    """Hierarchical navigable small-world graph over unit vectors, built and searched for a block of vectors at a time."""
+    """Hierarchical navigable small-world graph over unit vectors, built and walked for a block of vectors at a time."""
+
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray], first: int):
+        self.x, self.layers, self.first = x, layers, first
+        self.stamp, self.clock = np.zeros(0, np.int32), 1
 
-    def __init__(self, unit: np.ndarray, beam: int = 64, seed: int = 1):
-        self.x = np.ascontiguousarray(unit, np.float32)
-        n = len(unit)
+    @classmethod
+    def build(cls, x: np.ndarray, seed: int = 1) -> Graph:
         rng = np.random.default_rng(seed)
-        top = np.minimum((-np.log(1 - rng.random(n)) / np.log(UPPER)).astype(int), 6)
-        self.order = np.argsort(-top, kind="stable")
-        self.layers: list[np.ndarray] = []
+        top = np.minimum((-np.log(1 - rng.random(len(x))) / np.log(UPPER)).astype(int), 6)
+        order = np.argsort(-top, kind="stable")
+        g = cls(np.ascontiguousarray(x, np.float32), [], int(order[0]))
         for level in range(top.max(initial=0), -1, -1):
-            self._add(self.order[: int((top >= level).sum())], GROUND if level == 0 else UPPER, beam)
+            g._add(order[: int((top >= level).sum())], GROUND if level == 0 else UPPER)
+        return g
 
-    def _add(self, nodes: np.ndarray, degree: int, beam: int) -> None:
-        links = np.full((len(self.x), degree), -1, np.int64)
+    def _add(self, nodes: np.ndarray, degree: int) -> None:
+        links = np.full((len(self.x), degree), -1, np.int32)
         done = 0
         while done < len(nodes):
-            new = nodes[done : done + (BLOCK if done >= BLOCK else max(64, done))]
+            new = nodes[done : done + min(BLOCK, max(64, done))]
             sims = self.x[new] @ self.x[new].T
             np.fill_diagonal(sims, -2)
             near = np.argsort(-sims, axis=1)[:, : min(degree, len(new) - 1)]
             cand, sim = new[near], np.take_along_axis(sims, near, axis=1)
             if done:
-                self.layers.append(links)
-                found, s = self._beam(self.x[new], self._entry(self.x[new], len(self.layers) - 1, nodes[0]), links, beam, None)
-                self.layers.pop()
+                found, s = self.walk(self.x[new], self.entry(self.x[new], self.layers), links, BUILD_BEAM)
                 cand, sim = np.concatenate([cand, found], axis=1), np.concatenate([sim, s], axis=1)
             links[new] = self._spread(cand, sim, degree)
             self._back(links, new, degree)
@@ -51,7 +63,7 @@ class Graph:
         """Choosing links anew can leave a node that no walk reaches: link it from the nearest reached one."""
         while True:
             seen = np.zeros(len(self.x), bool)
-            edge = nodes[:1]
+            edge = np.array([self.first])
             while len(edge):
                 seen[edge] = True
                 edge = np.unique(links[edge])
@@ -61,12 +73,12 @@ class Graph:
             if not len(lost):
                 return links
             lost = lost[:BLOCK]
-            near = good[(self.x[lost] @ self.x[good].T).argmax(axis=1)]
+            near = np.concatenate([good[(self.x[lost[i : i + 32]] @ self.x[good].T).argmax(axis=1)] for i in range(0, len(lost), 32)])
             order = np.argsort(near, kind="stable")
             near, lost = near[order], lost[order]
             first = np.flatnonzero(np.diff(near, prepend=-1))
             column = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
-            more = np.full((len(links), column.max() + 1), -1, np.int64)
+            more = np.full((len(links), column.max() + 1), -1, np.int32)
             more[near, column] = lost
             links = np.concatenate([links, more], axis=1)
 
@@ -94,206 +106,315 @@ class Graph:
         order = np.argsort(to, kind="stable")
         to, back = to[order], back[order]
         uniq, first, many = np.unique(to, return_index=True, return_counts=True)
+        free = (links[uniq] < 0).sum(axis=1)
+        room = many <= free
+        # room left: append
+        u, m, f = uniq[room], many[room], first[room]
+        at = np.repeat(degree - free[room], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        links[np.repeat(u, m), at] = back[np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        uniq, first, many = uniq[~room], first[~room], many[~room]
         for i in range(0, len(uniq), BLOCK):
             u, m = uniq[i : i + BLOCK], many[i : i + BLOCK]
-            extra = np.full((len(u), m.max()), -1, np.int64)
+            extra = np.full((len(u), m.max()), -1, np.int32)
             place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            extra[np.repeat(np.arange(len(u)), m), place] = back[first[i] : first[i] + m.sum()]
+            extra[np.repeat(np.arange(len(u)), m), place] = back[first[i] + np.concatenate([np.arange(a, a + k) for a, k in zip(first[i : i + BLOCK] - first[i], m, strict=True)])]
             cand = np.concatenate([links[u], extra], axis=1)
             cand.sort(axis=1)
             cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-            for j in range(0, len(u), max(1, 4_000_000 // (cand.shape[1] ** 2))):
-                k = slice(j, j + max(1, 4_000_000 // (cand.shape[1] ** 2)))
-                sim = np.einsum("nd,nkd->nk", self.x[u[k]], self.x[cand[k]])
-                links[u[k]] = self._spread(cand[k], sim, degree)
-
-    def _entry(self, q: np.ndarray, depth: int, start: int) -> np.ndarray:
-        """Walk down the upper `depth` layers to the nearest node that greedy steps reach."""
-        at = np.full(len(q), self.order[0] if depth else start)
-        for links in self.layers[:depth]:
+            step = max(1, 4_000_000 // cand.shape[1] ** 2)
+            for j in range(0, len(u), step):
+                k = slice(j, j + step)
+                links[u[k]] = self._spread(cand[k], np.einsum("nd,nkd->nk", self.x[u[k]], self.x[cand[k]]), degree)
+
+    def entry(self, q: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
+        """Walk down the layers above the one that is searched, to the nearest node that greedy steps reach."""
+        at = np.full(len(q), self.first)
+        for links in layers:
             best = np.einsum("nd,nd->n", q, self.x[at])
             moving = np.arange(len(q))
             while len(moving):
                 near = links[at[moving]]
                 s = np.where(near < 0, -2, np.einsum("nd,nkd->nk", q[moving], self.x[near]))
                 j = s.argmax(axis=1)
-                better = s[np.arange(len(moving)), j] > best[moving]
-                moving, near, s, j = moving[better], near[better], s[better], j[better]
-                at[moving], best[moving] = near[np.arange(len(moving)), j], s[np.arange(len(moving)), j]
+                some = np.arange(len(moving))
+                better = s[some, j] > best[moving]
+                at[moving[better]], best[moving[better]] = near[some, j][better], s[some, j][better]
+                moving = moving[better]
         return at
 
-    def _beam(self, q: np.ndarray, entry: np.ndarray, links: np.ndarray, beam: int, least: float | None):
-        """Expand the best `beam` nodes seen and, with `least`, every node of at least that similarity.
+    def walk(self, q: np.ndarray, entry: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the nearest `beam` nodes that expanding the best ones meets; -1 and -3 where there are fewer.
 
-        Returns the nearest `beam` (ids, similarities), or with `least` the (query, node) hits.
+        Queries go in blocks such that the table of visited nodes has about VISITED places.
         """
+        step = max(16, VISITED // len(self.x))
+        parts = [self._walk(q[i : i + step], entry[i : i + step], links, beam) for i in range(0, len(q), step)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def _walk(self, q, entry, links, beam):
         n, size = len(q), len(self.x)
-        sims = np.full((n, size), -3, np.float32)  # -3: not seen
-        todo = np.full((n, size), -3, np.float32)  # seen and not expanded
-        at = np.arange(n)
-        sims[at, entry] = todo[at, entry] = np.einsum("nd,nd->n", q, self.x[entry])
-        alive, width = at, min(AT_ONCE, size)
+        if len(self.stamp) < n * size or self.clock > 2**31 - 2 * n * size - 2:
+            self.stamp, self.clock = np.zeros(n * size, np.int32), 1
+        stamp, began = self.stamp, self.clock
+        ids, sims, todo = np.full((n, beam), -1, np.int32), np.full((n, beam), -3, np.float32), np.zeros((n, beam), bool)
+        ids[:, 0], sims[:, 0], todo[:, 0] = entry, np.einsum("nd,nd->n", q, self.x[entry]), True
+        stamp[np.arange(n) * size + entry] = began
+        self.clock += 1
+        alive, width = np.arange(n), min(AT_ONCE, beam)
         while len(alive):
-            t = todo[alive]
-            pick = np.argpartition(-t, width - 1, axis=1)[:, :width] if width < size else np.tile(np.arange(size), (len(alive), 1))
-            value = np.take_along_axis(t, pick, axis=1)
-            bar = -np.partition(-sims[alive], beam - 1, axis=1)[:, beam - 1] if beam < size else np.full(len(alive), -2.5)
-            if least is not None:
-                bar = np.minimum(bar, least)
-            go = (value > -2) & (value >= bar[:, None])
+            value = np.where(todo[alive], sims[alive], -9)
+            pick = np.argpartition(-value, width - 1, axis=1)[:, :width] if width < beam else np.tile(np.arange(beam), (len(alive), 1))
+            go = np.take_along_axis(value, pick, axis=1) > -3
             some = go.any(axis=1)
             alive, pick, go = alive[some], pick[some], go[some]
             if not len(alive):
                 break
-            who, which = np.nonzero(go)
-            rows, nodes = alive[who], pick[who, which]
-            todo[rows, nodes] = -3
-            near = links[nodes]
-            rows = np.repeat(rows, near.shape[1])
-            near = near.ravel()
-            fresh = near >= 0
-            fresh[fresh] = sims[rows[fresh], near[fresh]] == -3
-            rows, near = rows[fresh], near[fresh]
-            s = np.einsum("nd,nd->n", q[rows], self.x[near])
-            sims[rows, near] = todo[rows, near] = s
-        if least is not None:
-            return np.nonzero(sims >= least)
-        best = np.argpartition(-sims, min(beam, size) - 1, axis=1)[:, :beam]
-        s = np.take_along_axis(sims, best, axis=1)
-        return np.where(s > -3, best, -1), s
-
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of similarity at least `least` that the graph's walk reaches."""
-        q = np.ascontiguousarray(q, np.float32)
-        return self._beam(q, self._entry(q, len(self.layers) - 1, self.order[0]), self.layers[-1], beam, least)
+            todo[alive[:, None], pick] = False
+            nodes = ids[alive[:, None], pick]
+            near = np.where(go[:, :, None], links[nodes], -1).reshape(len(alive), -1)
+            at = np.flatnonzero(near.ravel() >= 0)
+            place = alive[at // near.shape[1]] * size + near.ravel()[at]
+            new = stamp[place] < began
+            at, place = at[new], place[new]
+            mark = np.arange(self.clock, self.clock + len(place), dtype=np.int32)
+            self.clock += len(place)
+            stamp[place] = mark
+            once = stamp[place] == mark  # of equal nodes the last
+            at, place = at[once], place[once]
+            rows, nodes = at // near.shape[1], place % size
+            s = np.full(near.shape, -3, np.float32)
+            s.ravel()[at] = np.einsum("nd,nd->n", q[alive[rows]], self.x[nodes])
+            all_s = np.concatenate([sims[alive], s], axis=1)
+            best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+            sims[alive] = np.take_along_axis(all_s, best, axis=1)
+            ids[alive] = np.take_along_axis(np.concatenate([ids[alive], near], axis=1), best, axis=1)
+            todo[alive] = np.take_along_axis(np.concatenate([todo[alive], s > -3], axis=1), best, axis=1)
+        return np.where(sims > -3, ids, -1), sims
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 class Shard:
-    """The vectors of a shard, their graph, and the components that its own links make."""
-
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, vectors: np.ndarray, least: float):
-        self.ids, self.weights, self.least, self.beam = ids, weights, least, BEAM
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.graph = Graph(self.unit)
-        self.root = np.arange(len(ids))
-        self.own = []
-        for i in range(0, len(ids), BLOCK):
-            a, b = self.links(self.unit[i : i + BLOCK])
-            a, b = a[a + i != b] + i, b[a + i != b]
-            self.own.append((a, b))
-        self._join(np.concatenate([a for a, _ in self.own]), np.concatenate([b for _, b in self.own]))
+    """The vectors of a shard, their graph, and the groups that links between graph neighbours make."""
+
+    def __init__(self, ids, weights, exact, graph: Graph, root, least: float):
+        self.ids, self.weights, self.exact, self.graph, self.root, self.least, self.beam = ids, weights, exact, graph, root, least, BEAM
+
+    @classmethod
+    def build(cls, ids: np.ndarray, weights: np.ndarray, vectors: np.ndarray, least: float) -> Shard:
+        exact = unit(vectors)
+        out = cls(ids, weights, exact, Graph.build(exact), np.arange(len(ids)), least)
+        links = out.graph.layers[-1]
+        for i in range(0, len(ids), 4096):
+            a, j = np.nonzero(links[i : i + 4096] >= 0)
+            a, b = a + i, links[i : i + 4096][a, j]
+            out._join(*(x[out._true(exact[a], b)] for x in (a, b)))
+        return out
+
+    def stored(self) -> bytes:
+        f = io.BytesIO()
+        layers = {f"layer{i}": x for i, x in enumerate(self.graph.layers)}
+        np.savez(f, ids=self.ids, weights=self.weights, exact=self.exact, root=self.root, first=self.graph.first, **layers)
+        return f.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes, least: float) -> Shard:
+        with np.load(io.BytesIO(data)) as z:
+            layers = [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))]
+            return cls(z["ids"], z["weights"], z["exact"], Graph(z["exact"].astype(np.float32), layers, int(z["first"])), z["root"], least)
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            low = np.minimum(self.root[a], self.root[b])
-            before = self.root.copy()
-            np.minimum.at(self.root, a, low)
-            np.minimum.at(self.root, b, low)
-            self.root = self.root[self.root]
-            if (self.root == before).all():
-                return
-
-    def links(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Confirmed (query, member) links of a block; the beam widens until an audit of the block by brute force passes."""
-        audit = np.arange(0, len(unit), 8)
-        truth = unit[audit] @ self.unit.T >= self.least
-        while self.beam < len(self.ids):
-            a, b = self.graph.within(unit, self.least - 1e-4, self.beam)
-            true = np.einsum("nd,nd->n", unit[a], self.unit[b]) >= self.least
-            a, b = a[true], b[true]
-            found = np.zeros((len(unit), len(self.ids)), bool)
-            found[a, b] = True
-            if (found[audit] & truth).sum() >= RECALL * truth.sum():
-                return a, b
-            self.beam *= 2
-        return np.nonzero(unit @ self.unit.T >= self.least)  # the widest beam is the whole shard
+            a, b = self.root[a], self.root[b]
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            np.minimum.at(self.root, b, a)
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
 
-    def told(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray):
-        """(id, links, member): for each query and each local component that it meets, the links and one member."""
-        if not len(a):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _true(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.einsum("nd,nd->n", q, self.exact[b]) >= self.least
+
+    def links(self, q: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, group, links): how many vectors (copies counted) of each group are linked to each query, the query itself not counted.
+
+        own: each query's place in this shard, or -1. A walk whose beam holds links only is carried on over all of them.
+        """
+        size = len(self.ids)
+        if 2 * beam >= size:
+            out = [(a + i, r, n) for i in range(0, len(q), BLOCK) for a, r, n in [self._flood(q[i : i + BLOCK], own[i : i + BLOCK], np.arange(size), False)]]
+            return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        x = q.astype(np.float32)
+        start, far = own.copy(), np.flatnonzero(own < 0)
+        start[far] = self.graph.entry(x[far], self.graph.layers[:-1])
+        ids, s = self.graph.walk(x, start, self.graph.layers[-1], beam)
+        low = np.float32(self.least) - DOUBT
+        full = s.min(axis=1) >= low
+        a, j = np.nonzero((s >= low) & ~full[:, None])
+        b = ids[a, j]
+        sure = self._true(q[a], b) & (b != own[a])
+        out = [self._grouped(a[sure], b[sure])]
+        full = np.flatnonzero(full)
+        full = full[np.argsort(self.root[ids[full, s[full].argmax(axis=1)]], kind="stable")]  # likes together
+        for i in range(0, len(full), BLOCK):
+            f = full[i : i + BLOCK]
+            c, r, n = self._flood(q[f], own[f], np.unique(ids[f]), True)
+            out.append((f[c], r, n))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _grouped(self, a: np.ndarray, b: np.ndarray):
         key, at = np.unique(a * len(self.ids) + self.root[b], return_inverse=True)
-        n = np.bincount(at, weights=self.weights[b]).astype(np.int64)
-        return ids[key // len(self.ids)], n, self.ids[key % len(self.ids)]
+        n = np.bincount(at, weights=self.weights[b], minlength=len(key)).astype(np.int64)
+        return key // len(self.ids), key % len(self.ids), n
+
+    def _flood(self, q: np.ndarray, own: np.ndarray, nodes: np.ndarray, spread: bool):
+        """As links, by products with whole sets of nodes: the given ones and, with `spread`, those that linked ones lead to."""
+        x, ground, low = q.astype(np.float32), self.graph.layers[-1], np.float32(self.least)
+        seen = np.zeros(len(self.ids), bool)
+        seen[nodes] = True
+        out = []
+        while len(nodes):
+            met = []
+            for i in range(0, len(nodes), 8192):
+                some = nodes[i : i + 8192]
+                some = some[np.argsort(self.root[some], kind="stable")]
+                s = x @ self.graph.x[some].T
+                hot = s >= low + DOUBT
+                a, j = np.nonzero((s >= low - DOUBT) & ~hot)
+                hot[a, j] = self._true(q[a], some[j])
+                if spread:
+                    met.append(some[hot.any(axis=0)])
+                hot &= some != own[:, None]
+                group = self.root[some]
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                n = np.add.reduceat(hot * self.weights[some], first, axis=1)
+                a, j = np.nonzero(n)
+                out.append((a, group[first[j]], n[a, j]))
+            if not spread:
+                break
+            nodes = np.unique(ground[np.concatenate(met)])
+            nodes = nodes[nodes >= 0]
+            nodes = nodes[~seen[nodes]]
+            seen[nodes] = True
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def recall(self, q: np.ndarray, own: np.ndarray) -> float:
+        """Mean share of its true links that the walk finds of each query that has any."""
+        count = lambda got: np.bincount(got[0], weights=got[2], minlength=len(q))
+        found, true = count(self.links(q, own, self.beam)), count(self.links(q, own, len(self.ids)))
+        return float((found[true > 0] / true[true > 0]).mean()) if (true > 0).any() else 1.0
+
+    def probes(self) -> np.ndarray:
+        """Vectors just inside the threshold from members of the shard: links that an audit must find even where the data have none."""
+        at = np.unique(np.linspace(0, len(self.ids) - 1, PROBES).astype(int))
+        v = self.exact[at]
+        side = (randoms(31, v.size) >> np.uint64(11)).astype(float).reshape(v.shape) / 2**53 - 0.5
+        side -= (side * v).sum(axis=1, keepdims=True) * v
+        if v.shape[1] == 1:
+            return v
+        c = min(self.least + 1e-3, 1.0)
+        return c * v + np.sqrt(1 - c * c) * unit(side)
+
+    def audit(self, q: np.ndarray, own: np.ndarray) -> float:
+        """Widen the beam until the audit of the probes and of these queries passes; at its widest the search is brute force."""
+        while True:
+            p = self.probes()
+            r = min(self.recall(p, np.full(len(p), -1)), self.recall(q, own))
+            if r >= RECALL or 2 * self.beam >= len(self.ids):
+                return r
+            self.beam *= 2
+
 
+def _vectors(part: pa.RecordBatch, at: int, where: np.ndarray) -> np.ndarray:
+    v = part.column(at).filter(pa.array(where))
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(where.sum(), -1)
+
+
+def _built(parts, least: float):
+    """The rows of one shard (shard, node, n, embedding) to the parts of its stored graph."""
+    shard, ids, weights, vectors = 0, [], [], []
+    for part in parts:
+        if len(part):
+            shard = part.column(0)[0].as_py()
+            ids.append(part.column(1).to_numpy())
+            weights.append(part.column(2).to_numpy())
+            vectors.append(_vectors(part, 3, np.ones(len(part), bool)))
+    if ids:
+        data = Shard.build(np.concatenate(ids), np.concatenate(weights), np.concatenate(vectors), least).stored()
+        for i, at in enumerate(range(0, len(data), PART)):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([i], pa.int32()), pa.array([data[at : at + PART]], pa.binary())], ["shard", "part", "data"])
 
-def _searched(parts, least: float):
-    """Stream of rows ordered by shard, then members before queries."""
-    at, shard, members = None, None, []
 
-    def close():
-        ids, w, v = (np.concatenate(c) for c in zip(*members, strict=True))
-        return Shard(ids, w, v, least)
+def _searched(parts, least: float, slices: int):
+    """The parts of one stored graph (role 0), then queries (role 1): node, n, other of each query and group that it meets."""
+    stored, shard = [], None
 
-    def batch(cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], ["node", "n", "other"])
+    def told(node, n, other):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (node, n, other)], ["node", "n", "other"])
 
     for part in parts:
-        out = [[], [], []]
-        role, ids, weights = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-        shards = np.array(part.column(0).to_pylist(), dtype=object)
-        sizes = part.column(5).to_numpy()
-        flat = part.column(4).flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (role[1:] != role[:-1])) + 1
-        for i, j in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-            if i == j:
-                continue
-            if shards[i] != at:
-                if members and shard is None:
-                    _emit_own(close(), out)
-                at, shard, members = shards[i], None, []
-            v = flat[ends[i] - sizes[i] : ends[j - 1]].reshape(j - i, sizes[i]).astype(float)
-            if role[i] == 0:
-                members.append((ids[i:j], weights[i:j], v))
-                continue
-            if shard is None and members:
-                shard = close()
-                _emit_own(shard, out)
-            if shard is not None:
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                for k in range(0, len(unit), BLOCK):
-                    a, b = shard.links(unit[k : k + BLOCK])
-                    for c, x in zip(out, shard.told(ids[i:j][k : k + BLOCK], a, b), strict=True):
-                        c.append(x)
-        yield batch(out)
-    if members and shard is None:
-        out = [[], [], []]
-        _emit_own(close(), out)
-        yield batch(out)
-
-
-def _emit_own(shard: Shard, out) -> None:
-    for a, b in shard.own:
-        for c, x in zip(out, shard.told(shard.ids, a, b), strict=True):
-            c.append(x)
+        asked = part.column(1).to_numpy() == 1
+        stored += part.column(5).filter(pa.array(~asked)).to_pylist()
+        if not asked.any() or shard is None and not stored:  # a small table can leave a shard empty
+            continue
+        if shard is None:
+            shard = Shard.load(b"".join(stored), least)
+            stored.clear()
+            if part.column(0)[0].as_py() % slices == 0:
+                far = np.flatnonzero(shard.root != np.arange(len(shard.root)))
+                yield told(shard.ids[far], np.zeros(len(far), np.int64), shard.ids[shard.root[far]])
+            order = np.argsort(shard.ids)
+            fresh = True
+        ids, q = part.column(2).to_numpy()[asked], unit(_vectors(part, 4, asked))
+        near = order[np.minimum(np.searchsorted(shard.ids, ids, sorter=order), len(order) - 1)]
+        own = np.where(shard.ids[near] == ids, near, -1)
+        if fresh:
+            some = np.unique(np.linspace(0, len(ids) - 1, PROBES).astype(int))
+            shard.audit(q[some], own[some])
+            fresh = False
+        a, group, n = shard.links(q, own, shard.beam)
+        yield told(ids[a], n, shard.ids[group])
 
 
 VALID = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
 
 
-def near_vectors(rows: DataFrame, least: float = 0.95, size: int = SHARD) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each row of (vec_id, embedding).
 
-    Equal vectors make a class, of which one is indexed; classes are dealt to shards by a hash, each shard builds its
-    graph, and every class is searched in every shard. n_links counts the other vec_ids linked directly, copies
-    included. Vectors that are null, empty, zero or have null or non-finite components, and rows without vec_id, link
-    with nothing (component_id is then vec_id itself); vectors of different lengths link with nothing either. A vec_id
-    that repeats with the same vector counts once. Other columns are ignored.
+    Equal vectors make a class, of which one is indexed. Classes are dealt by a hash to shards as large as a task's
+    memory allows (FEWEST at least), each shard builds its graph in one task, and the graph is written to the shared
+    folder. Then every class is searched in every shard, by slices of the classes: slices and shards go to tasks one to
+    one. So the work is rows times shards, and a walk grows with the logarithm of the shard. n_links counts the other
+    vec_ids linked directly, copies included. Vectors that are null, empty, zero or have null or non-finite components,
+    and rows without vec_id, link with nothing (component_id is then vec_id itself); vectors of different lengths link
+    with nothing either. A vec_id that repeats with the same vector counts once; one with different vectors is one
+    node of all their links. Other columns are ignored; an empty table gives no rows.
     """
+    spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     ok = rows.where(VALID).where("vec_id is not null")
     classes = cut(ok.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("n")))
-    shards = classes.groupBy(F.size("embedding").alias("dims")).agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias("shards"))
-    dealt = classes.join(F.broadcast(shards), F.size("embedding") == F.col("dims"))
-    own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
-    named = dealt.select(own.alias("own"), "dims", "shards", "node", "n", "embedding")
-    members = named.select(F.struct("dims", "own").alias("shard"), F.lit(0).alias("role"), "node", "n", "embedding")
-    asked = named.select(F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("of"), "*").where("of <> own")
-    asked = asked.select(F.struct("dims", F.col("of").alias("own")).alias("shard"), F.lit(1).alias("role"), "node", "n", "embedding")
-    stream = members.union(asked).select(F.concat_ws("/", "shard.dims", "shard.own").alias("shard"), "role", "node", "n", "embedding", F.size("embedding").alias("dims"))
-    stream = stream.repartition(max(shuffle_partitions(rows.sparkSession), 2), "shard").sortWithinPartitions("shard", "role", "node")
-    found = cut(stream.mapInArrow(lambda parts: _searched(parts, least), "node long, n long, other long"))
+    size = F.greatest(F.lit(SHARD_LEAST) if shard_bytes == SHARD_BYTES else F.lit(1), F.floor(F.lit(shard_bytes) / (4 * F.col("dims"))))
+    lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("many"))
+    lengths = lengths.withColumn("shards", F.greatest(F.least(F.lit(FEWEST), "many"), F.ceil(F.col("many") / size)).cast("int"))
+    # a row for each length of vectors
+    lengths = cut(lengths.withColumn("base", (F.sum("shards").over(W.orderBy("dims")) - F.col("shards")).cast("int")))
+    total = lengths.agg(F.sum("shards")).first()[0] or 1
+    slices = max(1, shuffle_partitions(spark) // total)
+    named = classes.join(F.broadcast(lengths), F.size("embedding") == F.col("dims"))
+    own = (F.col("base") + F.pmod(F.xxhash64("node", "dims"), F.col("shards"))).cast("int")
+    members = named.select(own.alias("shard"), "node", "n", "embedding").repartitionById(total, F.col("shard")).sortWithinPartitions("node")
+    graphs = cut(members.mapInArrow(lambda parts: _built(parts, least), "shard int, part int, data binary"))
+    task = lambda shard, slice_: (shard * slices + slice_).cast("int").alias("task")
+    none = lambda kind: F.lit(None).cast(kind)
+    slice_ = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    held = graphs.withColumn("slice", slice_).select(task(F.col("shard"), F.col("slice")), F.lit(0).alias("role"), F.col("part").cast("long").alias("node"), none("long").alias("n"), none("array<double>").alias("embedding"), "data")
+    asked = named.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1))).select(task(F.col("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slices))), F.lit(1).alias("role"), "node", "n", "embedding", none("binary").alias("data"))
+    stream = held.union(asked).repartitionById(total * slices, F.col("task")).sortWithinPartitions("role", "node").select("task", "role", "node", "n", "embedding", "data")
+    found = cut(stream.mapInArrow(lambda parts: _searched(parts, least, slices), "node long, n long, other long"))
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     outer = found.groupBy("node").agg(F.sum("n").alias("outer"))
     by_class = classes.join(outer, "node", "left").join(labels, "node", "left").select("embedding", (F.coalesce("outer", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "node").alias("component"))

@@ -95,7 +95,7 @@ def test_components_and_links_of_vectors(spark):
     v[50:90] = v[0] + 0.05 * g.normal(size=(40, 16))
     v[100:110] = v[100]
     rows = [(i, [float(c) for c in x]) for i, x in enumerate(v)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (None, [1.0] * 16), (1003, [1.0, None])]
-    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), size=64).toPandas()
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_bytes=64 * 64).toPandas()
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     link = (u @ u.T >= 0.95) & ~np.eye(300, dtype=bool)
     at = got[got.vec_id < 300].set_index("vec_id").sort_index()
