@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, mix, randoms, shuffle_partitions, table
+from .common import cut, mix, randoms, shuffle_partitions, table, unused
 from .shingles import batches, shingle_sets
 
 #: Bounds of the training sample: labelled rows of each kind.
@@ -25,8 +26,13 @@ SIGNATURE, COPY = 32, 28
 #: Windows of a text that the driver trains on: all up to MOST_WINDOWS; of more, HINTED with most evidence, others by hash.
 MOST_WINDOWS, HINTED = 32, 24
 GRAMS = (3, 5, 7)
-#: A bucket is known if its share of toxic training texts is this unlikely (as a log) by chance; others keep a zero embedding.
-EVIDENCE = 7.0
+#: Embeddings begin at a bucket's log odds, the more so the less likely its share of toxic texts is by chance (half of them
+#: at this log); how far embeddings learn beside the other weights, their decay, and the share of words that training leaves out.
+SURPRISE, SLOW, DECAY, DROPPED = 7.0, 0.03, 1e-3, 0.05
+#: Updates before the network's own scores, in place of the words' log odds, say which window of a text is its highest.
+UNTAUGHT = 80
+#: One in so many training texts is kept back for calibration.
+KEPT_BACK = 5
 
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[65:91] += 32
@@ -82,22 +88,6 @@ class Words:
         count = np.diff(np.append(self.first, len(self.gram)))[:, None].astype(np.float32)
         return np.concatenate([p["word"][self.word], np.add.reduceat(p["gram"][self.gram], self.first, axis=0) / count], axis=1)
 
-    def told(self, p: dict) -> None:
-        """Words of which no bucket is known have the same input, zeros: they become one entry, the first."""
-        if not len(self.word):
-            return
-        known = p["word"].any(axis=1)[self.word] | np.logical_or.reduceat(p["gram"].any(axis=1)[self.gram], self.first)
-        count = np.diff(np.append(self.first, len(self.gram)))
-        kept = np.flatnonzero(known)
-        at = np.zeros(len(known), np.int64)
-        at[kept] = np.arange(1, len(kept) + 1)
-        dull = np.append(np.flatnonzero(~known), 0)[:1]
-        kept = np.concatenate([dull, kept])
-        self.index, self.word, many = at[self.index], self.word[kept], count[kept]
-        begin = np.cumsum(many) - many
-        self.gram = self.gram[np.repeat(self.first[kept] - begin, many) + np.arange(many.sum())]
-        self.first = begin
-
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """All windows (positions of words, -1 past a text's end) and the text of each; an empty text has one empty window."""
         n = np.diff(self.offsets)
@@ -115,7 +105,7 @@ def _sigmoid(x):
 def start_weights(seed: int = 1) -> dict:
     g = np.random.default_rng(seed)
     r = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    p = {"word": g.standard_normal((BUCKETS, WIDTH)).astype(np.float32) * np.float32(0.05), "gram": g.standard_normal((BUCKETS, WIDTH)).astype(np.float32) * np.float32(0.05)}
+    p = {k: np.zeros((BUCKETS, WIDTH), np.float32) for k in ("word", "gram")}
     for d in "fb":
         p |= {f"x{d}": r(2 * WIDTH, 3 * HIDDEN), f"u{d}": r(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
     return p | {"att": r(2 * HIDDEN, ATTEND), "v": r(ATTEND), "out": r(2 * HIDDEN), "bias": np.zeros(1, np.float32), "slope": np.ones(1, np.float32), "shift": np.zeros(1, np.float32)}
@@ -208,15 +198,14 @@ def _counts(texts: list[str | None], y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_odds(counts: np.ndarray, base: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For the buckets of words and of n-grams: log odds that a text that holds one is toxic, and whether enough texts say so."""
+def _log_odds(counts: np.ndarray, base: float) -> dict[str, np.ndarray]:
+    """For the buckets of words and of n-grams: log odds that a text that holds one is toxic, drawn towards 0 as far as chance explains them."""
     out = {}
     for k, (one, all_) in zip(("word", "gram"), counts, strict=True):
         share = np.clip(one / np.maximum(all_, 1), 1e-9, 1 - 1e-9)
         surprise = all_ * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-        known = (share > base) & (surprise > EVIDENCE)
-        odds = np.clip(np.log((one + base) / (all_ - one + 1 - base) * (1 - base) / base), 0, 5)
-        out[k] = np.where(known, odds, 0).astype(np.float32), known
+        odds = np.clip(np.log((one + base) / (all_ - one + 1 - base) * (1 - base) / base), -2, 5)
+        out[k] = (odds / (1 + np.exp(np.clip(2 * (SURPRISE - surprise), -30, 30)))).astype(np.float32)
     return out
 
 
@@ -224,7 +213,7 @@ def _picked(texts: list[str | None], odds: dict) -> list[tuple[list[bytes], list
     """For each text the words of its windows for training, one window after another, and how many each has."""
     words = Words(texts)
     at, text = words.windows()
-    hint = words.inputs({k: odds[k][0][:, None] for k in ("word", "gram")}).sum(axis=1)
+    hint = words.inputs({k: odds[k][:, None] for k in ("word", "gram")}).sum(axis=1)
     score = np.where(at >= 0, hint[words.index[at]] if len(hint) else 0, 0).max(axis=1)
     ends = np.searchsorted(text, np.arange(len(texts) + 1))
     out = []
@@ -265,9 +254,21 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 8) -> dict:
     texts, y = [texts[i] for i in unlike], np.asarray(y, np.float32)[unlike]
     if not len(y) or y.min() == y.max():
         return _untold(y)
-    odds = _log_odds(_counts(texts, y), y.mean())
-    p = _fitted(_picked(texts, odds), y, odds, epochs)
-    return p | _calibrated(_tops(p, texts), y)
+    back = _kept_back(y)
+    seen, heard = [t for t, b in zip(texts, back, strict=True) if not b], [t for t, b in zip(texts, back, strict=True) if b]
+    odds = _log_odds(_counts(seen, y[~back]), y[~back].mean())
+    p = _fitted(_picked(seen, odds), y[~back], odds, epochs)
+    return p | _calibrated(_tops(p, heard or seen), y[back] if heard else y)
+
+
+def _kept_back(y: np.ndarray) -> np.ndarray:
+    """Of each label every KEPT_BACK-th text, which only calibrates: scores of texts that were trained on are too sure. None of a label
+    with fewer than 3 * KEPT_BACK texts."""
+    out = np.zeros(len(y), bool)
+    if min((y == 0).sum(), (y == 1).sum()) >= 3 * KEPT_BACK:
+        for v in (0, 1):
+            out[np.flatnonzero(y == v)[KEPT_BACK - 1 :: KEPT_BACK]] = True
+    return out
 
 
 def _untold(y: np.ndarray) -> dict:
@@ -281,14 +282,14 @@ def _untold(y: np.ndarray) -> dict:
 def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: dict, epochs: int = 8, batch: int = 256, seed: int = 1) -> dict:
     """Weights from the picked windows of texts and the labels of these, not calibrated yet.
 
-    The first component of each embedding starts as its log odds. A toxic text is toxic in some window, not in all:
-    each epoch takes its highest window as the toxic example, and a clean text's highest and one other as clean ones.
+    Every word and n-gram has an embedding that is trained; its first component starts as its log odds. A toxic text is
+    toxic in some window, not in all: each epoch takes its highest window as the toxic example, and a clean text's
+    highest and one other as clean ones. Embeddings decay, and DROPPED of the words have no input in training, so that
+    no text is learned by its rare words alone.
     """
     p = start_weights(seed)
-    word_known, gram_known = odds["word"][1], odds["gram"][1]
     for k in ("word", "gram"):
-        p[k][:, 0] = 0.5 * odds[k][0]
-        p[k] *= odds[k][1][:, None]
+        p[k][:, 0] = 0.5 * odds[k]
     coded = pa.array((w for x, _ in picked for w in x), pa.binary()).dictionary_encode()
     words = Words([b" ".join(coded.dictionary.to_pylist()).decode("utf-8", "surrogatepass")])
     words.index = words.index[coded.indices.to_numpy()]
@@ -297,7 +298,6 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
     text = np.repeat(np.arange(len(picked)), [len(sizes) for _, sizes in picked])
     for d in "fb":
         p[f"x{d}"][[0, WIDTH]] += np.float32(0.5)
-    words.told(p)
     index, mask = np.where(at >= 0, words.index[at], 0).T if len(words.index) else np.zeros_like(at).T, (at >= 0).T
     hint = words.inputs(p)[:, [0, WIDTH]].sum(axis=1)
     score = np.where(mask, hint[index] if len(hint) else 0, -9).max(axis=0).astype(np.float32)
@@ -308,7 +308,7 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
     epochs = max(epochs, min(40, -(-240 * batch // (2 * len(y)))))  # a small sample needs its updates too
     weight = np.float32(min(8.0, (1 - y.mean()) / y.mean() / 2 + 1))
     for epoch in range(epochs):
-        if epoch:
+        if step >= UNTAUGHT and epoch % 2:
             score = _scores(p, words, index, mask)
         order = np.lexsort((-score, text))
         first = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
@@ -325,7 +325,8 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
             many = np.diff(np.append(words.first, len(words.gram)))[used]
             sub.first = np.cumsum(many) - many
             sub.gram = words.gram[np.repeat(words.first[used] - sub.first, many) + np.arange(many.sum())]
-            x = sub.inputs(p)
+            kept = (rng.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
+            x = sub.inputs(p) * kept
             keep: dict = {}
             logit = forward(p, tuple(x @ p[f"x{d}"] + p[f"c{d}"] for d in "fb"), inner, mask[:, c], keep)
             t = y[text[c]]
@@ -335,52 +336,59 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
                 summed = _sum_by(inner.ravel(), dx[d].reshape(-1, 3 * HIDDEN), len(used))
                 g[f"x{d}"] = x.T @ summed
                 d_in += summed @ p[f"x{d}"].T
-            g["word"] = _sum_by(sub.word, d_in[:, :WIDTH], BUCKETS) * word_known[:, None]
-            g["gram"] = _sum_by(sub.gram, np.repeat(d_in[:, WIDTH:] / many[:, None], many, axis=0), BUCKETS) * gram_known[:, None]
+            d_in *= kept
+            g["word"] = _sum_by(sub.word, d_in[:, :WIDTH], BUCKETS)
+            g["gram"] = _sum_by(sub.gram, np.repeat(d_in[:, WIDTH:] / many[:, None], many, axis=0), BUCKETS)
             step += 1
             for k, v in g.items():
                 m[k] += np.float32(0.1) * (v - m[k])
                 s[k] += np.float32(0.01) * (v * v - s[k])
-                p[k] -= rate * (np.float32(0.1) if k in ("word", "gram") else np.float32(1)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+                if k in ("word", "gram"):
+                    p[k] *= np.float32(1 - DECAY)
+                p[k] -= rate * (np.float32(SLOW) if k in ("word", "gram") else np.float32(1)) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(s[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
     return p
 
 
 def _scores(p: dict, words: Words, index: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:
-    """Logit of each window; windows of the first entry alone are alike and are run once."""
+    """Logit of each window."""
     x = words.inputs(p) if len(words.word) else np.zeros((1, 2 * WIDTH), np.float32)
     rows = tuple(x @ p[f"x{d}"] + p[f"c{d}"] for d in "fb")
-    like = mask.all(axis=0) & ~index.any(axis=0)
-    run = np.flatnonzero(~like)
-    if like.any():
-        run = np.append(run, np.flatnonzero(like)[0])
     out = np.zeros(index.shape[1], np.float32)
-    for i in range(0, len(run), block):
-        c = run[i : i + block]
-        out[c] = forward(p, rows, index[:, c], mask[:, c])
-    if like.any():
-        out[like] = out[run[-1]]
+    for i in range(0, len(out), block):
+        out[i : i + block] = forward(p, rows, index[:, i : i + block], mask[:, i : i + block])
     return out
 
 
 def _calibrated(top: np.ndarray, y: np.ndarray) -> dict:
-    """Slope and shift of a logistic curve from the highest window's logit to the document's label."""
-    a, b = 1.0, 0.0
+    """Slope and shift of a logistic curve from the highest window's logit to the document's label, by damped Newton steps."""
     x = np.clip(top.astype(float), -30, 30)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w, e = q * (1 - q) + 1e-9, q - y
-        hess = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(hess, [(e * x).sum() + (a - 1), e.sum()])
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-6:
+    mid, wide = np.median(x), max(x.std(), 0.1)
+    x = (x - mid) / wide
+    at, damp = np.array([wide, mid]), 1e-3
+
+    def loss(at):
+        z = at[0] * x + at[1]
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (at[0] / wide - 1) ** 2
+
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
+        w, e = q * (1 - q), q - y
+        grad = np.array([(e * x).sum() + (at[0] / wide - 1) / wide, e.sum()])
+        hess = np.array([[(w * x * x).sum() + wide**-2, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        step = np.linalg.solve(hess + damp * np.eye(2), grad)
+        if loss(at - step) <= loss(at):
+            at, damp = at - step, damp / 4
+        else:
+            damp *= 8
+        if abs(step).max() < 1e-8:
             break
-    return {"slope": np.array([max(a, 0.05)], np.float32), "shift": np.array([b], np.float32)}
+    slope = max(at[0] / wide, 0.05)
+    return {"slope": np.array([slope], np.float32), "shift": np.array([at[1] - slope * mid], np.float32)}
 
 
 def _tops(p: dict, texts: list[str | None]) -> np.ndarray:
     """Logit of the highest window of each whole text."""
     words = Words(texts)
-    words.told(p)
     at, text = words.windows()
     index, mask = (np.where(at >= 0, words.index[at], 0) if len(words.index) else np.zeros_like(at)).T, (at >= 0).T
     top = np.full(len(texts), -np.inf)
@@ -454,29 +462,35 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
     y = signed.toxic.to_numpy(np.float32)
     if not len(y) or y.min() == y.max():
         return _untold(y)
-    ids = rows.sparkSession.createDataFrame([(i,) for i in signed.doc_id.tolist()], rows.select("doc_id").schema)
-    rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    odds = _log_odds(_evidence(rows), y.mean())
-    windows = _over(rows, lambda t, _: [pa.array(c, k) for c, k in zip(zip(*_picked(t, odds)), (pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)], "words array<binary>, sizes array<int>")
+    back = _kept_back(y)
+    ids = rows.sparkSession.createDataFrame(list(zip(signed.doc_id.tolist(), back.tolist(), strict=True)), rows.select("doc_id", F.lit(True).alias("back")).schema)
+    rows = rows.join(F.broadcast(ids), "doc_id")  # as many as the sample at most
+    seen, heard = rows.where("not back"), rows.where("back") if back.any() else rows
+    odds = _log_odds(_evidence(seen), y[~back].mean())
+    windows = _over(seen, lambda t, _: [pa.array(c, k) for c, k in zip(zip(*_picked(t, odds)), (pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)], "words array<binary>, sizes array<int>")
     windows = windows.toArrow().sort_by("doc_id")
-    p = _fitted(list(zip(windows["words"].to_pylist(), windows["sizes"].to_pylist(), strict=True)), y, odds, epochs)
-    top = _over(rows, lambda t, _: [pa.array(_tops(p, t))], "top double").toPandas().sort_values("doc_id").top
-    return p | _calibrated(top.to_numpy(), y)
+    p = _fitted(list(zip(windows["words"].to_pylist(), windows["sizes"].to_pylist(), strict=True)), y[~back], odds, epochs)
+    top = _over(heard, lambda t, _: [pa.array(_tops(p, t))], "top double").toPandas().sort_values("doc_id").top
+    return p | _calibrated(top.to_numpy(), y[back] if back.any() else y)
 
 
-def scored(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs (not text twice) with the score of each whole text; null and empty texts get one too."""
-    fields = [f for f in docs.select(*keep).schema.fields]
-    out = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+def scored(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs with the score of each whole text in a last column `name`, which no kept column may have.
+
+    Null and empty texts get a score too; rows are scored one by one, whatever repeats; an empty table gives no rows.
+    """
+    if name.lower() in (c.lower() for c in keep):
+        raise ValueError(f"a column {name} is there already")
+    fields = docs.select(*keep).schema.fields
+    schema = StructType([*fields, StructField(name, DoubleType())])
 
     def run(parts):
         for part in parts:
             texts = part.column(len(fields)).to_pylist()
             got = [score_texts(model, texts[i:j]) for i, j in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*[f.name for f in fields], "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*[f.name for f in fields], name])
 
-    return out.mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(unused(docs, "text"))).mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,6 +500,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs whose whole text scores under the threshold, with their columns as they were."""
-    model = fit(docs, labels)
-    return scored(docs, model, docs.columns).where(F.col("score") < threshold).drop("score")
+    """docs whose whole text scores under the threshold, with their columns as they were, whatever their names.
+
+    Null and empty texts are scored as texts without words; repeated rows have one score and stay or go together.
+    """
+    name = unused(docs, "score")
+    return scored(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).select(*docs.columns)

@@ -298,3 +298,26 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, j in want.items() if i == j}
     assert c.mixing(spark, c.personal_data(spark, docs, SF), SF).columns == docs.columns
     assert [n for n, _ in c.STAGES] == ["toxicity", "near_dedup", "personal_data", "mixing", "packing"] and len(registry.QUERIES) == 10
+
+
+def test_toxicity_reads_ordinary_words_and_beats_all_clean():
+    """Held-out rows of the labelled table; words without evidence change a score too, as nothing is masked."""
+    folder = "/root/testdata/sf0.01"
+    d, lab = (ds.dataset(f"{folder}/{n}.parquet").to_table().to_pandas() for n in ("documents", "labels"))
+    x = lab[lab.toxic.isin([0, 1])].merge(d[["doc_id", "text"]], on="doc_id").dropna(subset=["text"])
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in x.doc_id])
+    p = toxicity.train(x.text[~held].tolist(), x.toxic[~held].to_numpy())
+    s, y = toxicity.score_texts(p, x.text[held].tolist()), x.toxic[held].to_numpy()
+    assert ((s >= 0.5) == y).mean() > (y == 0).mean() and ((s >= 0.5) & (y == 1)).sum() >= 0.5 * y.sum()
+    assert len(set(toxicity.score_texts(p, [f"der und {w} haus" for w in ("baum", "nicht", "kein", "wasser")]))) == 4
+    assert (p["word"] != 0).any(axis=1).sum() > 2000
+
+
+def test_toxic_scores_with_columns_of_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a", 5.0, "x", "y"), (1, "a", 5.0, "x", "y"), (None, None, None, None, None), (2, "", 1.0, "x", "y"), (3, "long " * 90000, 1.0, "x", "y")], "doc_id long, text string, score double, __text string, toxic string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.without_toxic(d, none)
+    assert got.columns == d.columns and sorted(map(str, got.collect())) == sorted(map(str, d.collect()))
+    assert toxicity.without_toxic(d.limit(0), none).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.scored(d, toxicity.train([], np.zeros(0)), ["doc_id", "score"])
