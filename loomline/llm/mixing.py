@@ -12,6 +12,8 @@ from .common import cut, table
 
 #: Exponents looked at in one pass, passes, most blocks of a source, most sources that are broadcast.
 GRID, PASSES, BLOCKS, MOST_BROADCAST = 16, 6, 1024, 100_000
+#: An ending block is cut into 2 ** PART_BITS parts.
+PART_BITS = 10
 
 
 def tokens(text: Column) -> Column:
@@ -20,7 +22,7 @@ def tokens(text: Column) -> Column:
 
 
 def exponent(sources: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> float:
-    """The exponent in [0, 1] that shares are raised to, from a table of (source, tokens).
+    """The exponent in [0, 1] that shares are raised to, from a table of (s, tokens), a row for each source.
 
     With target_entropy (nats) the largest whose mixture has that entropy at least; else the least at which no source is
     repeated more than max_repeats times when every source is used once at least. Entropy and repetition both fall as
@@ -53,7 +55,7 @@ def exponent(sources: DataFrame, target_entropy: float | None = None, max_repeat
 
 
 def weights(sources: DataFrame, alpha: float, budget: int | None = None) -> DataFrame:
-    """source, tokens, weight (normalised), budget in tokens and whole epochs of each source.
+    """s, tokens, weight (normalised), budget in tokens and whole epochs of each source.
 
     Without a budget it is the least that uses every source once at least. Sources without tokens have weight 0 and
     keep their rows once.
@@ -71,40 +73,54 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
 
     A source's rows fall into blocks by a hash of the row; an epoch takes whole blocks in the order of a hash of source,
     epoch and block. Whole epochs take every row; the last, partial one takes blocks while the budget lasts, then rows of
-    the next block in the order of their hash, never past the budget. So each row decides for itself from three values
-    of its source, and no text is shuffled. A null source is a source of its own; null and empty texts have no tokens
-    and come once with each epoch of their source; equal rows are used equally often. Columns named epoch and turn are
-    replaced.
+    the next block in the order of their hash, never past the budget: parts of that block by ranges of the hash first,
+    then the rows of one part. So each row decides for itself from a few values of its source, and no text is shuffled.
+
+    A null source is a source of its own; null and empty texts have no tokens and come once with each epoch of their
+    source; equal rows are used equally often, very long texts count by their words like others; an empty table gives
+    no rows. Columns of any name are kept as they are, but columns named epoch and turn are replaced. An entropy above
+    that of even weights cannot be met: weights are then even.
     """
-    at = docs.withColumns({"__h": F.xxhash64("doc_id", "text"), "__s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))})
-    narrow = cut(at.select("__s", "__h", tokens(F.col("text")).alias("tokens")))
-    sources = cut(narrow.groupBy("__s").agg(F.sum("tokens").alias("tokens")))
+    keep = [c for c in docs.columns if c.lower() not in ("epoch", "turn")]
+    named = lambda c: F.col(f"`{c}`")
+    at = docs.select(F.struct(*map(named, keep)).alias("row"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("s"), tokens(F.col("text")).alias("tokens"))
+    narrow = cut(at.select("s", "h", "tokens"))
+    sources = cut(narrow.groupBy("s").agg(F.sum("tokens").alias("tokens")))
     told = cut(weights(sources, exponent(sources, target_entropy, max_repeats), budget))
     few = told.count() <= MOST_BROADCAST
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
-    block = F.pmod(F.xxhash64("__h", F.lit(seed)), F.lit(BLOCKS)).cast("int")
-    turn = lambda epoch: F.xxhash64("__s", epoch, "block", F.lit(seed))
+    block = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(BLOCKS)).cast("int")
+    turn = lambda epoch: F.xxhash64("s", epoch, "block", F.lit(seed))
     # the partial epoch: the block in which the budget ends (at most BLOCKS rows of a source meet in a window)
-    per = narrow.withColumn("block", block).groupBy("__s", "block").agg(F.sum("tokens").alias("tokens"))
-    per = per.join(small(told.select("__s", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("left"))), "__s")
-    order = W.partitionBy("__s").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, -1)
-    ends = per.withColumn("turn", turn(F.col("epochs"))).withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    ends = ends.where("before <= left and before + tokens > left").groupBy("__s").agg(F.min(F.struct("turn", "block", (F.col("left") - F.col("before")).alias("room"))).alias("e"))
-    ends = cut(ends.select("__s", "e.*"))
-    inner = narrow.withColumn("block", block).join(small(ends), ["__s", "block"])
-    # equal rows stand or fall together
-    inner = inner.groupBy("__s", "__h").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room"))
-    upto = W.partitionBy("__s").orderBy("__h").rowsBetween(W.unboundedPreceding, 0)
-    last = inner.withColumn("sum", F.sum("tokens").over(upto)).where("sum <= room").groupBy("__s").agg(F.max("__h").alias("last"))
-    limits = cut(told.select("__s", "epochs", (F.col("tokens") > 0).alias("some")).join(ends.withColumnRenamed("turn", "end_turn").withColumnRenamed("block", "end_block"), "__s", "left").join(last, "__s", "left"))
-    rows = at.join(small(limits), "__s").withColumn("block", block)
+    per = narrow.withColumn("block", block).groupBy("s", "block").agg(F.sum("tokens").alias("tokens"))
+    per = per.join(small(told.select("s", "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).alias("left"))), "s")
+    per = _ending(per.withColumn("turn", turn(F.col("epochs"))), ["turn", "block"], "left")
+    ends = cut(per.select("s", "turn", "block", (F.col("left") - F.col("before")).alias("room")))
+    # rows of that block: equal ones stand or fall together; first its part, then the row, in which the room ends
+    inner = narrow.withColumn("block", block).join(small(ends.select("s", "block", "room")), ["s", "block"])
+    inner = cut(inner.groupBy("s", "h").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room")).withColumn("part", F.shiftright("h", 64 - PART_BITS)))
+    parts = inner.groupBy("s", "part").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room"))
+    parts = _ending(parts, ["part"], "room").select("s", "part", (F.col("room") - F.col("before")).alias("rest"))
+    upto = W.partitionBy("s").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    rows = inner.join(small(parts), ["s", "part"]).withColumn("fits", F.sum("tokens").over(upto) <= F.col("rest"))
+    below = F.when(F.col("part") > -(1 << (PART_BITS - 1)), F.shiftleft(F.col("part"), 64 - PART_BITS) - 1)
+    last = rows.groupBy("s").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("h"))), F.first(below)).alias("last"))
+    limits = cut(told.select("s", "epochs", (F.col("tokens") > 0).alias("some")).join(ends.select("s", F.col("turn").alias("end_turn"), F.col("block").alias("end_block")), "s", "left").join(last, "s", "left"))
+    used = at.select("row", "h", "s").join(small(limits), "s").withColumn("block", block)
     mine = F.struct(turn(F.col("epochs")), F.col("block"))
     end = F.struct(F.col("end_turn"), F.col("end_block"))
-    partial = F.col("some") & F.col("end_turn").isNotNull() & ((mine < end) | ((F.col("block") == F.col("end_block")) & F.coalesce(F.col("__h") <= F.col("last"), F.lit(False))))
+    partial = F.col("some") & F.col("end_turn").isNotNull() & ((mine < end) | ((F.col("block") == F.col("end_block")) & F.coalesce(F.col("h") <= F.col("last"), F.lit(False))))
     copies = F.col("epochs") + F.when(partial, 1).otherwise(0)
-    keep = [c for c in docs.columns if c not in ("epoch", "turn")]
-    used = rows.where(copies > 0).select(*keep, "__s", "block", F.explode(F.sequence(F.lit(0), copies - 1)).alias("epoch"))
-    return used.select(*keep, "epoch", turn(F.col("epoch")).alias("turn"))
+    used = used.where(copies > 0).select("row", "s", "block", F.explode(F.sequence(F.lit(0), copies - 1)).alias("epoch"))
+    return used.select(*[F.col("row")[c].alias(c) for c in keep], "epoch", turn(F.col("epoch")).alias("turn"))
+
+
+def _ending(sums: DataFrame, order: list[str], room: str) -> DataFrame:
+    """Of each source the first row, in order, at which the running sum of tokens passes the room, with the sum `before` it."""
+    upto = W.partitionBy("s").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    found = sums.withColumn("before", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).where(f"before <= {room} and before + tokens > {room}")
+    columns = [*order, *[c for c in found.columns if c not in ("s", *order)]]
+    return found.groupBy("s").agg(F.min(F.struct(*columns)).alias("e")).select("s", "e.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

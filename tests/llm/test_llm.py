@@ -271,7 +271,7 @@ def test_mixing_weights_and_budget(spark):
     assert n["big"] == 600 and all(145 <= n[f"s{i}"] <= 150 for i in range(3)) and set(got.doc_id) == set(range(900))
     less = mixing.mixture(d, max_repeats=2.0, budget=3000).toPandas()
     assert 280 <= len(less) <= 300
-    src = spark.createDataFrame([("a", 900), ("b", 100)], "__s string, tokens long")
+    src = spark.createDataFrame([("a", 900), ("b", 100)], "s string, tokens long")
     a = mixing.exponent(src, target_entropy=0.6)
     w = np.array([900.0, 100.0]) ** a
     w /= w.sum()
