@@ -24,7 +24,7 @@ BUCKETS, WIDTH, HIDDEN, ATTEND = 1 << 15, 8, 12, 12
 #: Min-hashes of a text, and how many must equal those of an earlier text of the same label for a copy of it.
 SIGNATURE, COPY = 32, 28
 #: Windows of a text that the driver trains on: all up to MOST_WINDOWS; of more, HINTED with most evidence, others by hash.
-MOST_WINDOWS, HINTED = 32, 24
+MOST_WINDOWS, HINTED = 24, 18
 GRAMS = (3, 5, 7)
 #: Embeddings begin at a bucket's log odds, the more so the less likely its share of toxic texts is by chance (half of them
 #: at this log); how far embeddings learn beside the other weights, their decay, and the share of words that training leaves out.
@@ -257,7 +257,8 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 8) -> dict:
     back = _kept_back(y)
     seen, heard = [t for t, b in zip(texts, back, strict=True) if not b], [t for t, b in zip(texts, back, strict=True) if b]
     odds = _log_odds(_counts(seen, y[~back]), y[~back].mean())
-    p = _fitted(_picked(seen, odds), y[~back], odds, epochs)
+    picked = _picked(seen, odds)
+    p = _fitted(pa.array((w for x, _ in picked for w in x), pa.binary()), [len(x) for _, x in picked], np.array([n for _, x in picked for n in x]), y[~back], odds, epochs)
     return p | _calibrated(_tops(p, heard or seen), y[back] if heard else y)
 
 
@@ -279,8 +280,8 @@ def _untold(y: np.ndarray) -> dict:
     return p | {"slope": np.zeros(1, np.float32)}
 
 
-def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: dict, epochs: int = 8, batch: int = 256, seed: int = 1) -> dict:
-    """Weights from the picked windows of texts and the labels of these, not calibrated yet.
+def _fitted(said: pa.Array, many: list[int] | np.ndarray, sizes: np.ndarray, y: np.ndarray, odds: dict, epochs: int = 8, batch: int = 256, seed: int = 1) -> dict:
+    """Weights, not calibrated yet, from the words of all windows, the windows of each text, the words of each window, and the texts' labels.
 
     Every word and n-gram has an embedding that is trained; its first component starts as its log odds. A toxic text is
     toxic in some window, not in all: each epoch takes its highest window as the toxic example, and a clean text's
@@ -290,12 +291,14 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
     p = start_weights(seed)
     for k in ("word", "gram"):
         p[k][:, 0] = 0.5 * odds[k]
-    coded = pa.array((w for x, _ in picked for w in x), pa.binary()).dictionary_encode()
+    coded = said.dictionary_encode()
     words = Words([b" ".join(coded.dictionary.to_pylist()).decode("utf-8", "surrogatepass")])
-    words.index = words.index[coded.indices.to_numpy()]
-    words.offsets = np.cumsum([0, *(n for _, sizes in picked for n in sizes)])
+    words.index = words.index.astype(np.int32)[coded.indices.to_numpy()]
+    del said, coded
+    words.offsets = np.concatenate([[0], np.cumsum(sizes)])
     at, _ = words.windows()  # one each
-    text = np.repeat(np.arange(len(picked)), [len(sizes) for _, sizes in picked])
+    at = at.astype(np.int32)
+    text = np.repeat(np.arange(len(many)), many)
     for d in "fb":
         p[f"x{d}"][[0, WIDTH]] += np.float32(0.5)
     index, mask = np.where(at >= 0, words.index[at], 0).T if len(words.index) else np.zeros_like(at).T, (at >= 0).T
@@ -322,9 +325,9 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
             inner = inner.reshape(index[:, c].shape)
             sub = Words.__new__(Words)
             sub.word = words.word[used]
-            many = np.diff(np.append(words.first, len(words.gram)))[used]
-            sub.first = np.cumsum(many) - many
-            sub.gram = words.gram[np.repeat(words.first[used] - sub.first, many) + np.arange(many.sum())]
+            grams = np.diff(np.append(words.first, len(words.gram)))[used]
+            sub.first = np.cumsum(grams) - grams
+            sub.gram = words.gram[np.repeat(words.first[used] - sub.first, grams) + np.arange(grams.sum())]
             kept = (rng.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
             x = sub.inputs(p) * kept
             keep: dict = {}
@@ -338,7 +341,7 @@ def _fitted(picked: list[tuple[list[bytes], list[int]]], y: np.ndarray, odds: di
                 d_in += summed @ p[f"x{d}"].T
             d_in *= kept
             g["word"] = _sum_by(sub.word, d_in[:, :WIDTH], BUCKETS)
-            g["gram"] = _sum_by(sub.gram, np.repeat(d_in[:, WIDTH:] / many[:, None], many, axis=0), BUCKETS)
+            g["gram"] = _sum_by(sub.gram, np.repeat(d_in[:, WIDTH:] / grams[:, None], grams, axis=0), BUCKETS)
             step += 1
             for k, v in g.items():
                 m[k] += np.float32(0.1) * (v - m[k])
@@ -468,8 +471,10 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
     seen, heard = rows.where("not back"), rows.where("back") if back.any() else rows
     odds = _log_odds(_evidence(seen), y[~back].mean())
     windows = _over(seen, lambda t, _: [pa.array(c, k) for c, k in zip(zip(*_picked(t, odds)), (pa.list_(pa.binary()), pa.list_(pa.int32())), strict=True)], "words array<binary>, sizes array<int>")
-    windows = windows.toArrow().sort_by("doc_id")
-    p = _fitted(list(zip(windows["words"].to_pylist(), windows["sizes"].to_pylist(), strict=True)), y[~back], odds, epochs)
+    windows = windows.toArrow().sort_by("doc_id").combine_chunks()  # no Python object for each word: the driver is small
+    flat, each = (windows[c].chunk(0) for c in ("words", "sizes"))
+    del windows
+    p = _fitted(flat.flatten(), np.diff(each.offsets.to_numpy()), each.flatten().to_numpy(), y[~back], odds, epochs)
     top = _over(heard, lambda t, _: [pa.array(_tops(p, t))], "top double").toPandas().sort_values("doc_id").top
     return p | _calibrated(top.to_numpy(), y[back] if back.any() else y)
 
