@@ -94,8 +94,10 @@ class Words:
         many = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
         text = np.repeat(np.arange(len(n)), many)
         begin = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
-        at = self.offsets[text][:, None] + begin[:, None] + np.arange(WINDOW)
-        return np.where(at < self.offsets[text + 1][:, None], at, -1), text
+        places = self.offsets.astype(np.int32 if self.offsets[-1] < 2**31 - WINDOW else np.int64)
+        at = (places[text] + begin.astype(places.dtype))[:, None] + np.arange(WINDOW, dtype=places.dtype)
+        at[at >= places[text + 1][:, None]] = -1
+        return at, text
 
 
 def _sigmoid(x):
@@ -297,7 +299,6 @@ def _fitted(said: pa.Array, many: list[int] | np.ndarray, sizes: np.ndarray, y:
     del said, coded
     words.offsets = np.concatenate([[0], np.cumsum(sizes)])
     at, _ = words.windows()  # one each
-    at = at.astype(np.int32)
     text = np.repeat(np.arange(len(many)), many)
     for d in "fb":
         p[f"x{d}"][[0, WIDTH]] += np.float32(0.5)
@@ -352,7 +353,7 @@ def _fitted(said: pa.Array, many: list[int] | np.ndarray, sizes: np.ndarray, y:
     return p
 
 
-def _scores(p: dict, words: Words, index: np.ndarray, mask: np.ndarray, block: int = 2048) -> np.ndarray:
+def _scores(p: dict, words: Words, index: np.ndarray, mask: np.ndarray, block: int = 512) -> np.ndarray:
     """Logit of each window."""
     x = words.inputs(p) if len(words.word) else np.zeros((1, 2 * WIDTH), np.float32)
     rows = tuple(x @ p[f"x{d}"] + p[f"c{d}"] for d in "fb")
