@@ -40,6 +40,27 @@ _CLEAN[[i for i in range(128) if not chr(i).isalnum()]] = 32
 _BYTE, _PLACE, _AT = randoms(11, 256), randoms(12, 64) | np.uint64(1), randoms(13, 64) | np.uint64(1)
 
 
+def _grams(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams' buckets of some words, each between two blanks, word after word, and how many each word has (one at least)."""
+    long = size + 2
+    begin = np.cumsum(long) - long
+    of = np.repeat(np.arange(len(start)), long)
+    flat = data[np.repeat(start - 1, long) + np.arange(len(of)) - np.repeat(begin, long)]
+    grams, owners = [], []
+    for n in GRAMS:
+        m = len(flat) - n + 1
+        if m <= 0:
+            continue
+        h = np.zeros(m, np.uint64)
+        for j in range(n):
+            h += _BYTE[flat[j : j + m]] * _AT[j]
+        inside = of[:m] == of[n - 1 :]
+        grams.append((mix(h[inside] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int32))
+        owners.append(of[:m][inside])
+    owner = np.concatenate(owners)
+    return np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(start))
+
+
 class Words:
     """The words of some texts: for each a dictionary index, and for each dictionary entry its hash buckets."""
 
@@ -60,26 +81,9 @@ class Words:
         self.index = pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)
         once = np.flatnonzero(np.diff(np.maximum.accumulate(self.index), prepend=-1))
         self.word = (keys[once] & np.uint64(BUCKETS - 1)).astype(np.int64)
-        # n-grams of the distinct words, each between two blanks
-        long = size[once] + 2
-        begin = np.cumsum(long) - long
-        of = np.repeat(np.arange(len(once)), long)
-        flat = data[np.repeat(start[once] - 1, long) + np.arange(len(of)) - np.repeat(begin, long)]
-        grams, owners = [], []
-        for n in GRAMS:
-            m = len(flat) - n + 1
-            if m <= 0:
-                continue
-            h = np.zeros(m, np.uint64)
-            for j in range(n):
-                h += _BYTE[flat[j : j + m]] * _AT[j]
-            inside = of[:m] == of[n - 1 :]
-            grams.append((mix(h[inside] + np.uint64(n)) & np.uint64(BUCKETS - 1)).astype(np.int64))
-            owners.append(of[:m][inside])
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        self.gram = np.concatenate(grams)[order]
-        self.first = np.searchsorted(owner[order], np.arange(len(once)))  # every word has a 3-gram at least
+        parts = [_grams(data, start[x], size[x]) for i in range(0, len(once), 1 << 14) for x in [once[i : i + (1 << 14)]]]
+        many = np.concatenate([m for _, m in parts])
+        self.gram, self.first = np.concatenate([g for g, _ in parts]), np.cumsum(many) - many
 
     def inputs(self, p: dict) -> np.ndarray:
         """Word embedding beside the mean of the character n-gram embeddings, for each dictionary entry."""
