@@ -27,6 +27,19 @@ def repair(s: DataFrame) -> DataFrame:
     return s.withColumn("value", F.coalesce(between, "v0", "v1")).drop("v0", "p0", "v1", "p1").where("value is not null")
 
 
+def filled(v: Column) -> Column:
+    """An array with its missing values on the line between the nearest finite ones by place, ends held; null where none is finite."""
+    fine = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: is_finite(p["x"]))
+
+    def one(x, i, fine):
+        low, high = F.element_at(F.filter(fine, lambda p: p["i"] < i), -1), F.get(F.filter(fine, lambda p: p["i"] > i), F.lit(0))
+        between = low["x"] + (high["x"] - low["x"]) * (i - low["i"]) / (high["i"] - low["i"])
+        return F.when(is_finite(x), x).otherwise(F.coalesce(between, low["x"], high["x"]))
+
+    gap = F.exists(v, lambda x: ~is_finite(x))
+    return F.when(~gap, v).when(F.exists(v, is_finite), F.transform(v, lambda x, i: one(x, i, fine)))
+
+
 def finite_runs(s: DataFrame, least: int = 12) -> DataFrame:
     """Maximal runs of finite values of at least `least`: series_id, run (from 0), start, length."""
     ok = s.where(is_finite(F.col("value")))
@@ -85,43 +98,56 @@ def correlation(n: Column, va: Column, vb: Column, cab: Column) -> Column:
 
 
 def autocorrelation(s: DataFrame, lags=(1, 2, 4, 8, 16, 32)) -> DataFrame:
-    """acf of each lag; one window pass for all lags, one aggregation."""
-    s = s.withColumns({f"l{k}": _lag(k) for k in lags})
+    """acf of each lag, and diff_acf1 of the first differences; one window pass for all lags, one aggregation."""
+    d = F.col("value") - F.col("l1")
+    s = s.withColumns({f"l{k}": _lag(k) for k in {1, 2, *lags}}).withColumns({"d": d, "d1": F.col("l1") - F.col("l2")})
     aggs = [e.alias(f"{m}{k}") for k in lags for m, e in _moments(F.col("value"), F.col(f"l{k}")).items()]
-    out = s.groupBy("series_id").agg(*aggs)
-    return out.select("series_id", *[correlation(*(F.col(f"{m}{k}") for m in ("n", "va", "vb", "cab"))).alias(f"acf{k}") for k in lags])
+    out = s.groupBy("series_id").agg(*aggs, *[e.alias(f"{m}d") for m, e in _moments(F.col("d"), F.col("d1")).items()])
+    named = {**{f"acf{k}": k for k in lags}, "diff_acf1": "d"}
+    return out.select("series_id", *[correlation(*(F.col(f"{m}{k}") for m in ("n", "va", "vb", "cab"))).alias(name) for name, k in named.items()])
+
+
+def place() -> Column:
+    """The place of a value in its series, from 0, whatever the gaps."""
+    return F.row_number().over(W.partitionBy("series_id").orderBy("pos")) - 1
 
 
 def slope(s: DataFrame) -> DataFrame:
-    """Least-squares slope over position, 0 for fewer than two values; deviation of first differences."""
-    s = s.withColumn("d", F.col("value") - _lag(1))
-    out = s.groupBy("series_id").agg(F.count("value").alias("n"), F.covar_pop("pos", "value").alias("c"), F.var_pop("pos").alias("v"), F.stddev_pop("d").alias("diff_sd"))
+    """Least-squares slope over the place of a value (0 to n - 1, gaps closed), 0 for fewer than two values; deviation of first differences."""
+    s = s.withColumns({"d": F.col("value") - _lag(1), "t": place()})
+    out = s.groupBy("series_id").agg(F.count("value").alias("n"), F.covar_pop("t", "value").alias("c"), F.var_pop("t").alias("v"), F.stddev_pop("d").alias("diff_sd"))
     return out.select("series_id", F.when(F.col("n") >= 2, guarded(F.col("c"), F.col("v"))).otherwise(0.0).alias("slope"), "diff_sd")
 
 
 def outlier(s: DataFrame) -> DataFrame:
-    """Largest deviation from the median over 1.4826 MAD (the standard deviation where that is 0), and where it lies."""
+    """Largest deviation from the median over 1.4826 MAD (the standard deviation where that is under 1e-12), and where it first lies, from 0 to 1."""
+    s = s.withColumn("t", place())
     mid = s.groupBy("series_id").agg(F.median("value").alias("med"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"))
     dev = s.join(mid, "series_id").withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    out = dev.groupBy("series_id").agg(F.median("dev").alias("mad"), F.first("sd").alias("sd"), F.first("n").alias("n"), F.max(F.struct("dev", (-F.col("pos")).alias("back"))).alias("top"))
-    scale = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("sd"))
-    return out.select("series_id", F.coalesce(guarded(F.col("top.dev"), scale), F.lit(0.0)).alias("score"), (-F.col("top.back") / F.greatest(F.col("n") - 1, F.lit(1))).alias("place"))
+    out = dev.groupBy("series_id").agg(F.median("dev").alias("mad"), F.first("sd").alias("sd"), F.first("n").alias("n"), F.max(F.struct("dev", (-F.col("t")).alias("back"))).alias("top"))
+    scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).otherwise(F.greatest("sd", F.lit(1e-12)))
+    return out.select("series_id", (F.col("top.dev") / scale).alias("score"), (-F.col("top.back") / F.greatest(F.col("n") - 1, F.lit(1))).alias("place"))
 
 
 def segments(s: DataFrame, parts: int = 8) -> DataFrame:
-    """Mean, deviation and slope of near-equal parts, longer ones first."""
-    s = s.withColumn("segment", F.ntile(parts).over(W.partitionBy("series_id").orderBy("pos")).cast("long"))
-    out = s.groupBy("series_id", "segment").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.covar_pop("pos", "value").alias("c"), F.var_pop("pos").alias("v"))
+    """Mean, deviation and slope (over places) of near-equal parts, longer ones first."""
+    s = s.withColumn("t", place()).withColumn("segment", F.ntile(parts).over(W.partitionBy("series_id").orderBy("pos")).cast("long"))
+    out = s.groupBy("series_id", "segment").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.covar_pop("t", "value").alias("c"), F.var_pop("t").alias("v"))
     return out.select("series_id", "segment", "mean", "sd", F.coalesce(guarded(F.col("c"), F.col("v")), F.lit(0.0)).alias("slope"))
 
 
-def lead_lag(a: DataFrame, b: DataFrame, n: int, top: int = 3) -> DataFrame:
+def with_reach(rows: DataFrame, reach) -> DataFrame:
+    """Adds `reach`, from the number n of a pair's values."""
+    return rows.join(rows.groupBy("pair").agg(F.count("*").alias("n")).select("pair", reach(F.col("n")).cast("int").alias("reach")), "pair")
+
+
+def lead_lag(a: DataFrame, b: DataFrame, top: int = 3) -> DataFrame:
     """Correlations of a[t] with b[t + lag] for all lags in reach; the strongest, then the shortest, then the lowest lag.
 
-    a and b have (pair, pos, value); only |lag| rows a value are joined, on pair and position.
+    a and b have (pair, pos, value) and are as long as each other; only |lag| rows a value are joined, on pair and position.
     """
-    reach = min(128, n - max(32, n // 3))
-    near = a.select("pair", F.col("value").alias("x"), "pos", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("lag")).withColumn("at", F.col("pos") + F.col("lag"))
+    reach = lambda n: F.greatest(F.lit(0), F.least(F.lit(128), n - F.greatest(F.lit(32), F.floor(n / 3))))
+    near = with_reach(a, reach).select("pair", F.col("value").alias("x"), "pos", F.explode(F.sequence(-F.col("reach"), F.col("reach"))).alias("lag")).withColumn("at", F.col("pos") + F.col("lag"))
     joined = near.join(b.select("pair", F.col("pos").alias("at"), F.col("value").alias("y")), ["pair", "at"])
     out = joined.groupBy("pair", "lag").agg(*[e.alias(m) for m, e in _moments(F.col("x"), F.col("y")).items()])
     out = out.select("pair", F.col("lag").cast("long").alias("lag"), correlation(F.col("n"), F.col("va"), F.col("vb"), F.col("cab")).alias("r"))
@@ -157,15 +183,15 @@ def dominant_period(s: DataFrame) -> DataFrame:
     return s.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, period double, share double")
 
 
-def predictive_gain(source: DataFrame, target: DataFrame, n: int) -> DataFrame:
+def predictive_gain(source: DataFrame, target: DataFrame) -> DataFrame:
     """pair, lag, gain: how much of what a value's predecessor leaves open the source at an earlier step explains.
 
     The relative fall of the squared error is the squared partial correlation, so moments by lag are enough. Of equal
     gains the first lag counts; lag 0 and gain 0 where nothing is gained.
     """
-    reach = min(32, n // 4)
-    own = target.withColumn("z", F.lag("value").over(W.partitionBy("pair").orderBy("pos"))).where(F.col("pos") >= reach)
-    near = source.select("pair", F.col("value").alias("x"), "pos", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("lag")).withColumn("pos", F.col("pos") + F.col("lag"))
+    reach = lambda n: F.least(F.lit(32), F.floor(n / 4))
+    own = with_reach(target, reach).withColumn("z", F.lag("value").over(W.partitionBy("pair").orderBy("pos"))).where(F.col("pos") >= F.col("reach"))
+    near = with_reach(source, reach).where("reach > 0").select("pair", F.col("value").alias("x"), "pos", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("lag")).withColumn("pos", F.col("pos") + F.col("lag"))
     j = own.select("pair", "pos", F.col("value").alias("y"), "z").join(near, ["pair", "pos"])
     both = {"yz": ("y", "z"), "yx": ("y", "x"), "zx": ("z", "x")}
     m = j.groupBy("pair", "lag").agg(*[e.alias(f"{k}_{name}") for k, (a, b) in both.items() for name, e in _moments(F.col(a), F.col(b)).items()])

@@ -6,23 +6,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import is_finite
+
 #: The form of a number and of a forecast block.
-NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+NUMBER = r"[-+]?(?:(?:\d{1,18}(?:\.\d{1,12})?)|(?:\.\d{1,12}))(?:[eE][-+]?\d{1,2})?"
 OPEN, CLOSE = "<forecast>", "</forecast>"
 
 
-def number(x: Column) -> Column:
-    """Six significant digits without trailing zeros, whole numbers from a million on; null for what is not finite.
+def formatted(x: Column, form: str = ".6g", whole: float = 1e6) -> Column:
+    """x by a format of significant digits below `whole`, and as a whole number from there on; null for what is not finite.
 
     Arrow batches: the JVM's %g rounds the shortest decimal form, not the double, and differs in the last digit of ties.
     """
 
     @F.pandas_udf("string")
-    def six(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: f"{v:.6g}", na_action="ignore").astype(object)
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: format(v, form) if v < whole else f"{v:.0f}", na_action="ignore").astype(object)
+
+    return run(F.when(is_finite(x), x.cast("double")))
+
+
+def number(x: Column) -> Column:
+    """Six significant digits without trailing zeros, whole numbers from a million on (not for those under minus a million)."""
+    return formatted(x)
+
+
+def measure(x: Column) -> Column:
+    """Five decimals without trailing zeros; four significant digits for large and tiny numbers; 0 for what is not finite."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: f"{v:.4g}" if abs(v) >= 1e4 or 0 < abs(v) < 1e-4 else f"{v:.5f}".rstrip("0").rstrip("."), na_action="ignore").astype(object)
 
-    whole = F.bround(x).cast("decimal(38,0)").cast("string")
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.when(x == 0, "0").when(F.abs(x) >= 1e6, whole).otherwise(six(x)))
+    return F.coalesce(run(F.when(is_finite(x), x.cast("double"))), F.lit("0"))
 
 
 def block(pairs: Column) -> Column:
@@ -39,8 +55,8 @@ def budget(horizon: Column) -> Column:
 def parsed(rows: DataFrame, text: str, stamps: str) -> DataFrame:
     """Adds `values` (array by requested stamp, null where rejected) and `problem` (null where none).
 
-    The last block counts, of a stamp that repeats the last value. No block, a missing stamp and a value that is not
-    finite reject the row. Null text has no block.
+    The last block counts, of a stamp that repeats the last value. No block, a missing stamp (one whose number has not the
+    fixed form, too) and a value that is not finite reject the row. Null text has no block.
     """
     blocks = F.regexp_extract_all(F.col(text), F.lit("(?is)<forecast>(.*?)</forecast>"), 1)
     pairs = F.regexp_extract_all(F.element_at("__b", -1), F.lit(rf"(?s)(\(\s*[^,\r\n]+?\s*,\s*{NUMBER}\s*\))"), 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.series import is_finite
+
 LEVELS = [k / 10 for k in range(1, 10)]
 
 
@@ -57,13 +59,22 @@ def blended(left: Column, right: Column, mass: float) -> Column:
 
 def row_optimum(rows: DataFrame) -> DataFrame:
     """Blend weight in [0, 1] of least weighted absolute error per window, from (window, left, right, y, weight): a weighted median of roots."""
-    d = rows.where("right - left <> 0 and y is not null").select("window", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("y") - F.col("left")) / (F.col("right") - F.col("left")))).alias("root"), (F.abs(F.col("right") - F.col("left")) * F.col("weight")).alias("mass"))
+    rows = rows.where(is_finite(F.col("left")) & is_finite(F.col("right")) & is_finite(F.col("y")))
+    d = rows.where("right - left <> 0").select("window", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("y") - F.col("left")) / (F.col("right") - F.col("left")))).alias("root"), (F.abs(F.col("right") - F.col("left")) * F.col("weight")).alias("mass"))
     w = W.partitionBy("window")
     d = d.withColumns({"cum": F.sum("mass").over(w.orderBy("root").rangeBetween(W.unboundedPreceding, 0)), "total": F.sum("mass").over(w)})
     low, high = F.min(F.when(F.col("cum") >= F.col("total") / 2, F.col("root"))), F.min(F.when(F.col("cum") > F.col("total") / 2, F.col("root")))
     return d.groupBy("window").agg(((low + F.coalesce(high, F.max("root"))) / 2).alias("optimum"))
 
 
+def blend_mass(optima: DataFrame) -> float:
+    """The mean of the rows' optima (nulls say nothing); an error where none is usable. One number goes to the driver."""
+    mass = optima.agg(F.avg("optimum")).first()[0]
+    if mass is None:
+        raise ValueError("no row tells a blend weight")
+    return mass
+
+
 def routed(rows: DataFrame, text: str, full: str, weights: list[list[float]], bias: list[float], share: float = 0.5) -> DataFrame:
     """Softmax routing weights of a linear form of two state vectors."""
     v = F.zip_with(F.col(text), F.col(full), lambda a, b: (1 - share) * a.cast("double") + share * b.cast("double"))

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.series import is_finite
 from .pooling import LEVELS
 
 
 def cell_scores(f: DataFrame, cell: list[str]) -> DataFrame:
-    """Seasonal MASE and pinball CRPS per cell from (q, y, scale), one row a step; missing y is masked, a null scale drops the window from MASE."""
-    e = F.when(F.col("y").isNotNull() & F.col("scale").isNotNull(), F.abs(F.col("q")[4] - F.col("y")) / F.col("scale"))
-    loss = [F.sum(2 * F.greatest(p * (F.col("y") - F.col("q")[i]), (p - 1) * (F.col("y") - F.col("q")[i]))) for i, p in enumerate(LEVELS)]
-    level = F.greatest(F.sum(F.abs("y")), F.lit(1e-8))
+    """Seasonal MASE and pinball CRPS per cell from (q, y, scale), one row a step; y that is null or not finite is masked, such a scale, or 0, drops the window from MASE."""
+    y = F.when(is_finite(F.col("y")), F.col("y"))
+    e = F.when(is_finite(F.col("scale")) & (F.col("scale") > 0), F.abs(F.col("q")[4] - y) / F.col("scale"))
+    loss = [F.sum(2 * F.greatest(p * (y - F.col("q")[i]), (p - 1) * (y - F.col("q")[i]))) for i, p in enumerate(LEVELS)]
+    level = F.greatest(F.sum(F.abs(y)), F.lit(1e-8))
     return f.groupBy(*cell).agg(F.avg(e).alias("mase"), (sum(loss[1:], loss[0]) / 9.0 / level).alias("crps"))
 
 
 def complete_peers(board: DataFrame) -> DataFrame:
     """Rows of the models that have a finite score in every cell."""
-    ok = board.where("mase is not null and not isnan(mase)")
+    ok = board.where(is_finite(F.col("mase")))
     cells = board.agg(F.count_distinct("cell").alias("cells"))
     full = ok.groupBy("model").agg(F.count_distinct("cell").alias("n")).join(F.broadcast(cells), F.col("n") == F.col("cells")).select("model")
     return ok.join(full, "model", "left_semi")
@@ -38,10 +40,17 @@ def board_report(ranked: DataFrame) -> DataFrame:
 
 
 def sample_crps(paths: DataFrame, keys: list[str]) -> DataFrame:
-    """Unbiased sample CRPS per key from (sample value s, y): the sorted form, one window instead of a self-join."""
+    """Unbiased sample CRPS per key from (sample value s, y); null for one sample.
+
+    Of the pairs of samples only those count that lie on one side of y, by the distance of the nearer one: a sample
+    below y is the nearer one for all below it, one above for all above it. So the terms of one sorted window are
+    never negative and cancel nothing, and no sample is joined with another.
+    """
     w = W.partitionBy(*keys)
     x = paths.withColumns({"i": F.row_number().over(w.orderBy("s")), "n": F.count("*").over(w)})
-    return x.groupBy(*keys).agg((F.avg(F.abs(F.col("s") - F.col("y"))) - F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("s")) / (F.first("n") * (F.first("n") - 1))).alias("crps"))
+    gap = F.when(F.col("s") <= F.col("y"), (F.col("i") - 1) * (F.col("y") - F.col("s"))).otherwise((F.col("n") - F.col("i")) * (F.col("s") - F.col("y")))
+    n = F.first("n")
+    return x.groupBy(*keys).agg((F.sum(2 * gap) / F.nullif(n * (n - 1), F.lit(0))).alias("crps"))
 
 
 def capped_score(rows: DataFrame, most: float = 5.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.series import admissible, filled
 from .curate import hash_key
 
 #: History lengths in horizons, and the shortest history.
@@ -21,22 +22,28 @@ def picked(key: Column, choices: tuple[int, ...]) -> Column:
 def sampled(arrays: DataFrame, terms: dict[str, int], limit: int, seed: int, most: int = 8192) -> DataFrame:
     """series_id, term, horizon, cutoff, history, future: at most `limit` windows of each row of (series_id, v array).
 
-    Each term gets up to ceil(limit / terms) cutoffs, drawn by hash; the history has 2, 4, 8 or 16 horizons, as far as
-    there are values. Series of fewer than 12 values give none.
+    Each term has up to ceil(limit / terms) cutoffs: four times as many are drawn from a hash of their number, equal
+    ones counted once, and the first by hash are kept whose window is admissible once missing values are filled in the
+    history and in the future. The history has one of the different lengths that 2, 4, 8 or 16 horizons make, as far
+    as there are values. Series of fewer than 12 values give none.
     """
     kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(h).alias("horizon")) for t, h in terms.items()]))
-    n = F.size("v")
+    n, each = F.size("v"), max(1, -(-limit // len(terms)))
     rows = arrays.where(n >= 12).select("series_id", n.alias("n"), kinds.alias("t")).select("series_id", "n", "t.*")
     first, last = F.greatest(F.lit(LEAST), F.least(4 * F.col("horizon"), F.lit(most))), F.col("n") - F.col("horizon")
-    cuts = rows.where(first <= last).withColumn("cutoff", F.explode(F.sequence(first, last)))
+    drawn = rows.where(first <= last).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(4 * each - 1))))
+    number = F.conv(F.substring(hash_key(seed, "series_id", "term", "draw"), 1, 8), 16, 10).cast("long")
+    cuts = drawn.withColumn("cutoff", (first + number % (last - first + 1)).cast("int")).drop("draw").distinct()
     cuts = cuts.withColumn("key", hash_key(seed, "series_id", "term", "cutoff"))
-    each = F.row_number().over(W.partitionBy("series_id", "term").orderBy("key"))
-    cuts = cuts.withColumn("r", each).where(F.col("r") <= -(-limit // len(terms)))
-    cuts = cuts.withColumn("r", F.row_number().over(W.partitionBy("series_id").orderBy("key"))).where(F.col("r") <= limit)
-    length = F.least(F.col("cutoff"), F.lit(most), picked(F.col("key"), LENGTHS) * F.col("horizon"))
-    cut = cuts.join(arrays, "series_id").withColumn("length", length)
-    history = F.slice("v", F.col("cutoff") - F.col("length") + 1, F.col("length"))
-    return cut.select("series_id", "term", "horizon", "cutoff", history.alias("history"), F.slice("v", F.col("cutoff") + 1, F.col("horizon")).alias("future"))
+    lengths = F.array_sort(F.array_distinct(F.array(*[F.least(F.col("cutoff"), F.lit(most), F.greatest(F.lit(LEAST), F.lit(k) * F.col("horizon"))) for k in LENGTHS])))
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring("key", 1, 1)) - 1
+    cut = cuts.withColumn("length", F.element_at(lengths, (digit % F.size(lengths) + 1).cast("int"))).join(arrays, "series_id")
+    history = filled(F.slice("v", F.col("cutoff") - F.col("length") + 1, F.col("length")))
+    whole = cut.select("series_id", "term", "horizon", "cutoff", "key", history.alias("history"), filled(F.slice("v", F.col("cutoff") + 1, F.col("horizon"))).alias("future"))
+    whole = whole.where("history is not null and future is not null").where(admissible(F.col("history"), F.col("future")))
+    turn = F.row_number().over(W.partitionBy("series_id", "term").orderBy("key"))
+    kept = whole.withColumn("r", turn).where(F.col("r") <= each)
+    return kept.withColumn("r", F.row_number().over(W.partitionBy("series_id").orderBy("key"))).where(F.col("r") <= limit).drop("r", "key")
 
 
 def digest(values: Column) -> Column:

@@ -90,9 +90,11 @@ def b19(spark, sf):
 
 
 @query("c2_sampled_windows", f"""WITH {DAILY}, arr AS (SELECT series_id, list(value ORDER BY pos) AS v, count(*) AS n FROM daily GROUP BY 1 HAVING count(*) >= 12),
-k AS (SELECT a.series_id, a.n, t.term, t.h, u.cutoff, sha256('5' || chr(1) || a.series_id || chr(1) || t.term || chr(1) || u.cutoff) AS key FROM (SELECT series_id, n FROM arr) a CROSS JOIN (VALUES ('short', 30), ('medium', 300), ('long', 450)) t(term, h) CROSS JOIN range(0, 20000) u(cutoff) WHERE u.cutoff BETWEEN greatest(4, least(4 * t.h, 8192)) AND a.n - t.h),
+dr AS (SELECT DISTINCT a.series_id, a.n, t.term, t.h, greatest(4, least(4 * t.h, 8192)) + CAST('0x' || substr(sha256('5' || chr(1) || a.series_id || chr(1) || t.term || chr(1) || u.d), 1, 8) AS BIGINT) % (a.n - t.h - greatest(4, least(4 * t.h, 8192)) + 1) AS cutoff FROM (SELECT series_id, n FROM arr) a CROSS JOIN (VALUES ('short', 30), ('medium', 300), ('long', 450)) t(term, h) CROSS JOIN range(28) u(d) WHERE a.n - t.h >= greatest(4, least(4 * t.h, 8192))),
+k AS (SELECT *, sha256('5' || chr(1) || series_id || chr(1) || term || chr(1) || cutoff) AS key FROM dr),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id, term ORDER BY key) AS r FROM k), s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY key) AS o FROM r WHERE r <= 7),
-w AS (SELECT s.series_id, term, h, cutoff, least(cutoff, 8192, h * [2, 4, 8, 16][1 + (instr('0123456789abcdef', substr(key, 1, 1)) - 1) % 4]) AS length, arr.v FROM s JOIN arr ON s.series_id = arr.series_id WHERE o <= 20)
+l AS (SELECT *, list_sort(list_distinct([least(cutoff, 8192, greatest(4, m * h)) FOR m IN [2, 4, 8, 16]])) AS ls FROM s WHERE o <= 20),
+w AS (SELECT l.series_id, term, h, cutoff, ls[1 + (instr('0123456789abcdef', substr(key, 1, 1)) - 1) % len(ls)] AS length, arr.v FROM l JOIN arr ON l.series_id = arr.series_id)
 SELECT series_id, term, CAST(h AS BIGINT) AS horizon, CAST(cutoff AS BIGINT) AS cutoff, CAST(length AS BIGINT) AS length, round(list_sum(list_slice(v, cutoff - length + 1, cutoff)), 3) AS history_sum, round(list_sum(list_slice(v, cutoff + 1, cutoff + h)), 3) AS future_sum FROM w""")
 def c2(spark, sf):
     arrays = fx.daily(spark, sf).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")).withColumn("v", F.transform("v", lambda x: x["value"]))

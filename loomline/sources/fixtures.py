@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.series import repair
 
-HORIZON, WINDOWS, MODELS = 24, 3, ("last", "mean", "seasonal", "recent")
+HORIZON, WINDOWS, MODELS = 24, 3, ("last", "mean", "seasonal", "recent", "trend")
+#: Values that the trend member fits a line to.
+TREND = 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series_id (event type), pos, value: sums by hour on a 720-hour calendar, null where an hour has no event."""
+    """series_id (event type), pos, value: sums by hour from the first to the last hour of any event since 2024-01-01, null where an hour has no event."""
     e = read(spark, sf_dir, "events")
     hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600).cast("long")
     sums = e.groupBy(F.col("event_type").alias("series_id"), hour.alias("pos")).agg(F.round(F.sum("value"), 4).alias("value"))
-    keys = e.select(F.col("event_type").alias("series_id")).distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("pos"))
+    last = sums.agg(F.greatest(F.max("pos"), F.lit(719)).alias("last"), F.least(F.min("pos"), F.lit(0)).alias("first"))  # one row
+    keys = e.select(F.col("event_type").alias("series_id")).distinct().join(F.broadcast(last)).select("series_id", F.explode(F.sequence("first", "last")).alias("pos"))
     return keys.join(sums, ["series_id", "pos"], "left")
 
 
@@ -34,6 +37,14 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(hourly(spark, sf_dir))
 
 
+def pairs(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pair, pos, value) twice: the first series under the name of each other one, and the others."""
+    names = series.select("series_id").distinct()
+    known = names.join(F.broadcast(names.agg(F.min("series_id").alias("base"))), F.col("series_id") > F.col("base"))  # one row
+    left = known.select(F.col("series_id").alias("pair"), "base").join(series, F.col("base") == series.series_id).select("pair", "pos", "value")
+    return left, series.join(known, "series_id").select(F.col("series_id").alias("pair"), "pos", "value")
+
+
 def rolling_windows(series: DataFrame, horizon: int = HORIZON, windows: int = WINDOWS, least: int = 4) -> DataFrame:
     """(series_id, cutoff): rolling origins one horizon apart at the end, cutoffs of at least `least`."""
     n = series.groupBy("series_id").agg(F.count("*").alias("n"))
@@ -50,10 +61,17 @@ def baseline_forecasts(series: DataFrame, horizon: int = HORIZON, season: int =
     w = rolling_windows(series, horizon).join(arrays, "series_id")
     h = F.slice("v", F.lit(1), F.col("cutoff").cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    w = w.withColumns({"h": h, "mean": total(h) / F.size(h), "recent": total(F.slice(h, -season, season)) / season})
+    tail = lambda k: F.slice(h, F.greatest(F.size(h) - k + 1, F.lit(1)), F.lit(k))
+
+    def line(t):  # least-squares slope over 0 .. n - 1
+        n = F.size(t)
+        return F.when(n > 1, total(F.transform(t, lambda x, i: x * (i - (n - 1) / 2.0))) / (n * (n * n - 1) / 12.0)).otherwise(0.0)
+
+    w = w.withColumns({"h": h, "mean": total(h) / F.size(h), "recent": total(tail(season)) / F.size(tail(season)), "trend": line(tail(TREND))})
     rows = w.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     at = lambda i: F.get(F.col("v"), i.cast("int"))
-    points = {"last": at(F.col("cutoff") - 1), "mean": F.col("mean"), "seasonal": at(F.col("cutoff") - season + (F.col("step") - 1) % season), "recent": F.col("recent")}
+    points = {"last": at(F.col("cutoff") - 1), "mean": F.col("mean"), "recent": F.col("recent"), "trend": at(F.col("cutoff") - 1) + F.col("trend") * F.col("step")}
+    points["seasonal"] = F.when(F.col("cutoff") >= season, at(F.col("cutoff") - season + (F.col("step") - 1) % season)).otherwise(points["last"])
     model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), points[m].alias("point")) for m in MODELS]))
     out = rows.select("series_id", "cutoff", "step", at(F.col("cutoff") + F.col("step") - 1).alias("y"), model.alias("m"))
     q = F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.col("m.point") + k * 0.5)
