@@ -65,11 +65,6 @@ def a3(spark, sf):
     return curate.contiguous_shard(fx.read(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1, 4)
 
 
-@query("a4_block_manifest", "SELECT o_orderpriority AS block, count(*) AS n FROM orders GROUP BY 1")
-def a4(spark, sf):
-    return fx.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("block")).agg(F.count("*").alias("n"))
-
-
 @query("b2_repair", f"WITH {REPAIRED} SELECT series_id, pos, round(value, 6) AS value FROM rep")
 def b2(spark, sf):
     return rounded(fx.repaired(spark, sf).select("series_id", "pos", "value"))
@@ -101,9 +96,9 @@ def b4(spark, sf):
     return frequencies(spark, sf).select("freq", fq.regime(f).alias("regime"), fq.canonical(f).alias("canonical"))
 
 
-@query("b7_seasonality", f"SELECT freq, CAST(CASE WHEN season % k = 0 THEN season // k WHEN season IS NOT NULL THEN 1 END AS BIGINT) AS season FROM ({FREQ_ROWS}) x")
+@query("b7_seasonality", f"SELECT freq, CAST(CASE WHEN season % k = 0 THEN season // k ELSE 1 END AS BIGINT) AS season FROM ({FREQ_ROWS}) x WHERE season IS NOT NULL")
 def b7(spark, sf):
-    return frequencies(spark, sf).select("freq", fq.seasonality(F.col("freq")).alias("season"))
+    return frequencies(spark, sf).select("freq", fq.seasonality(F.col("freq")).alias("season")).where("season is not null")
 
 
 @query("b6_b8_names", f"SELECT freq, CASE WHEN freq LIKE '%min' OR freq LIKE '%T' THEN 'minute' ELSE 'other' END AS numbered, family, CASE unit WHEN 'Y' THEN 'A' WHEN 'h' THEN 'H' WHEN 'min' THEN 'T' WHEN 'ME' THEN 'M' WHEN 'W-SUN' THEN 'W' WHEN 'QE-DEC' THEN 'Q' WHEN 'YE-DEC' THEN 'A' ELSE unit END AS board, 'X/y' AS named FROM ({FREQ_ROWS}) x")
@@ -303,7 +298,7 @@ def d13(spark, sf):
     return fx.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The"))), "\n").alias("text"))
 
 
-from .plans import forecasts, prepare  # noqa: E402, F401  (they register their queries)
+from .plans import forecasts, prepare, stores, texts  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict:

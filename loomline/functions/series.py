@@ -63,6 +63,20 @@ def magnitude_scaled(s: DataFrame) -> DataFrame:
     return s.join(peak, "series_id").withColumn("scaled", F.col("value") / F.col("magnitude"))
 
 
+def channels(target: Column, rows_first: bool = False) -> Column:
+    """One array for each channel of an array of channels, or (rows_first) of an array of rows; an array of numbers is wrapped by its caller."""
+    if not rows_first:
+        return target
+    return F.transform(F.sequence(F.lit(0), F.size(target[0]) - 1), lambda j: F.transform(target, lambda r: F.get(r, j)))
+
+
+def rescale(values: Column, most: float, peak: float = 1.0) -> Column:
+    """(values, scale): where a value exceeds `most` in size, all are divided by their peak over `peak`; forecasts are multiplied by scale again."""
+    top = F.array_max(F.transform(values, F.abs))
+    scale = F.when(top > most, top / peak).otherwise(1.0)
+    return F.struct(F.transform(values, lambda x: x / scale).alias("values"), scale.alias("scale"))
+
+
 def edge_padded(history: Column, least: int = 4) -> Column:
     """An array padded on the left with its first value up to `least` values."""
     return F.when(F.size(history) >= least, history).otherwise(F.concat(F.array_repeat(F.get(history, F.lit(0)), least - F.size(history)), history))

@@ -72,3 +72,37 @@ def coverage(forecasts: DataFrame, windows: DataFrame, each: int) -> DataFrame:
     a = forecasts.groupBy("cell").agg(F.count("*").alias("forecasts"))
     b = windows.groupBy("cell").agg((F.count("*") * each).alias("expected"))
     return a.join(b, "cell", "full_outer").select("cell", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("forecasts", "expected")])
+
+
+def shard_problems(shards: DataFrame, windows: DataFrame, levels: int = 9) -> DataFrame:
+    """window, problem of forecast shards (shard, window, step, q) against windows (window, horizon): each check has its own name.
+
+    An index that is null, negative or unknown, one in several shards, steps that repeat, too few or too many steps, rows
+    that have not `levels` values, values that are not finite, and windows without a forecast.
+    """
+    known = windows.select("window", "horizon")
+    each = shards.groupBy("window").agg(
+        F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.count_distinct("shard").alias("shards"),
+        F.bool_and(F.size("q") == levels).alias("wide"), F.bool_and(F.forall("q", is_finite)).alias("fine"),
+    )
+    at = each.join(known, "window", "left")
+    tests = {
+        "invalid index": F.col("window").isNull() | (F.col("window") < 0), "outside": (F.col("window") >= 0) & F.col("horizon").isNull(), "in several shards": F.col("shards") > 1,
+        "repeated steps": F.col("n") > F.col("steps"), "wrong length": F.col("steps") != F.col("horizon"), "wrong width": ~F.col("wide"), "not finite": ~F.coalesce("fine", F.lit(False)),
+    }
+    found = at.select("window", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))).alias("problem"))
+    return found.union(known.join(shards, "window", "left_anti").select("window", F.lit("missing").alias("problem")))
+
+
+def metric_problems(scores: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell, problem: cells without a valid score of either kind, so that nothing is ranked on them."""
+    at = cells.select("cell").join(scores, "cell", "left")
+    return at.select("cell", F.when(~F.coalesce(is_finite(F.col("mase")), F.lit(False)), "no mase").when(~F.coalesce(is_finite(F.col("crps")), F.lit(False)), "no crps").alias("problem")).where("problem is not null")
+
+
+def accuracy(answers: DataFrame) -> DataFrame:
+    """n, correct, accuracy: a response is correct that holds 'LETTER) answer', whatever its case; from (response, options, answer)."""
+    at = F.array_position("options", F.col("answer"))
+    target = F.concat(F.char((at + 64).cast("long")), F.lit(") "), "answer")
+    right = F.coalesce((at > 0) & F.contains(F.lower("response"), F.lower(target)), F.lit(False))
+    return answers.agg(F.count("*").alias("n"), F.count_if(right).alias("correct")).withColumn("accuracy", F.try_divide("correct", "n"))
