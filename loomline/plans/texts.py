@@ -172,9 +172,9 @@ def sides(spark, sf):
 SIDES = FORECASTS + ", d AS (SELECT *, list_sort([abs(last - mean), 0.0, abs(seasonal - mean), abs(recent - mean), abs(trend - mean)])[3] AS dis, greatest(abs(mean) * 1e-4, 1e-3) AS floor FROM pts), s AS (SELECT *, series_id || '/' || cutoff AS win, greatest(dis, 0.5, floor) AS scale, pow(greatest(2.0, floor), 2) AS variance FROM d)"
 
 
-@query("g30_g35_step_scale", f"WITH {SIDES} SELECT win AS \"window\", step, round(scale, 6) AS scale, round(variance / (variance + dis * dis), 6) AS gate FROM s")
+@query("g30_g35_step_scale", f"WITH {SIDES} SELECT win AS \"window\", step, round(scale, 8) AS scale, round(variance / (variance + dis * dis), 8) AS gate FROM s")
 def g30(spark, sf):
-    return rounded(sides(spark, sf).select("window", "step", co.step_scale(F.col("ref"), F.col("cands")).alias("scale"), co.gate(F.col("ref"), F.col("cands")).alias("gate")))
+    return rounded(sides(spark, sf).select("window", "step", co.step_scale(F.col("ref"), F.col("cands")).alias("scale"), co.gate(F.col("ref"), F.col("cands")).alias("gate")), 8)
 
 
 CLIP = "greatest(-20, least(20, {}))"
