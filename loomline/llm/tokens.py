@@ -48,7 +48,7 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     plain text. Another rank file (`path`) has none.
     """
     coder = encoder(path)
-    run, known = coder.encode_ordinary, chunk_ids(path)
+    run = coder.encode_ordinary
     whole_run = functools.partial(coder.encode, allowed_special="all") if added else run
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
@@ -60,11 +60,11 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     coded = parts.flatten().dictionary_encode()
     heads = parts.offsets.to_numpy()[:-1] - parts.offsets.to_numpy()[0]
     index = coded.indices.to_numpy().copy()
-    ids = [known(" " + x) for x in coded.dictionary.to_pylist()]
+    ids = [run(" " + x) for x in coded.dictionary.to_pylist()]
     base = len(ids)
     # first chunks have no blank before them; each tangled text is a chunk; the last entry is END
     first = coded.dictionary.take(pa.array(index[heads])).to_pylist() if len(heads) else []
-    ids += [known(x) for x in first]
+    ids += [run(x) for x in first]
     ids += [whole_run(x) for x in texts.filter(pa.array(tangled)).to_pylist()]
     ids.append([END])
     index[heads] = base + np.arange(len(heads))
@@ -92,15 +92,7 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     return flat[at], offsets
 
 
-@functools.lru_cache(2)
-def chunk_ids(path: str | None):
-    """The ids of a chunk; those of the last few ten thousand short ones are remembered from slice to slice."""
-    run = encoder(path).encode_ordinary
-    kept = functools.lru_cache(1 << 15)(lambda x: tuple(run(x)))
-    return lambda x: kept(x) if len(x) <= 32 else run(x)
-
-
-def slices(texts: pa.Array, most: int = 1 << 20):
+def slices(texts: pa.Array, most: int = 1 << 23):
     """Index ranges of texts of about `most` bytes (one text at least)."""
     held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
