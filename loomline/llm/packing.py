@@ -61,6 +61,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
     def run(parts):
         for part in parts:
             ids, texts = part.column(0), part.column(1)
+            pa.default_memory_pool().release_unused()  # what earlier batches and tasks of this worker held
             for i, j in slices(texts):
                 flat, offsets = encode(texts.slice(i, j - i), path, added=True)
                 flat = flat.astype("<u4", copy=False)

@@ -92,7 +92,7 @@ def encode(texts: pa.Array, path: str | None = None, added: bool = False) -> tup
     return flat[at], offsets
 
 
-def slices(texts: pa.Array, most: int = 1 << 23):
+def slices(texts: pa.Array, most: int = 1 << 21):
     """Index ranges of texts of about `most` bytes (one text at least)."""
     held = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
