@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, hnsw, minhash, mixing, packing, pii, secrets, toxicity, urls
+from . import decontamination, fingerprints, hnsw, merkle, minhash, mixing, packing, pii, secrets, spelling, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_mixing": mixing.op9,
     "op10_embeddings": hnsw.op10,
+    "op11_merkle": merkle.op11,
+    "op12_decontamination": decontamination.op12,
+    "op13_spelling": spelling.op13,
 }
-ORACLE_SQL = {"op7_urls": urls.OP7_SQL}
+ORACLE_SQL = {"op7_urls": urls.OP7_SQL, "op11_merkle": merkle.OP11_SQL, "op12_decontamination": decontamination.OP12_SQL, "op13_spelling": spelling.OP13_SQL}
