@@ -68,17 +68,17 @@ def pieces(data: bytes, size: int = PIECE):
         at = end
 
 
-def scanned(data: bytes, numbers: dict[bytes, int], machine: ahocorasick.Automaton, longest: int) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scanned(data: bytes, numbers: dict[bytes, int], machine: ahocorasick.Automaton, longest: int, size: int = PIECE) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of a text, the words (first, last) that occurring windows cover, as disjoint ranges apart, and the items of those windows."""
     n, ranges, items, before = 0, [], set(), ()
     number = numbers.get
-    for _, part in pieces(data):
+    for _, part in pieces(data, size):
         line = before + tuple([number(w, 0) for w in _WORD.findall(part)])
         base = n - len(before)
-        for end, (size, ids) in machine.iter(line) if len(machine) else ():
+        for end, (held, ids) in machine.iter(line) if len(machine) else ():
             if end >= len(before):
                 items.update(ids)
-                first, last = base + end - size + 1, base + end
+                first, last = base + end - held + 1, base + end
                 while ranges and ranges[-1][1] >= first - 1:
                     first = min(first, ranges.pop()[0])
                 ranges.append((first, last))
@@ -87,10 +87,10 @@ def scanned(data: bytes, numbers: dict[bytes, int], machine: ahocorasick.Automat
     return n, ranges, items
 
 
-def located(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def located(data: bytes, ranges: list[tuple[int, int]], size: int = PIECE) -> list[tuple[int, int]]:
     """Code points (start, end exclusive) of ranges of words in the original text, which has as many bytes as the lower-cased one."""
     out, k, word, chars = [], 0, 0, 0
-    for _, part in pieces(data):
+    for _, part in pieces(data, size):
         if k == len(ranges):
             break
         spans = [m.span() for m in _WORD.finditer(part)]

@@ -97,7 +97,7 @@ def _codes(words: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words]
 
 
-def distinct_nodes(words: DataFrame, seed: int) -> bool:
+def distinct_nodes(words: DataFrame, seed: int, number=trie_nodes) -> bool:
     """Whether every number of a node, in the forward and in the reversed trie, has one parent and letter, and the root's is its alone.
 
     Then a number leads back to one path only: numbers name nodes exactly.
@@ -107,7 +107,7 @@ def distinct_nodes(words: DataFrame, seed: int) -> bool:
         for part in parts:
             codes = _codes(part.column(0).to_pylist())
             for side, own in enumerate((codes, [c[::-1] for c in codes])):
-                nodes = trie_nodes(own, seed + side)
+                nodes = number(own, seed + side)
                 rows = {(int(n), int(p), int(c)) for x, word in zip(nodes, own, strict=True) for n, p, c in zip(x[1:], x[:-1], word, strict=True)}
                 columns = [*zip(*rows, strict=True)] or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array([side] * len(rows), pa.int32()), *(pa.array(c, pa.int64()) for c in columns)], ["side", "node", "parent", "letter"])
@@ -196,6 +196,8 @@ def variants(docs: DataFrame, least: int = LEAST_LETTERS, count: int = LEAST_COU
     the last. Null and empty texts have no words; rows that repeat a doc_id count each; a null doc_id is the empty text
     in the rule that drops letters. Texts and runs may have any length. Other columns are ignored; no words, no rows.
     """
+    if times <= 1:
+        raise ValueError("with times of 1 or less, forms could form rings")
     words = numbered(cut(vocabulary(docs, least, count, drop)))
     seed = next(s for s in itertools.count(1, 2) if distinct_nodes(words, s))
     near = cut(words.select("id", "n").join(neighbours(words, seed), "id", "left"))
