@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, randoms, shuffle_partitions, table
-from .components import components
+from .components import HUB_LEAST, HUB_SHARE, SALTS, components
 
 #: Bytes of a shard's 32-bit components (its graph and doubles take four times that in a task), vectors at least, shards at least.
 SHARD_BYTES, SHARD_LEAST, FEWEST = 1 << 26, 4096, 4
@@ -388,15 +388,16 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     memory allows (FEWEST at least), each shard builds its graph in one task, and the graph is written to the shared
     folder. Then every class is searched in every shard, by slices of the classes: slices and shards go to tasks one to
     one. So the work is rows times shards, and a walk grows with the logarithm of the shard. n_links counts the other
-    vec_ids linked directly, copies included. Vectors that are null, empty, zero or have null or non-finite components,
+    vectors linked directly, copies under other vec_ids included. Vectors that are null, empty, zero or have null or non-finite components,
     and rows without vec_id, link with nothing (component_id is then vec_id itself); vectors of different lengths link
-    with nothing either. A vec_id that repeats with the same vector counts once; one with different vectors is one
-    node of all their links. Other columns are ignored; an empty table gives no rows.
+    with nothing either. A vec_id that repeats with the same vector counts once; its different vectors are vectors of
+    their own, linked only if they are near. Other columns are ignored; an empty table gives no rows.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     ok = rows.where(VALID).where("vec_id is not null")
-    classes = cut(ok.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("n")))
+    # a class has a number of its own: one vec_id may have several vectors
+    classes = cut(ok.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     size = F.greatest(F.lit(SHARD_LEAST) if shard_bytes == SHARD_BYTES else F.lit(1), F.floor(F.lit(shard_bytes) / (4 * F.col("dims"))))
     lengths = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("many"))
     lengths = lengths.withColumn("shards", F.greatest(F.least(F.lit(FEWEST), "many"), F.ceil(F.col("many") / size)).cast("int"))
@@ -417,8 +418,15 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     found = cut(stream.mapInArrow(lambda parts: _searched(parts, least, slices), "node long, n long, other long"))
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     outer = found.groupBy("node").agg(F.sum("n").alias("outer"))
-    by_class = classes.join(outer, "node", "left").join(labels, "node", "left").select("embedding", (F.coalesce("outer", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "node").alias("component"))
-    of = ok.join(by_class, "embedding").select("vec_id", "n_links", "component")
+    known = cut(classes.select("node", "least", "n").join(outer, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    lowest = known.groupBy("label").agg(F.min("least").alias("component"))
+    by_class = known.join(lowest, "label").select("node", "n", (F.coalesce("outer", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component").join(classes.select("node", "embedding"), "node")
+    # the copies of a vector that many rows have are dealt to SALTS tasks; HUB_SHARE of all rows each, so these are few
+    most = max(HUB_LEAST, int(HUB_SHARE * ok.count()))
+    hubs = F.broadcast(classes.where(F.col("n") > most).select("embedding", F.lit(True).alias("hub")))
+    salted = ok.join(hubs, "embedding", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > most, SALTS - 1).otherwise(0)))
+    of = salted.join(by_class.withColumn("salt", copies), ["embedding", "salt"]).select("vec_id", "n_links", "component")
     rest = rows.where(f"not ({VALID}) or vec_id is null or ({VALID}) is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     out = of.union(rest)
     return out.select("vec_id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -71,3 +71,18 @@ def test_odd_tables_of_vectors(spark):
     one = spark.createDataFrame([(3, [1.0, 0.0], 9, "x", "y", "z", "w"), (3, [1.0, 0.0], 9, "x", "y", "z", "w"), (4, [1.0, 0.01], 9, "x", "y", "z", "w"), (None, [1.0, 0.0], 9, "x", "y", "z", "w"), (5, None, 9, "x", "y", "z", "w")], kind)
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in hnsw.near_vectors(one).collect())
     assert got == [(0, 0, 0, True), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
+def test_vectors_of_one_id_are_vectors_of_their_own(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (4, [1.0, 0.02]), (1, [0.0, 1.0]), (0, [0.01, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, kind)).collect())
+    # vectors of rows 1, 2, 4 and 7 are near each other (the repeated row of 7 counts once), so are those of the other row of 1 and of 0
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 3, 1), (1, 3, 1), (4, 3, 1), (7, 3, 1), (7, 3, 1)]
+
+
+def test_a_vector_of_many_rows_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "HUB_LEAST", 3)
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [1.0, 0.01]), (60, [0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(i, 40, 0, i == 0) for i in range(40)] + [(50, 40, 0, False), (60, 0, 60, True)]
