@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import mix, randoms, shuffle_partitions, table
 
-#: Code points of a k-mer and of its inner substrings, anchors kept in a fingerprint.
-K, S, ANCHORS = 12, 4, 64
+#: Code points of a k-mer and of its inner substrings; a fingerprint keeps the anchors of the lowest SHARE of all hashes,
+#: so that its size follows the text's, and ANCHORS at least.
+K, S, ANCHORS, SHARE = 12, 4, 64, 1 / 32
+_LOW, _ALL = np.uint64(int(SHARE * 2**64)), np.uint64(2**64 - 1)
 _PLACE = randoms(21, 64) | np.uint64(1)
 
 
@@ -47,15 +49,24 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str, most: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` anchors of least hash (of equal ones the first), by hash: the same part of any two texts' anchors."""
+    """The anchors of the lowest SHARE of hashes, and of the `most` least ones (of equal ones the first), by hash.
+
+    Both are the same part of any two texts' anchors, so that parts can be compared as the texts would be.
+    """
     h, at = anchors(text)
-    if len(h) > 4 * most:
-        near = np.uint64(int(np.iinfo(np.uint64).max) // len(h) * 3 * most)
+    if len(h) > 4 * most:  # what cannot be among them need not be sorted
+        near = max(_LOW, np.uint64(int(_ALL) // len(h) * 3 * most))
         low = h <= near
         if len(np.unique(h[low])) >= most:
             h, at = h[low], at[low]
     h, first = np.unique(h, return_index=True)
-    return h[:most], at[first[:most]]
+    n = max(most, int(np.searchsorted(h, _LOW, side="right")))
+    return h[:n], at[first[:n]]
+
+
+def reach(print_: tuple[np.ndarray, np.ndarray], most: int = ANCHORS) -> np.uint64:
+    """The hash up to which a fingerprint holds all its text's anchors."""
+    return _ALL if len(print_[0]) < most else max(_LOW, print_[0][-1])
 
 
 def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
@@ -64,22 +75,21 @@ def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int = ANCHORS) -> float:
-    """Share, among the `most` least anchors of both, of those in both at the most common distance or near the one before.
+    """Share, among the anchors up to the hash that both prints reach, of those in both at the most common distance or near it.
 
-    Anchors that two texts share by chance stand at scattered distances and count little. Two empty prints are alike.
+    Anchors that two texts share by chance stand at scattered distances and count half. Two empty prints are alike.
     """
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:most]
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    inside = a[0][i] <= union[-1]
-    shift = (a[1][i] - b[1][j])[inside]
-    if not len(shift):
+    upto = min(reach(a, most), reach(b, most))
+    (x, p), (y, q) = ((h[h <= upto], at[h <= upto]) for h, at in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
         return 0.0
+    shift = p[i] - q[j]
     value, count = np.unique(shift, return_counts=True)
-    main = value[count.argmax()]
-    near = np.abs(shift - main) <= 64
-    return float((near.sum() + 0.5 * (~near).sum()) / len(union))
+    near = np.abs(shift - value[count.argmax()]) <= 64
+    return float((near.sum() + 0.5 * (~near).sum()) / (len(x) + len(y) - len(i)))
 
 
 def edited(text: str, following: str) -> str:

@@ -14,7 +14,7 @@ from .common import table
 
 @dataclass(frozen=True)
 class Rule:
-    """host and path must match as literals (host and its subdomains, path as a prefix); or `pattern` does, on host and path."""
+    """host and path must match as literals (host and its subdomains, path as a prefix); or `pattern` does, on host, path and query."""
 
     verdict: str
     host: str = ""
@@ -26,7 +26,7 @@ class Rule:
         return self.host + self.path if self.host else None
 
     def expression(self) -> re.Pattern:
-        """Matches host, a line feed, path."""
+        """Matches from the start of three lines: host, path, query."""
         return re.compile(self.pattern if self.pattern else rf"(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}", re.ASCII | re.DOTALL)
 
     def tokens(self) -> list[str]:
@@ -41,8 +41,21 @@ _ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _TOKEN = re.compile("[a-z0-9]+")
 
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-#: What the method itself blocks where no rule fits.
-PATTERNS = [Rule("block", pattern=rf"[^\n]*\b{w}\b[^\n]*\n") for w in ("spam", "pills", "casino", "viagra", "porn", "xxx", "phishing", "malware")]
+_HOST, _HOST_END = r"[^\n]*{}[^\n]*\n", r"[^\n]*{}\n"
+_PATH, _PATH_END, _QUERY = r"[^\n]*\n[^\n]*{}", r"[^\n]*\n[^\n]*{}\n", r"[^\n]*\n[^\n]*\n(?:[^\n]*&)?{}"
+#: What the method itself blocks where no rule fits: expressions on host, path and query (lines), each with a literal word.
+EXPRESSIONS = {
+    _HOST: [rf"\b{w}\b" for w in ("spam", "pills", "casino", "viagra", "porn", "xxx", "phishing", "malware")]  # words of unwanted sites
+    + [r"\bxn\b--", r"\badserver\b\.", r"\btracker\b\."],  # labels in punycode; servers of advertisements and counters
+    _HOST_END: [r"[0-9]{4}[^\n]*\.\btop\b", r"[0-9]{4}[^\n]*\.\bxyz\b", r"-[^\n]*-[^\n]*-[^\n]*\.\binfo\b"],  # runs of digits or dashes under cheap domains
+    _PATH: [
+        r"/\bwp\b-\blogin\b\.", r"/\bxmlrpc\b\.", r"/\bcgi\b-\bbin\b/[^\n]{80}",  # doors of applications, long calls
+        r"/\bcalendar\b/[0-9]{4}/[0-9]", r"/\btag\b/[^\n]*/\bpage\b/[0-9]{3}", r"/\bcart\b/\badd\b", r"/\bsession\b/[0-9a-f]{24}",  # pages without end, actions, sessions
+    ],
+    _PATH_END: [r"\.\bexe\b", r"\.\bapk\b", r"\.\bscr\b"],  # programs
+    _QUERY: [r"\bphpsessid\b=[0-9a-z]{16}", r"\breplytocom\b=[0-9]", r"\bredirect\b=http", r"\bsort\b=[^\n]*&\bfilter\b="],  # sessions, answers, ways elsewhere, facets
+}
+PATTERNS = [Rule("block", pattern=form.format(x)) for form, each in EXPRESSIONS.items() for x in each]
 
 
 def _tokens(text: str) -> list[str]:
@@ -57,6 +70,12 @@ def split_url(url: str | None) -> tuple[str, str]:
     return m[1].translate(_LOWER), m[2]
 
 
+def query_of(url: str | None) -> str:
+    """What follows the first ? up to #; empty without ://."""
+    m = re.search(r"://[^?#]*\?([^#]*)", url or "", re.DOTALL)
+    return m[1] if m else ""
+
+
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -75,7 +94,8 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None, patterns: list[Rul
     The longest fitting rule decides (host and path together; the first of equals); where none fits, a matching pattern
     blocks, and all else is allowed. A null url, or one without ://, has an empty host and path, no rule, and is
     allowed. Tokens of rules are counted over all URLs (the counts are as many as the rules' tokens). The rule lists
-    are held by every task. Repeated rows and null page_ids are judged row by row; other columns are ignored.
+    are held by every task. Repeated rows and null page_ids are judged row by row; other columns are ignored; urls of any
+    length are judged whole; an empty table gives no rows.
     """
     rules, patterns = RULES if rules is None else rules, PATTERNS if patterns is None else patterns
     every = rules + patterns
@@ -91,7 +111,7 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None, patterns: list[Rul
             out = [[], [], [], []]
             for url in part.column(1).to_pylist():
                 host, path = split_url(url)
-                text, best = f"{host}\n{path}", None
+                text, best = f"{host}\n{path}\n{query_of(url)}", None
                 for t in {"", *_tokens(text)}:
                     for i, expression in by_token.get(t, ()):
                         if expression.match(text) and (best is None or (-size[i], i) < best):
@@ -110,10 +130,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The rules and patterns of op7 in SQL.
 OP7_SQL = r"""
 WITH u AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), s AS (
   SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^?#]*[?]([^#]*)', 1) AS query FROM u
 ), r AS (
   SELECT *, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
@@ -124,6 +144,6 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '(^|[^A-Za-z0-9_])(spam|pills|casino|viagra|porn|xxx|phishing|malware)($|[^A-Za-z0-9_])') THEN 'block'
+    WHEN regexp_matches(host || chr(10) || path || chr(10) || query, '^(?:PATTERNS)') THEN 'block'
     ELSE 'allow' END AS verdict FROM r
-"""
+""".replace("PATTERNS", "|".join(r.pattern for r in PATTERNS))

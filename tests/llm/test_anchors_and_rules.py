@@ -56,3 +56,36 @@ def test_thousands_of_rules_are_judged_as_if_each_ran(spark):
     order = lambda x: tuple(map(str, x))
     assert sorted(((g.page_id, g.rule, g.verdict) for g in got), key=order) == sorted(want, key=order)
     assert sum(w[1] is not None for w in want) > 1000
+
+
+def test_patterns_block_what_they_name_and_leave_the_rest(spark):
+    blocked = [
+        "http://a.casino.net/", "http://xn--abc.net/x", "http://ads.adserver.net/", "http://win2024now.top/", "http://a-b-c-d.info/", "http://x.net/blog/wp-login.php", "http://x.net/cgi-bin/" + "q" * 90,
+        "http://x.net/calendar/2024/7", "http://x.net/tag/a/page/123", "http://x.net/cart/add?id=1", "http://x.net/session/" + "0a" * 12, "http://x.net/setup.exe?v=1", "http://x.net/?a=1&phpsessid=" + "a1" * 8, "http://x.net/p?replytocom=7",
+        "http://x.net/go?redirect=https%3A", "http://x.net/s?sort=a&b=1&filter=c",
+    ]
+    allowed = [
+        "http://spamming.net/", "http://a.xnn--x.net/", "http://win2024.topic/", "http://a-b.info/", "http://x.net/wp-loginx", "http://x.net/cgi-bin/a", "http://x.net/calendar/may", "http://x.net/tag/a/page/12", "http://x.net/setup.exe.html",
+        "http://x.net/?nophpsessid=" + "a1" * 8, "http://x.net/p#replytocom=7", "http://x.net/?utm_source=feed", "casino.exe", None, "", "http://x.net/" + "a" * 100_000,
+    ]
+    rows = [(i, u) for i, u in enumerate(blocked + allowed)]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), []).collect()}
+    assert [u for i, u in rows if got[i] != ("block" if i < len(blocked) else "allow")] == []
+    assert urls.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
+    assert all(r.tokens() for r in urls.PATTERNS)
+
+
+def test_prints_of_long_texts_grow_and_compare_as_the_texts():
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(60_000)]
+    long_, other = " ".join(words[:30_000]), " ".join(words[30_000:])
+    h, _ = f.anchors(long_)
+    kept = f.fingerprint(long_)[0]
+    assert kept.tolist() == sorted({x for x in h.tolist() if x <= f._LOW}) and len(kept) > 4 * f.ANCHORS
+    for share in (0.1, 0.5, 0.9):
+        mixed = long_[: int(share * len(long_))] + other[int(share * len(long_)) :]
+        a, b = set(h.tolist()), set(f.anchors(mixed)[0].tolist())
+        assert abs(f.likeness(f.fingerprint(long_), f.fingerprint(mixed)) - len(a & b) / len(a | b)) < 0.06
+    short = long_[: len(long_) // 10]
+    a, b = set(h.tolist()), set(f.anchors(short)[0].tolist())
+    assert abs(f.likeness(f.fingerprint(long_), f.fingerprint(short)) - len(a & b) / len(a | b)) < 0.05
