@@ -56,6 +56,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(df: DataFrame, *names: str) -> list[Column]:
+    """Columns of df (all of them if none is named) whatever their names hold: dots, blanks, back quotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names or df.columns]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda variable is not inlined again."""
     return F.transform(F.array(value), body)[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import ahocorasick
@@ -71,9 +72,9 @@ def pieces(data: bytes, size: int = PIECE):
 def scanned(data: bytes, numbers: dict[bytes, int], machine: ahocorasick.Automaton, longest: int, size: int = PIECE) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of a text, the words (first, last) that occurring windows cover, as disjoint ranges apart, and the items of those windows."""
     n, ranges, items, before = 0, [], set(), ()
-    number = numbers.get
+    number, none = numbers.get, itertools.repeat(0)
     for _, part in pieces(data, size):
-        line = before + tuple([number(w, 0) for w in _WORD.findall(part)])
+        line = before + tuple(map(number, _WORD.findall(part), none))
         base = n - len(before)
         for end, (held, ids) in machine.iter(line) if len(machine) else ():
             if end >= len(before):

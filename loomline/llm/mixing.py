@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, named, table, unused
 
 #: Exponents looked at in one pass, passes, most blocks of a source, most sources that are broadcast.
 GRID, PASSES, BLOCKS, MOST_BROADCAST = 16, 6, 1024, 100_000
@@ -69,7 +69,7 @@ def weights(sources: DataFrame, alpha: float, budget: int | None = None) -> Data
 
 
 def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: float = 1.5, budget: int | None = None, seed: int = 1) -> DataFrame:
-    """The rows of docs as often as the mixture uses them, with `epoch` and `turn` (order within the epoch) after their columns.
+    """The rows of docs as often as the mixture uses them, with `epoch` and `turn` (order within the epoch) as two last columns.
 
     A source's rows fall into blocks by a hash of the row; an epoch takes whole blocks in the order of a hash of source,
     epoch and block. Whole epochs take every row; the last, partial one takes blocks while the budget lasts, then rows of
@@ -78,12 +78,12 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
 
     A null source is a source of its own; null and empty texts have no tokens and come once with each epoch of their
     source; equal rows are used equally often, very long texts count by their words like others; an empty table gives
-    no rows. Columns of any name are kept as they are, but columns named epoch and turn are replaced. An entropy above
+    no rows. Columns of any name are kept as they are; where docs have an epoch or a turn, the new ones are called
+    _epoch and _turn (with as many underscores as it takes). An entropy above
     that of even weights cannot be met: weights are then even.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("epoch", "turn")]
-    named = lambda c: F.col(f"`{c}`")
-    at = docs.select(F.struct(*map(named, keep)).alias("row"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("s"), tokens(F.col("text")).alias("tokens"))
+    epoch_, turn_ = unused(docs, "epoch"), unused(docs, "turn")
+    at = docs.select(F.struct(*named(docs)).alias("row"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("s"), tokens(F.col("text")).alias("tokens"))
     narrow = cut(at.select("s", "h", "tokens"))
     sources = cut(narrow.groupBy("s").agg(F.sum("tokens").alias("tokens")))
     told = cut(weights(sources, exponent(sources, target_entropy, max_repeats), budget))
@@ -112,7 +112,7 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
     partial = F.col("some") & F.col("end_turn").isNotNull() & ((mine < end) | ((F.col("block") == F.col("end_block")) & F.coalesce(F.col("h") <= F.col("last"), F.lit(False))))
     copies = F.col("epochs") + F.when(partial, 1).otherwise(0)
     used = used.where(copies > 0).select("row", "s", "block", F.explode(F.sequence(F.lit(0), copies - 1)).alias("epoch"))
-    return used.select(*[F.col("row")[c].alias(c) for c in keep], "epoch", turn(F.col("epoch")).alias("turn"))
+    return used.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("epoch").alias(epoch_), turn(F.col("epoch")).alias(turn_))
 
 
 def _ending(sums: DataFrame, order: list[str], room: str) -> DataFrame:

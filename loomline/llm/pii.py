@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, named, table
 
 #: Kinds in the order that ties of a start take. pattern; quick test (a pattern that any match contains); words that,
 #: within CONTEXT characters, speak for it; score without them. A span stands if its score is LEAST or more.
@@ -155,9 +155,9 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         # the inline keeps one kind's text from being computed again inside the next kind's expression
         rest = [c for c in docs.columns if c != "text"]
-        out = out.select(*rest, F.inline(F.array(F.struct(F.when(F.col("text").isNotNull(), masked(F.col("text"), kind)).alias("text")))))
+        out = out.select(*(named(docs, *rest) if rest else ()), F.inline(F.array(F.struct(F.when(F.col("text").isNotNull(), masked(F.col("text"), kind)).alias("text")))))
     changed = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns(changed).select(*docs.columns)
+    return out.withColumns(changed).select(*named(docs))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, mix, randoms, shuffle_partitions, table, unused
+from .common import cut, mix, named, randoms, shuffle_partitions, table, unused
 from .shingles import batches, shingle_sets
 
 #: Bounds of the training sample: labelled rows of each kind.
@@ -491,7 +491,7 @@ def scored(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -
     """
     if name.lower() in (c.lower() for c in keep):
         raise ValueError(f"a column {name} is there already")
-    fields = docs.select(*keep).schema.fields
+    fields = docs.select(*named(docs, *keep)).schema.fields
     schema = StructType([*fields, StructField(name, DoubleType())])
 
     def run(parts):
@@ -500,7 +500,7 @@ def scored(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -
             got = [score_texts(model, texts[i:j]) for i, j in batches(texts)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*[f.name for f in fields], name])
 
-    return docs.select(*keep, F.col("text").cast("string").alias(unused(docs, "text"))).mapInArrow(run, schema)
+    return docs.select(*named(docs, *keep), F.col("text").cast("string").alias(unused(docs, "text"))).mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,4 +515,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     Null and empty texts are scored as texts without words; repeated rows have one score and stay or go together.
     """
     name = unused(docs, "score")
-    return scored(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).select(*docs.columns)
+    return scored(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).select(*named(docs))
