@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm.common import cut, table
+from loomline.llm.common import cut, named, table
 from loomline.llm.minhash import near_duplicates
 from loomline.llm.mixing import mixture
 from loomline.llm.packing import packed
@@ -13,7 +13,7 @@ from loomline.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go."""
+    """Documents that the network rejects go; null and empty texts are judged as texts without words, equal texts alike."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,21 +23,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a doc_id all stay or go; rows without doc_id stay.
     """
     gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind."""
+    """Personal data in texts is replaced by its kind, row by row; a null text stays null, n_chars follows."""
     return without_personal_data(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, up to one and a half times, towards even weights; every document stays once at least."""
-    return mixture(docs, max_repeats=1.5).select(*docs.columns)
+    """Small sources are repeated, up to one and a half times, towards even weights; every document stays once at least.
+
+    A null source is a source of its own; null and empty texts come once with each epoch; equal rows come equally often.
+    """
+    return mixture(docs, max_repeats=1.5).select(*named(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with the sequence and the offset that each has."""
+    """Pieces of token ids with the sequence and the offset that each has; a null text is empty, rows that repeat are packed each.
+
+    An empty table gives no rows in every stage; columns beside those of documents are kept, whatever their names, up to here.
+    """
     return packed(docs)
 
 
