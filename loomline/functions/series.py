@@ -27,17 +27,28 @@ def repair(s: DataFrame) -> DataFrame:
     return s.withColumn("value", F.coalesce(between, "v0", "v1")).drop("v0", "p0", "v1", "p1").where("value is not null")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda variable is not inlined again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def filled(v: Column) -> Column:
-    """An array with its missing values on the line between the nearest finite ones by place, ends held; null where none is finite."""
-    fine = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: is_finite(p["x"]))
+    """An array with its missing values on the line between the nearest finite ones by place, ends held; null where none is finite.
+
+    The stretches between neighbouring finite values are laid out one after the other, so the work grows with the array.
+    """
+    points = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda p: is_finite(p["x"]))
+
+    def stretch(a, b):
+        return F.transform(F.sequence(F.lit(0), b["i"] - a["i"] - 1), lambda j: a["x"] + (b["x"] - a["x"]) * j / (b["i"] - a["i"]))
 
-    def one(x, i, fine):
-        low, high = F.element_at(F.filter(fine, lambda p: p["i"] < i), -1), F.get(F.filter(fine, lambda p: p["i"] > i), F.lit(0))
-        between = low["x"] + (high["x"] - low["x"]) * (i - low["i"]) / (high["i"] - low["i"])
-        return F.when(is_finite(x), x).otherwise(F.coalesce(between, low["x"], high["x"]))
+    def laid_out(known):
+        ends = F.zip_with(F.slice(known, F.lit(1), F.size(known) - 1), F.slice(known, F.lit(2), F.size(known) - 1), stretch)
+        first, last = known[0], F.element_at(known, -1)
+        return F.concat(F.array_repeat(first["x"], first["i"]), F.flatten(ends), F.array_repeat(last["x"], F.size(v) - last["i"]))
 
     gap = F.exists(v, lambda x: ~is_finite(x))
-    return F.when(~gap, v).when(F.exists(v, is_finite), F.transform(v, lambda x, i: one(x, i, fine)))
+    return F.when(~gap, v).when(F.exists(v, is_finite), let(points, laid_out))
 
 
 def finite_runs(s: DataFrame, least: int = 12) -> DataFrame:

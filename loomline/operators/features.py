@@ -2,113 +2,130 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrays, by_row, lists
 from ..functions.frequency import family, seasonality
-from .correction import clipped, deviation, mean
+from .correction import mean
 
 FAMILIES, TERMS = ("minute", "hour", "day", "week", "month", "quarter", "year", "other"), ("short", "medium", "long")
 GLOBAL, LOCAL = 19, 22
+#: Rows of an expert table that are made at a time.
+ROWS = 64
+
+
+def forecast_arrays(forecasts: DataFrame) -> DataFrame:
+    """window, models: a map from a model to its forecast, an array over steps of arrays of deciles. One shuffle, by window."""
+    steps = F.array_sort(F.collect_list(F.struct("model", "step", "q")))
+    names = F.array_distinct(F.transform("s", lambda x: x["model"]))
+    of = lambda m: F.transform(F.filter("s", lambda x: x["model"] == m), lambda x: x["q"])
+    return forecasts.groupBy("window").agg(steps.alias("s")).select("window", F.map_from_arrays(names, F.transform(names, of)).alias("models"))
+
+
+def _diff_mean(x: np.ndarray, order: int = 1) -> np.ndarray:
+    """Mean absolute difference along the last axis; 0 where it is too short."""
+    return np.abs(np.diff(x, order)).mean(-1) if x.shape[-1] > order else np.zeros(x.shape[:-1])
+
+
+def _lean(x: np.ndarray) -> np.ndarray:
+    """Least-squares slope along the last axis over 0, 1, ...; 0 for one value."""
+    t = np.arange(x.shape[-1]) - (x.shape[-1] - 1) / 2
+    return (x - x.mean(-1, keepdims=True)) @ t / max(t @ t, 1e-12)
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    """Place in [0, 1] of each value among the others, ties in the middle."""
+    below, same = (x[:, None] > x).sum(1), (x[:, None] == x).sum(1)
+    return (below + (same - 1) / 2) / max(len(x) - 1, 1)
+
+
+def window_values(v: np.ndarray, q: np.ndarray, m: int, kind: str, term: str | None) -> np.ndarray:
+    """19 values of a window with finite observations v, then 22 of each of its forecasts q (forecaster, step, decile)."""
+    n, h = len(v), q.shape[1]
+    magnitude = max(np.abs(v).max(), 1.0)
+    scaled = v / magnitude
+    place = np.median(scaled)
+    centred = scaled - place
+    scale = max(1.4826 * np.median(np.abs(centred)), float(_diff_mean(scaled)), centred.std(), 1e-4 * abs(place), 1e-6)
+    normal = np.clip(centred / scale, -50, 50)
+    q = np.clip((q / magnitude - place) / scale, -100, 100)
+    mid, wide, skew = q[..., 4], q[..., 8] - q[..., 0], q[..., 8] + q[..., 0] - 2 * q[..., 4]
+    last, ahead = normal[-1], np.arange(h)
+    trend = np.clip(last + _lean(normal[-64:]) * (ahead + 1), -100, 100)
+    season = normal[n - m + ahead % m] if n >= m else np.full(h, last)
+    rough, gap = _diff_mean(mid), lambda other: np.abs(mid - other).mean(1)
+    whole = [np.log1p(n), np.log1p(h), np.log((n + 1) / (h + 1)), np.log1p(magnitude), place, scale, np.log1p(m), h / m]
+    whole += [float(kind == k) for k in FAMILIES] + [float((term or "").lower() == t) for t in TERMS]
+    own = [
+        mid.mean(1), mid.std(1), mid[:, 0], mid[:, -1], _lean(mid), rough, _diff_mean(mid, 2), wide.mean(1), wide.std(1), wide.min(1), wide.max(1), wide[:, 0], wide[:, -1],
+        skew.mean(1), skew.std(1), mid[:, 0] - last, gap(trend), gap(season), _places(mid.mean(1)), _places(wide.mean(1)), _places(rough), _places(gap(np.median(mid, 0))),
+    ]
+    return np.concatenate([whole, np.stack(own, 1).ravel()])
 
 
-def median(v: Column) -> Column:
-    s, n = F.array_sort(v), F.size(v)
-    return (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2.0
-
-
-def steps(v: Column) -> Column:
-    """First differences."""
-    n = F.greatest(F.size(v) - 1, F.lit(0))
-    return F.zip_with(F.slice(v, F.lit(2), n), F.slice(v, F.lit(1), n), lambda a, b: a - b)
-
-
-def mean_abs(v: Column) -> Column:
-    return F.when(F.size(v) > 0, mean(F.transform(v, F.abs))).otherwise(0.0)
-
-
-def slope(v: Column) -> Column:
-    n = F.size(v)
-    return F.when(n > 1, F.aggregate(F.transform(v, lambda x, i: x * (i - (n - 1) / 2.0)), F.lit(0.0), lambda a, x: a + x) / F.greatest(n.cast("double") * (n * n - 1) / 12.0, F.lit(1e-12))).otherwise(0.0)
-
-
-def mid_ranks(v: Column) -> Column:
-    """Place in [0, 1] of each value of an array among the others."""
-    below = lambda x: F.size(F.filter(v, lambda y: y < x)) + 0.5 * (F.size(F.filter(v, lambda y: y == x)) - 1)
-    return F.transform(v, lambda x: below(x) / F.greatest(F.size(v) - 1, F.lit(1)))
+def described(v: np.ndarray | None, q: np.ndarray | None, m: int, kind: str, term: str | None, context: int) -> np.ndarray | None:
+    """window_values of the last `context` observations; None where none of them is finite, or a forecast is not whole and finite."""
+    if v is None or q is None or not q.size or not np.isfinite(q).all():
+        return None
+    v = v[-context:]
+    v = v[np.isfinite(v)]
+    return window_values(v, q, m, kind, term) if len(v) else None
 
 
-def stages(rows: DataFrame, **columns: Column) -> DataFrame:
-    for k, v in columns.items():
-        rows = rows.withColumn(k, v)
-    return rows
+def with_season(rows: DataFrame) -> DataFrame:
+    """rows (freq, ...) with the season and the family of the frequency, for described()."""
+    return rows.withColumns({"__m": F.coalesce(seasonality(F.col("freq")), F.lit(1)), "__kind": family(F.col("freq"))})
 
 
 def router_features(windows: DataFrame, forecasts: DataFrame, context: int = 512) -> DataFrame:
     """window, features: 19 values of the window, then 22 of each forecaster in the order of model_index.
 
     windows: window, history, freq, term; forecasts: window, model_index, step, q. A row for each window whose last
-    `context` observations have a finite value and whose forecasts are finite. One shuffle, by window; the rest are
-    formulas over arrays whose length is the horizon or the context.
+    `context` observations have a finite value and whose forecasts are finite. One shuffle, by window.
     """
-    c = F.col
-    each = forecasts.groupBy("window", "model_index").agg(F.array_sort(F.collect_list(F.struct("step", "q"))).alias("s"))
-    each = each.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("model_index", F.transform("s", lambda x: x["q"]).alias("q")))).alias("m"))
-    rows = windows.select("window", "history", "freq", "term").join(each.select("window", F.transform("m", lambda x: x["q"]).alias("raw")), "window")
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = rows.withColumn("v", F.filter(F.slice("history", F.greatest(F.size("history") - context + 1, F.lit(1)), F.lit(context)), fine))
-    rows = rows.where((F.size("v") > 0) & F.forall("raw", lambda q: F.forall(q, lambda x: F.forall(x, fine))))
-    scale = lambda x: (x / c("mag") - c("loc")) / c("scale")
-    rows = stages(
-        rows, mag=F.greatest(F.array_max(F.transform("v", F.abs)), F.lit(1.0)), scaled=F.transform("v", lambda x: x / c("mag")), loc=median(c("scaled")), centred=F.transform("scaled", lambda x: x - c("loc")),
-        scale=F.greatest(1.4826 * median(F.transform("centred", F.abs)), mean_abs(steps(c("scaled"))), deviation(c("centred")), 1e-4 * F.abs("loc"), F.lit(1e-6)),
-        normal=F.transform("centred", lambda x: clipped(x / c("scale"), 50.0)), n=F.size("v"), h=F.size(c("raw")[0]), m=seasonality(c("freq")), last=F.element_at("normal", -1),
-        tail=F.slice("normal", F.greatest(c("n") - 63, F.lit(1)), F.lit(64)), lean=slope(c("tail")),
-        trend=F.transform(F.sequence(F.lit(1), c("h")), lambda i: clipped(c("last") + c("lean") * i, 100.0)),
-        season=F.transform(F.sequence(F.lit(0), c("h") - 1), lambda i: F.when(c("n") >= c("m"), F.get("normal", (c("n") - c("m") + i % c("m")).cast("int"))).otherwise(c("last"))),
-        q=F.transform("raw", lambda m: F.transform(m, lambda s: F.transform(s, lambda x: clipped(scale(x), 100.0)))),
-        mid=F.transform("q", lambda m: F.transform(m, lambda s: s[4])), wide=F.transform("q", lambda m: F.transform(m, lambda s: s[8] - s[0])), skew=F.transform("q", lambda m: F.transform(m, lambda s: s[8] + s[0] - 2 * s[4])),
-        agreed=F.transform(F.sequence(F.lit(0), c("h") - 1), lambda t: median(F.transform("mid", lambda m: F.get(m, t)))),
-        rough=F.transform("mid", lambda m: mean_abs(steps(m))),
-        r1=mid_ranks(F.transform("mid", mean)), r2=mid_ranks(F.transform("wide", mean)), r3=mid_ranks(c("rough")),
-        r4=mid_ranks(F.transform("mid", lambda m: mean_abs(F.zip_with(m, "agreed", lambda a, b: a - b)))),
-    )
-    one = lambda x: x.cast("double")
-    whole = [F.log1p("n"), F.log1p("h"), F.log((c("n") + 1.0) / (c("h") + 1.0)), F.log1p("mag"), c("loc"), c("scale"), F.log1p("m"), c("h") / c("m")]
-    kind = family(c("freq"))
-    whole += [one(kind == k) for k in FAMILIES] + [one(F.lower("term") == t) for t in TERMS]
-
-    def local(i):
-        m, w, a = F.get("mid", i), F.get("wide", i), F.get("skew", i)
-        gap = lambda other: mean_abs(F.zip_with(m, other, lambda x, y: x - y))
-        return F.array(
-            mean(m), deviation(m), m[0], F.element_at(m, -1), slope(m), F.get("rough", i), mean_abs(steps(steps(m))), mean(w), deviation(w), F.array_min(w), F.array_max(w), w[0], F.element_at(w, -1),
-            mean(a), deviation(a), m[0] - c("last"), gap(c("trend")), gap(c("season")), F.get("r1", i), F.get("r2", i), F.get("r3", i), F.get("r4", i),
-        )
-
-    locals_ = F.flatten(F.transform(F.sequence(F.lit(0), F.size("mid") - 1), local))
-    return rows.select("window", F.concat(F.array(*[one(x) for x in whole]), locals_).alias("features"))
+    each = forecast_arrays(forecasts.select("window", F.col("model_index").alias("model"), "step", "q"))
+    recent = F.slice("history", F.greatest(F.size("history") - context + 1, F.lit(1)), F.lit(context)).alias("history")
+    rows = windows.select("window", recent, "freq", "term").join(each.select("window", F.map_values("models").alias("core")), "window")
+    out = by_row(with_season(rows), ["history", "core", "__m", "__kind", "term"], "features array<double>", lambda *x: (described(*x, context),))
+    return out.where("features is not null").select("window", "features")
+
+
+def expert_values(x: np.ndarray, models: int) -> np.ndarray:
+    """Rows of router features to (row, forecaster, values): the window's values, the forecaster's own, all others', differences, spreads, ranks, identity."""
+    rows = len(x)
+    g, local = x[:, :GLOBAL], x[:, GLOBAL:].reshape(rows, models, LOCAL)
+    ordered = np.sort(local, 1)
+    rank = np.argsort(np.argsort(local, 1, kind="stable"), 1, kind="stable") / 7.0
+    mean_, spread, lo, hi = local.mean(1), local.std(1), ordered[:, 0], ordered[:, -1]
+    every = lambda a: np.broadcast_to(a.reshape(rows, 1, -1), (rows, models, a.size // max(rows, 1)))  # noqa: E731  the same for each forecaster
+    minus = local[:, :, None] - local[:, None]
+    flat = lambda a: a.reshape(rows, models, -1)
+    me = np.eye(models)
+    parts = [
+        every(g), local, every(local), np.tile(local, (1, 1, models)), flat(minus), np.abs(flat(minus)), every(mean_), every(hi - lo), every(spread), every(lo), every(hi), every(np.median(local, 1)),
+        (local - mean_[:, None]) / np.maximum(spread, 0.05)[:, None], rank, every(rank), np.broadcast_to(me, (rows, models, models)),
+        flat(g[:, None, :, None] * me[None, :, None, :]), every(ordered),
+    ]
+    return np.concatenate(parts, 2)
 
 
 def expert_features(rows: DataFrame, models: int = 8) -> DataFrame:
-    """window, model_index, features: for each forecaster the window's values, its own, all others', differences, spreads, ranks and identity."""
-    c = F.col
-    local = F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda e: F.slice("features", GLOBAL + LOCAL * e + 1, F.lit(LOCAL)))
-    rows = stages(rows, g=F.slice("features", 1, GLOBAL), local=local)
-    column = lambda j: F.transform("local", lambda e: F.get(e, j))
-    over = lambda f: F.transform(F.sequence(F.lit(0), F.lit(LOCAL - 1)), lambda j: f(column(j)))
-    rank = lambda v: F.transform(v, lambda x, i: (F.size(F.filter(v, lambda y: y < x)) + F.size(F.filter(F.slice(v, F.lit(1), i), lambda y: y == x))).cast("double"))
-    rows = stages(rows, m=over(mean), s=over(deviation), lo=over(lambda v: F.array_min(v)), hi=over(lambda v: F.array_max(v)), md=over(median), ranks=over(rank), ordered=over(lambda v: F.array_sort(v)))
-    rows = rows.withColumn("model_index", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).withColumn("x", F.get("local", c("model_index")))
-    by_model = lambda v: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda e: F.transform(v, lambda j: F.get(j, e))))
-    minus = F.flatten(F.transform("local", lambda e: F.zip_with("x", e, lambda a, b: a - b)))
-    me = F.transform(F.sequence(F.lit(0), F.lit(models - 1)), lambda e: (e == c("model_index")).cast("double"))
-    parts = [
-        c("g"), c("x"), F.flatten("local"), F.flatten(F.array_repeat("x", models)), minus, F.transform(minus, F.abs), c("m"), F.zip_with("hi", "lo", lambda a, b: a - b), c("s"), c("lo"), c("hi"), c("md"),
-        F.zip_with(F.zip_with("x", "m", lambda a, b: a - b), "s", lambda a, b: a / F.greatest(b, F.lit(0.05))), F.transform("ranks", lambda r: F.get(r, c("model_index")) / 7.0), F.transform(by_model(c("ranks")), lambda r: r / 7.0),
-        me, F.flatten(F.transform("g", lambda v: F.transform(me, lambda e: v * e))), by_model(c("ordered")),
-    ]
-    return rows.select("window", "model_index", F.concat(*parts).alias("features"))
+    """window, model_index, features: a row for each forecaster of a window (window, features of router_features)."""
+
+    def run(parts):
+        for part in parts:
+            x = arrays(part.column(1), 1)
+            for a in range(0, len(x), ROWS):
+                some = x[a : a + ROWS]
+                values = expert_values(np.stack(some), models).reshape(len(some) * models, -1)
+                window = part.column(0).take(pa.array(np.repeat(np.arange(a, a + len(some)), models)))
+                yield pa.RecordBatch.from_arrays([window, pa.array(np.tile(np.arange(models, dtype=np.int32), len(some))), lists(list(values), 1)], ["window", "model_index", "features"])
+
+    kind = rows.schema["window"].dataType.simpleString()
+    return rows.select("window", "features").mapInArrow(run, f"window {kind}, model_index int, features array<double>")
 
 
 def knot_weights(horizon: Column, knots: Column) -> Column:

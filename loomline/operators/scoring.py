@@ -20,11 +20,14 @@ def cell_scores(f: DataFrame, cell: list[str]) -> DataFrame:
 
 
 def complete_peers(board: DataFrame) -> DataFrame:
-    """Rows of the models that have a finite score in every cell."""
+    """Rows of the models that have a finite score in every cell; an error where there are cells and no such model."""
     ok = board.where(is_finite(F.col("mase")))
-    cells = board.agg(F.count_distinct("cell").alias("cells"))
-    full = ok.groupBy("model").agg(F.count_distinct("cell").alias("n")).join(F.broadcast(cells), F.col("n") == F.col("cells")).select("model")
-    return ok.join(full, "model", "left_semi")
+    cells = board.agg(F.count_distinct("cell").alias("cells"))  # one row
+    each = ok.groupBy("model").agg(F.count_distinct("cell").alias("n")).join(F.broadcast(cells))
+    told = board.select("model").distinct().join(each, "model", "left").withColumn("full", F.coalesce(F.col("n") == F.col("cells"), F.lit(False)))
+    if told.agg(F.max("full")).first()[0] is False:
+        raise ValueError("no model has a score in every cell")
+    return ok.join(told.where("full").select("model"), "model", "left_semi")
 
 
 def tie_ranks(scores: DataFrame) -> DataFrame:
@@ -58,15 +61,6 @@ def capped_score(rows: DataFrame, most: float = 5.0) -> DataFrame:
     return rows.agg((F.sum(F.col("weight") * F.least(F.col("metric"), F.lit(most))) / F.sum("weight")).alias("score"), F.count("*").alias("n"))
 
 
-def violations(shards: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of a forecast that break the contract: duplicate, outside, missing or not finite window ids."""
-    dup = shards.groupBy("window").count().where("count > 1").select("window", F.lit("duplicate").alias("problem"))
-    out = shards.join(windows, "window", "left_anti").select("window", F.lit("outside").alias("problem"))
-    missing = windows.join(shards, "window", "left_anti").select("window", F.lit("missing").alias("problem"))
-    bad = shards.where("value is null or isnan(value) or abs(value) = double('inf')").select("window", F.lit("not finite").alias("problem"))
-    return dup.union(out).union(missing).union(bad)
-
-
 def coverage(forecasts: DataFrame, windows: DataFrame, each: int) -> DataFrame:
     """cell, forecasts, expected: counts to compare, zero where a side lacks the cell."""
     a = forecasts.groupBy("cell").agg(F.count("*").alias("forecasts"))

@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 from ..functions.series import is_finite
 
 
+def _fine(value: Column, kind, name: str) -> Column:
+    """value, or an error where a number in it, at any depth, is NaN or infinite."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(value.isNull() | is_finite(value), value).otherwise(F.raise_error(F.lit(f"{name} is not finite")).cast(kind))
+    if isinstance(kind, ArrayType) and _has_numbers(kind):
+        return F.transform(value, lambda x: _fine(x, kind.elementType, name))
+    if isinstance(kind, MapType) and _has_numbers(kind):
+        return F.transform_values(value, lambda _, x: _fine(x, kind.valueType, name))
+    if isinstance(kind, StructType) and _has_numbers(kind):
+        fields = [_fine(value.getField(f.name), f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _has_numbers(kind) -> bool:
+    return any(x in kind.simpleString() for x in ("double", "float"))
+
+
 def write_json_lines(rows: DataFrame, path: str) -> int:
-    """Write rows as JSON lines and return their number; a value that is not finite is an error, and nothing is left then.
+    """Write rows as JSON lines, in place of what was there, and return their number; null values are written too.
 
-    The check runs in the tasks that write; Spark's commit shows the files only when all tasks are done.
+    A number that is NaN or infinite, in an array, map or struct as well, is an error of the task that meets it. Rows go
+    to a folder beside `path` first, which takes its place when all are written: after an error the old file is still
+    there. The rows are counted by the write itself.
     """
-    fine = [F.assert_true(F.col(f"`{c}`").isNull() | is_finite(F.col(f"`{c}`")), f"{c} is not finite") for c, t in rows.dtypes if t in ("double", "float")]
-    checked = rows.where(F.array(*fine, F.lit(None).cast("void")).isNotNull()) if fine else rows
-    checked.write.mode("overwrite").json(path)
-    return rows.sparkSession.read.schema(rows.schema).json(path).count()
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    checked = rows.select(*[_fine(F.col(name(f.name)), f.dataType, f.name).alias(f.name) for f in rows.schema.fields])
+    counted = Observation()
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    files = new.getFileSystem(conf)
+    try:
+        checked.observe(counted, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", False).json(beside)
+    except BaseException:
+        files.delete(new, True)
+        raise
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} could not take the place of {path}")
+    return counted.get["n"]
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

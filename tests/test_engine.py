@@ -87,13 +87,6 @@ def test_sample_crps_is_its_definition(spark):
     assert abs(got - want) < 1e-9
 
 
-def test_violations(spark):
-    shards = spark.createDataFrame([(1, 1.0), (1, 1.0), (9, 1.0), (2, float("nan"))], "window long, value double")
-    windows = spark.createDataFrame([(1,), (2,), (3,)], "window long")
-    got = {(r.window, r.problem) for r in scoring.violations(shards, windows).collect()}
-    assert got == {(1, "duplicate"), (9, "outside"), (3, "missing"), (2, "not finite")}
-
-
 def test_admissible(spark):
     d = spark.createDataFrame([([1.0, 2.0], [3.0]), ([0.0, 0.0], [1.0]), ([1.0], [1e9]), ([], [1.0])], "h array<double>, f array<double>")
     assert [r.a for r in d.select(F.coalesce(series.admissible(F.col("h"), F.col("f")), F.lit(False)).alias("a")).collect()] == [True, False, False, False]

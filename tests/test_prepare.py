@@ -65,7 +65,7 @@ def test_predictive_gain_is_least_squares(spark):
     frame = lambda v: spark.createDataFrame([("p", i, float(z)) for i, z in enumerate(v)], "pair string, pos long, value double")
     got = series.predictive_gain(frame(x), frame(y)).first()
     assert got.lag == lag == 3 and abs(got.gain - best) < 1e-9
-    flat = series.predictive_gain(frame([1.0] * 40), frame([2.0] * 40), 40).first()
+    flat = series.predictive_gain(frame([1.0] * 40), frame([2.0] * 40)).first()
     assert (flat.lag, flat.gain) == (0, 0.0)
 
 
