@@ -406,14 +406,14 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     total = lengths.agg(F.sum("shards")).first()[0] or 1
     slices = max(1, shuffle_partitions(spark) // total)
     named = classes.join(F.broadcast(lengths), F.size("embedding") == F.col("dims"))
-    own = (F.col("base") + F.pmod(F.xxhash64("node", "dims"), F.col("shards"))).cast("int")
-    members = named.select(own.alias("shard"), "node", "n", "embedding").repartitionById(total, F.col("shard")).sortWithinPartitions("node")
+    own = (F.col("base") + F.pmod(F.xxhash64("least", "dims"), F.col("shards"))).cast("int")
+    members = named.select(own.alias("shard"), "node", "n", "embedding", "least").repartitionById(total, F.col("shard")).sortWithinPartitions("least", "node").drop("least")
     graphs = cut(members.mapInArrow(lambda parts: _built(parts, least), "shard int, part int, data binary"))
     task = lambda shard, slice_: (shard * slices + slice_).cast("int").alias("task")
     none = lambda kind: F.lit(None).cast(kind)
     slice_ = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     held = graphs.withColumn("slice", slice_).select(task(F.col("shard"), F.col("slice")), F.lit(0).alias("role"), F.col("part").cast("long").alias("node"), none("long").alias("n"), none("array<double>").alias("embedding"), "data")
-    asked = named.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1))).select(task(F.col("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(slices))), F.lit(1).alias("role"), "node", "n", "embedding", none("binary").alias("data"))
+    asked = named.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1))).select(task(F.col("shard"), F.pmod(F.xxhash64("least", F.lit(1)), F.lit(slices))), F.lit(1).alias("role"), "node", "n", "embedding", none("binary").alias("data"))
     stream = held.union(asked).repartitionById(total * slices, F.col("task")).sortWithinPartitions("role", "node").select("task", "role", "node", "n", "embedding", "data")
     found = cut(stream.mapInArrow(lambda parts: _searched(parts, least, slices), "node long, n long, other long"))
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
