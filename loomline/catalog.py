@@ -298,7 +298,7 @@ def d13(spark, sf):
     return fx.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("The"))), "\n").alias("text"))
 
 
-from .plans import ensemble, forecasts, prepare, stores, texts  # noqa: E402, F401  (they register their queries)
+from .plans import ensemble, examples, forecasts, prepare, stores, texts  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from . import series as sr
-from .text import formatted, measure
+from .questions import sensor_table
+from .text import formatted, formatted_all, measure
 
+#: Titles and conventions of measurements.
+VALUES, MEASUREMENTS = "values (successive observations separated by spaces):\n", "Computed measurements:\n"
+BY_CHANNEL = "\nComputed measurements for each temporal channel separately:\n"
+PAIR_TITLE = "Pair convention: positive lag k means S1[t] aligns with S2[t+k] (S1 leads S2).\n"
 TREND_TITLE = "Trend fits: time rescaled to [-1,1], values standardized; R2 is variance explained; quadratic_t2 is the coefficient of time squared."
 SPECTRUM_TITLE = (
     "Local spectrum: consecutive first and second halves, each linearly detrended. FFT period is in samples; power_fraction is the fraction of non-DC spectral power at that peak. "
@@ -112,3 +118,92 @@ def channels(rows: DataFrame, key: str, values: str, stride: Column, names: str
     at = rows.select(key, stride.alias("stride"), F.posexplode(values).alias("i", "value"))
     name = F.when(F.col("stride") == 1, "S1").otherwise(F.substring(F.lit(names), F.pmod("i", "stride") + 1, F.lit(1)))
     return at.select(F.concat_ws("/", F.col(key).cast("string"), name).alias("series_id"), F.expr("i div stride").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
+def lines(s: DataFrame) -> DataFrame:
+    """series_id, single, trend, halves: the measurement texts of series under the name S1, without titles; valid series only.
+
+    The series are staged, since some ten measurements read them.
+    """
+    s = s.select("series_id", "pos", "value")
+    s = staged(s.join(validated(s).where("problem is null").select("series_id"), "series_id", "left_semi"))
+    out = single_text(s).withColumnRenamed("text", "single")
+    for name, title, text in (("trend", TREND_TITLE, trend_text(s)), ("halves", SPECTRUM_TITLE, spectrum_text(s))):
+        out = out.join(text.select("series_id", F.substr("text", F.lit(len(title) + 2)).alias(name)), "series_id")
+    return out
+
+
+def _renamed(text: Column, name: Column) -> Column:
+    """Lines that begin with S1 under another name."""
+    return F.regexp_replace(text, F.lit("(?m)^S1(?=[_:])"), name)
+
+
+def _joined(column: str, sep: str = "\n") -> Column:
+    return F.array_join(F.transform("c", lambda x: x[column]), sep)
+
+
+def source_evidence(rows: DataFrame) -> DataFrame:
+    """key, evidence from (key, values, question, shape): what a source declares, and the measurements of each of its channels.
+
+    shape series: the values and their measurements; axes: readings of X, Y and Z in turn as a table, each axis measured
+    as a channel of its own, trend fits and spectra under the axes' names; places: the table alone. Rows of another shape,
+    and those with a channel of fewer than 8 values, are missing.
+    """
+    told = staged(rows.select("key", "question", "shape", "values", formatted_all(F.col("values")).alias("t")))
+    measured = told.where("shape in ('series', 'axes')")
+    stride = F.when(F.col("shape") == "axes", 3).otherwise(1)
+    known = lines(channels(measured, "key", "values", stride))
+    at = F.regexp_extract("series_id", "^(.*)/[^/]*$", 1), F.substring_index("series_id", "/", -1)
+    known = known.select(at[0].alias("k"), at[1].alias("name"), "single", _renamed(F.col("trend"), at[1]).alias("trend"), _renamed(F.col("halves"), at[1]).alias("halves"))
+    known = known.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("name", "single", "trend", "halves"))).alias("c"))
+    rest = F.concat(F.lit("\n" + TREND_TITLE + "\n"), _joined("trend"), F.lit("\n" + SPECTRUM_TITLE + "\n"), _joined("halves"))
+    each = F.array_join(F.transform("c", lambda x: F.concat(x["name"], F.lit(" channel:\n"), x["single"])), "\n")
+    table = sensor_table(F.col("values"), F.col("question"), F.col("t"))
+    plain = F.concat(F.lit("Time series " + VALUES), F.array_join("t", " "), F.lit("\n" + MEASUREMENTS), _joined("single"), rest)
+    text = F.when(F.col("shape") == "series", plain).when(F.col("shape") == "axes", F.concat(table, F.lit(BY_CHANNEL), each, rest)).otherwise(table)
+    out = told.join(known, F.col("key").cast("string") == F.col("k"), "left")
+    complete = F.when(F.col("shape") == "places", True).otherwise(F.coalesce(F.size("c") == stride, F.lit(False)))
+    return out.where(complete).select("key", text.alias("evidence")).where("evidence is not null")
+
+
+def pair_text(a: DataFrame, b: DataFrame) -> DataFrame:
+    """pair, text: the measurements of pairs in one line, with their convention."""
+    m = lambda c: measure(F.coalesce(c, F.lit(0.0)))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    p = pair_summary(a, b)
+    top = p.select("pair", F.posexplode("top").alias("i", "x")).select("pair", "i", F.concat(F.lit("lag="), F.col("x.lag").cast("string"), F.lit(":r="), m(F.col("x.r"))).alias("t"))
+    top = top.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), ", ").alias("shifts"))
+    text = F.concat(
+        F.lit(PAIR_TITLE + "Pair: corr0="), m(F.col("corr0")), F.lit("; top_shifted_corr=["), F.coalesce("shifts", F.lit("")), F.lit("]; best_diff_corr=lag="), whole("diff_lag"), F.lit(":r="), m(F.col("diff_r")),
+        F.lit("; affine_S1_to_S2_R2="), m(F.col("r2")), F.lit("; incremental_prediction_S1_to_S2=gain="), m(F.col("gain12")), F.lit(",lag="), whole("lag12"),
+        F.lit("; incremental_prediction_S2_to_S1=gain="), m(F.col("gain21")), F.lit(",lag="), whole("lag21"), F.lit("."),
+    )
+    return p.join(top, "pair", "left").select("pair", text.alias("text"))
+
+
+def question_evidence(s: DataFrame) -> DataFrame:
+    """id, evidence, series_problem from (id, place, pos, value): one series or two a question (place tells them apart).
+
+    The values of each, their measurements, those of the pair (cut to the length of the shorter one), then trend fits and
+    half spectra. More than two series, and one that is short or not finite, are a problem.
+    """
+    s = s.withColumn("series_id", F.concat_ws("/", F.col("id").cast("string"), F.col("place").cast("string")))
+    order = F.dense_rank().over(W.partitionBy("id").orderBy("place"))
+    names = s.select("id", "place", "series_id").distinct().withColumn("no", order)
+    checked = names.join(validated(s.select("series_id", "pos", "value")), "series_id")
+    told = checked.groupBy("id").agg(F.count("*").alias("many"), F.max("problem").alias("bad"))
+    told = told.select("id", "many", F.when(F.col("many") > 2, "more than two series").when(F.col("bad").isNotNull(), "invalid series").alias("series_problem"))
+    good = told.where("series_problem is null").select("id", "many")
+    s = s.join(names.select("series_id", "no"), "series_id").join(good, "id").withColumn("pos", F.row_number().over(W.partitionBy("series_id").orderBy("pos")))
+    values = s.select("id", "no", "many", "series_id", "pos", formatted(F.col("value"), ".4g", float("inf")).alias("t")).groupBy("id", "no", "many", "series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("v"))
+    name = F.concat(F.lit("S"), F.col("no").cast("string"))
+    head = F.concat(F.lit("Time series "), F.when(F.col("many") > 1, F.concat("no", F.lit(" "))).otherwise(""), F.lit(VALUES), F.array_join(F.transform("v", lambda x: x["t"]), " "))
+    each = values.join(lines(s.select("series_id", "pos", "value")), "series_id")
+    each = each.select("id", "no", head.alias("head"), *[_renamed(F.col(c), name).alias(c) for c in ("single", "trend", "halves")])
+    each = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "head", "single", "trend", "halves"))).alias("c"))
+    two = s.where("many = 2")
+    side = lambda k: two.where(F.col("no") == k).select(F.col("id").alias("pair"), "pos", "value")
+    both = pair_text(staged(side(1)), staged(side(2))).select(F.col("pair").alias("id"), F.col("text").alias("pair"))
+    text = F.concat(_joined("head"), F.lit("\n" + MEASUREMENTS), F.concat_ws("\n", _joined("single"), "pair"), F.lit("\n" + TREND_TITLE + "\n"), _joined("trend"), F.lit("\n" + SPECTRUM_TITLE + "\n"), _joined("halves"))
+    out = each.join(both, "id", "left").select("id", text.alias("evidence"))
+    return told.select("id", "series_problem").join(out, "id", "left")

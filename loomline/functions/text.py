@@ -26,6 +26,16 @@ def formatted(x: Column, form: str = ".6g", whole: float = 1e6) -> Column:
     return run(F.when(is_finite(x), x.cast("double")))
 
 
+def formatted_all(v: Column, form: str = ".4g") -> Column:
+    """An array as texts by a format; null where any value is missing or not finite."""
+
+    @F.pandas_udf("array<string>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: [format(x, form) for x in a], na_action="ignore")
+
+    return run(F.when(F.forall(v, is_finite), v.cast("array<double>")))
+
+
 def number(x: Column) -> Column:
     """Six significant digits without trailing zeros, whole numbers from a million on (not for those under minus a million)."""
     return formatted(x)

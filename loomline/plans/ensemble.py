@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..catalog import FORECASTS, query, rounded
 from ..operators import ensemble as en
 from ..operators import features as ft
 from ..sources import fixtures as fx
+from ..sources.stage import folder
 from .texts import asked
 
 CORE, MEMBERS, EXTRAS, FOLDS = ["last", "mean", "seasonal"], ["last", "mean", "recent", "trend"], ["recent", "trend"], 3
@@ -65,17 +64,13 @@ SELECT t.win AS "window", t.fold, t.keep, t.bucket, a.model, a.i AS knot, CASE W
 FROM tw t LEFT JOIN (SELECT * FROM ka WHERE k = 5 AND model IN ('last', 'mean', 'seasonal')) a ON a.win = t.win AND t.keep LEFT JOIN rk r ON r.win = a.win AND r.model = a.model LEFT JOIN kw ON kw.i = a.i""")
 def g25(spark, sf):
     """The table is written by fold and read back; a window with a failed core forecast is not kept."""
-    stored = en.store_table(table(spark, sf), f"{shared(spark)}/{uuid.uuid4().hex}")
+    stored = en.store_table(table(spark, sf), folder(spark))
     each = stored.select("*", F.posexplode_outer("core").alias("m", "q")).select("*", F.posexplode_outer("q").alias("knot", "deciles"))
     own = lambda c: F.get(c, F.col("knot"))
     out = each.select("window", "fold", "keep", "bucket", F.get(F.array(*map(F.lit, CORE)), F.col("m")).alias("model"), F.col("knot").cast("long").alias("knot"), F.round("magnitude", 6).alias("magnitude"), F.get("ranks", F.col("m")).cast("long").alias("rank"), own(F.col("knot_weight")).cast("long").alias("weight"), own(F.col("target")).alias("target"), F.col("deciles")[4].alias("median"))
     return rounded(out, 8)
 
 
-def shared(spark):
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 POOLS = TABLE + f""", rs AS (SELECT win, model, r.r, ln(1 + (rank + r.r) % 3) AS s FROM rk CROSS JOIN range({FOLDS + 1}) r(r)),
 rw AS (SELECT win, model, r, e / sum(e) OVER (PARTITION BY win, r) AS weight FROM (SELECT win, model, r, exp(-(s - avg(s) OVER p) / greatest(stddev_pop(s) OVER p, 0.15) / 1.35) AS e FROM rs WINDOW p AS (PARTITION BY win, r)) x),
 cu AS (SELECT a.win, w.r, a.i, a.q, round(sum(w.weight / 9.0) OVER (PARTITION BY a.win, w.r, a.i ORDER BY a.q, a.model, a.k ROWS UNBOUNDED PRECEDING), 12) AS cum FROM ka a JOIN rw w ON w.win = a.win AND w.model = a.model),
@@ -124,7 +119,7 @@ def g27_parents(spark, sf):
 @query("g14_g15_g26_cross_fitted")
 def g26(spark, sf):
     """Routers fitted on all kept windows and without each fold, scored in one pass: the pooled medians of each at the knots."""
-    stored = en.store_table(table(spark, sf), f"{shared(spark)}/{uuid.uuid4().hex}")
+    stored = en.store_table(table(spark, sf), folder(spark))
     routers = en.fitted_routers(stored, len(CORE), FOLDS, trees=3, depth=3)
     rows = en.pooled_table(stored, en.cross_scores(stored, routers, len(CORE)), gates(spark, sf), KNOWN)
     each = rows.select("window", "fold", F.posexplode("pools").alias("router", "pool")).select("window", "fold", "router", F.posexplode("pool").alias("knot", "q"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..catalog import FORECASTS, query, rounded, scaled_forecasts
@@ -12,18 +10,13 @@ from ..operators import features as ft
 from ..operators import members as mb
 from ..sources import files
 from ..sources import fixtures as fx
+from ..sources.stage import folder
 from .texts import feature_windows
 
 
-def scratch(spark) -> str:
-    """A new folder in the shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("a1_a2_json_lines", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS written FROM orders")
 def a1(spark, sf):
-    orders, path = fx.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), scratch(spark) + "/orders.jsonl"
+    orders, path = fx.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), folder(spark) + "/orders.jsonl"
     n = files.write_json_lines(orders, path)
     return files.read_any(spark, path, "o_orderkey long, o_totalprice double").withColumn("written", F.lit(n).cast("long"))
 
@@ -31,7 +24,7 @@ def a1(spark, sf):
 @query("a4_block_manifest", "SELECT o_orderpriority AS block, count(*) AS n FROM orders GROUP BY 1")
 def a4(spark, sf):
     """Each priority is a block of its own, written once; the second call of a block reads what the first wrote."""
-    orders, root, out = fx.read(spark, sf, "orders"), scratch(spark), None
+    orders, root, out = fx.read(spark, sf, "orders"), folder(spark), None
     for name in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"):
         for build in (lambda name=name: orders.where(F.col("o_orderpriority") == name).select("o_orderkey"), None):
             block = files.stored_block(spark, root, name, build)
@@ -41,7 +34,7 @@ def a4(spark, sf):
 
 @query("a5_read_any", "SELECT n_nationkey, n_name, n.kind FROM nation CROSS JOIN (VALUES ('csv'), ('json'), ('jsonl')) n(kind)")
 def a5(spark, sf):
-    nation, root = fx.read(spark, sf, "nation").select("n_nationkey", "n_name"), scratch(spark)
+    nation, root = fx.read(spark, sf, "nation").select("n_nationkey", "n_name"), folder(spark)
     nation.write.csv(f"{root}/n.csv", header=True)
     nation.write.json(f"{root}/n.jsonl")
     nation.groupBy().agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(f"{root}/n.json")  # a table of nations
@@ -82,7 +75,7 @@ def a14(spark, sf):
 @query("a15_a18_boards", f"WITH {FORECASTS} SELECT f.model, f.series_id AS cell, round(avg(abs(f.point - f.y) / nullif(s.scale, 0)), 6) AS mase FROM fc f JOIN scales s ON f.series_id = s.series_id WHERE f.model IN ('last', 'mean') GROUP BY 1, 2")
 def a15(spark, sf):
     """A board directory for each of two models, written as a report sink writes and read back."""
-    scores, root = rounded(scoring.cell_scores(scaled_forecasts(spark, sf), ["series_id", "model"])), scratch(spark)
+    scores, root = rounded(scoring.cell_scores(scaled_forecasts(spark, sf), ["series_id", "model"])), folder(spark)
     for m in ("last", "mean"):
         one = scores.where(F.col("model") == m).select(F.col("series_id").alias("cell"), "mase", "crps")
         files.write_report(one.agg(F.avg("mase").alias("mase")), one, f"{root}/{m}")
