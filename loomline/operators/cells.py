@@ -41,14 +41,43 @@ def cell_windows(series: DataFrame, rows_per_cell: int, seed: int, held: float =
     return kept.withColumn("place", F.explode(places)).select("cell", "series_id", "cutoff", F.when(F.col("place") >= 0, F.col("place")).alias("place"), (F.col("place") < 0).alias("held"))
 
 
-def disjoint_starts(n: int, width: int, core: int = 20, more: int = 36) -> list[int]:
-    """`core` starts spread evenly over n values and `more` of those that fit between them: windows of `width` that never overlap."""
-    first = [int(i * (n - width) / (core - 1)) for i in range(core)]
-    gaps, at = [], 0
-    for start in [*first, n]:
-        gaps += range(at, min(start - width, n - width) + 1, width)
-        at = start + width
-    return sorted(first + [gaps[int(i * (len(gaps) - 1) / (more - 1))] for i in range(more)])
+def disjoint_starts(series: DataFrame, width: int, core: int = 20, more: int = 36) -> DataFrame:
+    """series_id, start: of each (series_id, n) `core` starts spread evenly and `more` of those that fit between them.
+
+    Windows of `width` from these starts never overlap. What fits between two neighbours lies at whole widths behind the
+    first; of all of these, numbered along the series, evenly spaced ones are taken, each once. A series shorter than
+    `core` windows has the first even start alone; one shorter than a window has none.
+    """
+    w, many = W.partitionBy("series_id").orderBy("start"), F.count("*").over(W.partitionBy("series_id"))
+    there = series.where(F.col("n") >= width).select("series_id", F.col("n").cast("long").alias("n"))
+    even = there.select("*", F.explode(F.sequence(F.lit(0), F.lit(core - 1))).alias("i"))
+    even = even.select("series_id", "n", F.expr(f"(i * (n - {width})) div {max(core - 1, 1)}").alias("start")).distinct()
+    even = even.where(f"n >= {core * width} or start = 0")
+    room = even.union(there.select("series_id", "n", F.col("n").alias("start")))
+    room = room.withColumns({"low": F.coalesce(F.lag("start").over(w) + width, F.lit(0).cast("long")), "high": F.least(F.col("start"), F.col("n")) - width})
+    free = room.where("high >= low").select("series_id", F.explode(F.sequence("low", "high", F.lit(width).cast("long"))).alias("start"))
+    placed = free.withColumns({"place": (F.row_number().over(w) - 1).cast("long"), "many": many})
+    picks = placed.where("place = 0").select("series_id", F.explode(F.sequence(F.lit(0), F.lit(more - 1))).alias("i"), "many")
+    picks = picks.select("series_id", F.expr(f"(i * (many - 1)) div {max(more - 1, 1)}").alias("place")).distinct()
+    return even.select("series_id", "start").union(placed.join(picks, ["series_id", "place"]).select("series_id", "start"))
+
+
+def rolling_cells(series: DataFrame, most: int, seed: int) -> DataFrame:
+    """cell, series_id, cutoff of (cell, series_id, n, horizon, windows): at most `most` windows of each cell, by hash.
+
+    A cell one of whose series is long enough for a window before its rolling ones (horizon * (windows + 1) + 4 values)
+    gives the rolling cutoffs, one horizon apart at the end, of all its series; any other cell holds out a fifth of its
+    series (one at least, never all), each with its latest cutoff. Cutoffs under 4 do not count. The flag of a cell is an
+    aggregate, and a cell's windows are ranked where they are before they meet.
+    """
+    c = F.col
+    flags = series.groupBy("cell").agg(F.max(c("n") - c("horizon") * (c("windows") + 1) >= 4).alias("long"), F.count_if(c("n") - c("horizon") >= 4).alias("fit"))
+    rows = series.join(flags, "cell")
+    lags = F.when(c("long"), F.sequence(c("windows"), F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    cuts = rows.select("cell", "series_id", "long", "fit", F.explode(lags).alias("lag"), "n", "horizon").withColumn("cutoff", (c("n") - c("horizon") * c("lag")).cast("long")).where("cutoff >= 4")
+    ranked = capped(cuts, ["cell"], most, seed, "cell", "series_id", "cutoff")
+    few = F.least(F.greatest(F.lit(1), F.floor(c("fit") / 5)), c("fit") - 1)
+    return ranked.where(c("long") | (c("rank") <= few)).select("cell", "series_id", "cutoff")
 
 
 def family_capped(rows: DataFrame, family: str, most: int, seed: int, *keys: str) -> DataFrame:

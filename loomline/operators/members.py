@@ -153,3 +153,34 @@ def trajectories(sampled: Column, drawn: Column) -> Column:
     """Sampled paths where there are any, else drawn ones."""
     return F.coalesce(sampled, drawn)
 
+
+
+def forecast_batch(requests: DataFrame, numerical: DataFrame, texts: DataFrame, weights: list[list[float]], bias: list[float], share: float = 0.5, override: int | None = None) -> DataFrame:
+    """position, request, kind, values, problem: requests (position, request, text_state, full_state, stamps) routed by a linear form of their states.
+
+    Kind 0 takes its numerical forecast, any other parses its completion; the rows keep the requests' positions, and a
+    request without states goes where equal weights would.
+    """
+    from .pooling import routed
+
+    even = F.array_repeat(F.lit(0.0), len(weights[0]))
+    rows = requests.withColumns({c: F.coalesce(F.col(c).cast("array<double>"), even) for c in ("text_state", "full_state")})
+    rows = routed(rows, "text_state", "full_state", weights, bias, share)
+    rows = rows.withColumn("kind", kind_of(F.array(*[F.col(f"w{i}") for i in range(len(weights))]), override))
+    told = routed_forecasts(rows.select("request", "kind", "stamps"), numerical, texts)
+    return rows.select("position", "request").join(told, "request")
+
+
+def answer_batch(questions: DataFrame, series: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, message, choice, problem: questions (id, question, options) rendered with their series, and the option that each answer names.
+
+    A question that does not render is not answered; neither is one whose answer names no option.
+    """
+    from ..functions.text import choice
+    from .examples import analysis_messages
+
+    told = analysis_messages(questions, series)
+    rows = questions.select("id", "options").join(told, "id").join(texts, "id", "left")
+    picked = F.when(F.col("problem").isNull(), choice(F.col("text"), F.col("options")))
+    none = F.when(F.col("text").isNull(), "no answer").when((F.size("options") > 0) & picked.isNull(), "no option named")
+    return rows.select("id", "message", picked.alias("choice"), F.coalesce("problem", none).alias("problem"))

@@ -65,6 +65,20 @@ def b11(spark, sf):
     return rows.select("o_orderkey", F.col("n").cast("long").alias("n"), F.date_format(cl.shifted("ts", "unit", "n"), "yyyy-MM-dd HH:mm").alias("stamp"))
 
 
+ALL = ["second", "minute", "hour", "day", "week", "month", "quarter", "year"]
+
+
+@query("b11_aligned_calendars", "WITH u AS (SELECT o_orderkey AS k, o_orderdate + to_hours(CAST(o_custkey % 30 AS INT)) AS ts, CAST(o_orderkey % 9 AS INT) AS u, 1 + o_custkey % 3 AS step FROM orders), s AS (SELECT k, n, CASE u "
+    + " ".join(f"WHEN {i} THEN date_trunc('{u}', ts) + (n * step) * INTERVAL 1 {u}" for i, u in enumerate(ALL)) + " END AS begun FROM u CROSS JOIN range(5) t(n)), t AS (SELECT k, n, CASE WHEN strftime(begun, '%H:%M:%S') = '00:00:00' THEN strftime(begun, '%Y-%m-%d') ELSE strftime(begun, '%Y-%m-%d %H:%M:%S') END AS text FROM s) "
+    "SELECT k AS o_orderkey, string_agg(text, ',' ORDER BY n) FILTER (n < 3) AS past, string_agg(text, ',' ORDER BY n) FILTER (n >= 3) AS future FROM t GROUP BY 1")
+def b11_aligned(spark, sf):
+    """Three past and two future stamps from each order date on, one to three units apart; every ninth unit is unknown."""
+    unit = F.get(F.array(*map(F.lit, ALL)), (F.col("o_orderkey") % 9).cast("int"))
+    rows = fx.read(spark, sf, "orders").withColumn("ts", F.expr("o_orderdate + make_dt_interval(0, cast(o_custkey % 30 as int))"))
+    past, future = cl.calendar(F.col("ts"), unit, 1 + F.col("o_custkey") % 3, F.lit(3), F.lit(2))
+    return rows.select("o_orderkey", F.array_join(past, ",").alias("past"), F.array_join(future, ",").alias("future"))
+
+
 @query("b15_nearest_hour", "WITH e AS (SELECT event_type, event_id, value, (epoch_us(ts) + 1800000000) // 3600000000 AS hour, epoch_us(ts) AS us FROM events WHERE value BETWEEN -100 AND 140) SELECT event_type, CAST(hour AS BIGINT) AS hour, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, hour ORDER BY abs(us - hour * 3600000000), event_id) AS r FROM e) x WHERE r = 1")
 def b15(spark, sf):
     events = fx.read(spark, sf, "events").where("value between -100 and 140").withColumn("us", cl.micros("ts"))

@@ -84,17 +84,27 @@ def a15(spark, sf):
     return read.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)).select("model", "cell", "mase")
 
 
-@query("a16_a17_panel", f"WITH {FORECASTS} SELECT w.series_id || '/' || w.cutoff AS \"window\", w.series_id AS cell, w.cutoff - 168 AS skipped, round(list_sum(list(r.value ORDER BY r.pos)), 4) AS total, round(max(s.scale), 6) AS scale FROM win w JOIN rep r ON r.series_id = w.series_id AND r.pos < w.cutoff AND r.pos >= w.cutoff - 168 JOIN scales s ON s.series_id = w.series_id GROUP BY 1, 2, 3")
+@query("a16_a17_panel", """WITH l AS (SELECT l_partkey AS k, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1), q AS (SELECT k, v, len(v) AS n, ['day', 'month', 'minute', 'year'][k % 4 + 1] AS unit, ['D', 'M', 'min', 'A'][k % 4 + 1] AS freq FROM l),
+h AS (SELECT *, CASE WHEN n >= 4 THEN list_slice(v, greatest(1, n - 19), n) ELSE list_concat([v[1] FOR i IN range(4 - n)], v) END AS hist, greatest(n - 20, 0) AS skip FROM q),
+d AS (SELECT *, greatest(len(hist) - 12, 0) AS more, CASE unit WHEN 'day' THEN TIMESTAMP '2024-01-30' + to_days(CAST(skip AS INT)) WHEN 'month' THEN TIMESTAMP '2024-01-01' + to_months(CAST(skip AS INT)) WHEN 'minute' THEN TIMESTAMP '2024-01-30 23:50:00' + to_minutes(CAST(skip AS INT)) ELSE TIMESTAMP '2024-01-01' + to_years(CAST(skip AS INT)) END AS begun FROM h),
+g AS (SELECT *, CASE unit WHEN 'day' THEN begun + to_days(CAST(more AS INT)) WHEN 'month' THEN begun + to_months(CAST(more AS INT)) WHEN 'minute' THEN begun + to_minutes(CAST(more AS INT)) ELSE begun + to_years(CAST(more AS INT)) END AS later FROM d)
+SELECT k AS "window", 'part' || k % 3 || '/' || CASE unit WHEN 'minute' THEN 'T' ELSE freq END || '/short' AS cell, CASE unit WHEN 'minute' THEN 'T' ELSE freq END AS frequency, len(hist) AS values, list_sum(hist) AS total,
+ CASE WHEN strftime(begun, '%H:%M:%S') = '00:00:00' THEN strftime(begun, '%Y-%m-%d') ELSE strftime(begun, '%Y-%m-%d %H:%M:%S') END AS start, CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS DOUBLE) END AS scale,
+ CASE WHEN k % 2 = 0 THEN CASE WHEN strftime(later, '%H:%M:%S') = '00:00:00' THEN strftime(later, '%Y-%m-%d') ELSE strftime(later, '%Y-%m-%d %H:%M:%S') END END AS posed, CASE WHEN k % 2 = 0 THEN list_sum(list_slice(hist, len(hist) - least(len(hist), 12) + 1, len(hist))) END AS posed_total FROM g""")
 def a16(spark, sf):
-    from ..functions import series as sr
-
-    rep = fx.repaired(spark, sf)
-    arrays = rep.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")).select("series_id", F.transform("v", lambda x: x["value"]).alias("v"))
-    panel = fx.rolling_windows(rep).join(arrays, "series_id").join(sr.seasonal_scale(rep, 24), "series_id")
-    r = files.recent(files.prepared(F.slice("v", F.lit(1), F.col("cutoff").cast("int"))), F.lit("2024-01-01"))
-    panel = panel.select(F.concat_ws("/", "series_id", "cutoff").alias("window"), F.col("series_id").alias("cell"), r.alias("r"), "scale")
-    total = F.round(F.aggregate("r.history", F.lit(0.0), lambda a, x: a + x), 4)
-    return panel.select("window", "cell", F.col("r.skipped").cast("long").alias("skipped"), total.alias("total"), F.round("scale", 6).alias("scale"))
+    """Both outputs are written and read back: twenty values of the history at most, twelve in a request, for every second part."""
+    k = F.col("l_partkey")
+    lines = fx.read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("s"))
+    of = lambda *names: F.get(F.array(*map(F.lit, names)), (k % 4).cast("int"))
+    rows = lines.select(
+        k.alias("window"), F.concat(F.lit("part"), k % 3).alias("name"), F.lit("short").alias("term"), of("D", "ME", "min", "YE").alias("freq"), of("day", "month", "minute", "year").alias("unit"),
+        of("2024-01-30", "2024-01-31", "2024-01-30 23:50:10", "2024-05-06").alias("start"), F.transform("s", lambda x: x["l_quantity"]).alias("values"), F.array(F.lit(1.0)).alias("target"),
+        F.when(k % 2 == 0, "kept").otherwise("other").alias("block"), (k % 5).cast("double").alias("scale"),
+    )
+    panel, posed = files.write_panel(rows.withColumn("start", F.col("start").cast("timestamp_ntz")), folder(spark), ["kept"], 20, 12)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    asked = posed.select("window", F.col("start").alias("posed"), total("history").alias("posed_total"))
+    return panel.select("window", "cell", "frequency", F.size("history").cast("long").alias("values"), total("history").alias("total"), "start", "scale").join(asked, "window", "left")
 
 
 def priced(spark, sf):
@@ -112,14 +122,23 @@ def c13(spark, sf):
     return cells.family_capped(fx.read(spark, sf, "orders"), "o_orderstatus", 30, 4, "o_orderkey").select("o_orderkey")
 
 
-@query("c15_disjoint_starts", "WITH n AS (SELECT count(*) AS n FROM lineitem) SELECT CAST(56 AS BIGINT) AS starts, CAST(0 AS BIGINT) AS least, n - 20 AS most, true AS apart FROM n")
+@query("c15_disjoint_starts", """WITH s AS (SELECT o_orderpriority AS series_id, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT series_id, n, i * (n - 20) // 19 AS start FROM s CROSS JOIN range(20) t(i)),
+z AS (SELECT * FROM e UNION ALL SELECT series_id, n, n FROM s), r AS (SELECT series_id, n, coalesce(lag(start) OVER w + 20, 0) AS low, start - 20 AS high FROM z WINDOW w AS (PARTITION BY series_id ORDER BY start)),
+f AS (SELECT series_id, unnest(range(low, high + 1, 20)) AS start FROM r WHERE high >= low), p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start) - 1 AS place, count(*) OVER (PARTITION BY series_id) AS many FROM f)
+SELECT series_id, start FROM e UNION ALL SELECT p.series_id, p.start FROM p JOIN (SELECT DISTINCT series_id, i * (many - 1) // 35 AS place FROM p CROSS JOIN range(36) t(i)) k ON k.series_id = p.series_id AND k.place = p.place""")
 def c15(spark, sf):
-    n = fx.read(spark, sf, "lineitem").count()
-    starts = spark.createDataFrame([(s,) for s in cells.disjoint_starts(n, 20)], "start long")
-    from pyspark.sql import Window as W
-
-    gap = starts.withColumn("gap", F.col("start") - F.lag("start").over(W.orderBy("start")))  # 56 rows
-    return gap.agg(F.count("*").alias("starts"), F.min("start").alias("least"), F.max("start").alias("most"), (F.min("gap") >= 20).alias("apart"))
+    return cells.disjoint_starts(fx.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id")).agg(F.count("*").alias("n")), 20)
+
+
+@query("c4_rolling_cells", """WITH s AS (SELECT o_orderstatus AS cell, CAST(o_custkey AS VARCHAR) AS series_id, CASE WHEN o_orderstatus = 'P' THEN 7 + count(*) ELSE 10 * count(*) END AS n FROM orders GROUP BY 1, o_custkey),
+c AS (SELECT cell, max(n) >= 16 AS long, count(*) FILTER (n >= 7) AS fit FROM s GROUP BY 1), w AS (SELECT s.cell, s.series_id, s.n - 3 * lag AS cutoff, c.long, c.fit FROM s JOIN c ON c.cell = s.cell CROSS JOIN range(1, 4) l(lag) WHERE s.n - 3 * lag >= 4 AND (c.long OR lag = 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY sha256('9' || chr(1) || cell || chr(1) || series_id || chr(1) || cutoff), cell, series_id, cutoff) AS r FROM w)
+SELECT cell, series_id, cutoff FROM r WHERE r <= 900 AND (long OR r <= least(greatest(1, fit // 5), fit - 1))""")
+def c4(spark, sf):
+    """Pending orders make a cell of short series, which holds out whole series; the others give rolling windows, 900 a cell."""
+    series = fx.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("cell"), F.col("o_custkey").cast("string").alias("series_id")).agg(F.count("*").alias("k"))
+    n = F.when(F.col("cell") == "P", 7 + F.col("k")).otherwise(10 * F.col("k"))
+    return cells.rolling_cells(series.select("cell", "series_id", n.alias("n"), F.lit(3).alias("horizon"), F.lit(3).alias("windows")), 900, 9)
 
 
 @query("c18_in_turn", "WITH d AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('5' || chr(1) || o_orderkey), o_orderkey) AS depth FROM orders) SELECT o_orderkey, depth FROM d WHERE depth <= 12 ORDER BY depth, o_orderstatus LIMIT 30")

@@ -263,6 +263,37 @@ def g39(spark, sf):
     return mb.encoded_once(rows, "o_orderpriority", lambda v: v.withColumn("size", F.char_length("o_orderpriority").cast("long"))).select("o_orderkey", "size")
 
 
+ROUTES, ROUTE_BIAS = [[0.5, -1.0, 0.25, 1.0], [-0.5, 1.0, 0.75, -1.0]], [0.1, 0.0]
+
+
+@query("g44_forecast_batch", "WITH s AS (SELECT vec_id, list_transform(range(1, 5), lambda i: 0.5 * CAST(embedding[i] AS DOUBLE) + 0.5 * CAST(embedding[i + 4] AS DOUBLE)) AS v FROM embeddings), "
+    "z AS (SELECT vec_id, " + ", ".join(f"{b} + " + " + ".join(f"{w} * v[{i + 1}]" for i, w in enumerate(ws)) + f" AS z{k}" for k, (ws, b) in enumerate(zip(ROUTES, ROUTE_BIAS, strict=True))) + " FROM s), k AS (SELECT vec_id, CASE WHEN z0 > z1 THEN 0 ELSE 1 END AS kind FROM z) "
+    "SELECT vec_id AS position, kind, CASE WHEN kind = 0 AND vec_id % 5 > 0 THEN CAST(vec_id + 0.5 AS DOUBLE) WHEN kind = 1 AND vec_id % 7 > 0 THEN CAST(vec_id * 2 AS DOUBLE) END AS first, CASE WHEN kind = 0 AND vec_id % 5 = 0 THEN 'no forecast' WHEN kind = 1 AND vec_id % 7 = 0 THEN 'missing stamp' END AS problem FROM k")
+def g44_batch(spark, sf):
+    """Requests whose states are parts of the embeddings; every fifth lacks a numerical forecast, every seventh completion a stamp."""
+    e = fx.read(spark, sf, "embeddings")
+    k = F.col("vec_id")
+    requests = e.select(k.alias("position"), F.concat(F.lit("r"), k).alias("request"), F.slice("embedding", 1, 4).alias("text_state"), F.slice("embedding", 5, 4).alias("full_state"), F.array(F.lit("t1"), F.lit("t2")).alias("stamps"))
+    numerical = e.where("vec_id % 5 > 0").select(F.concat(F.lit("r"), k).alias("request"), F.array(k + 0.5, k + 1.5).alias("values"))
+    texts = e.select(F.concat(F.lit("r"), k).alias("request"), F.concat(F.lit("<forecast>\n(t1, "), (k * 2).cast("string"), F.lit(")\n"), F.when(k % 7 > 0, "(t2, 1)\n").otherwise(""), F.lit("</forecast>")).alias("text"))
+    out = mb.forecast_batch(requests, numerical, texts, ROUTES, ROUTE_BIAS)
+    return out.select("position", "kind", F.get("values", F.lit(0)).alias("first"), "problem")
+
+
+@query("g45_answer_batch", "WITH t AS (SELECT DISTINCT event_type AS id FROM events), r AS (SELECT id, row_number() OVER (ORDER BY id) AS no FROM t) SELECT id, CASE WHEN no NOT IN (2, 3) THEN no % 2 END AS choice, CASE WHEN no = 2 THEN 'invalid series' WHEN no = 3 THEN 'no option named' END AS problem, no <> 2 AS rendered FROM r")
+def g45_batch(spark, sf):
+    """A question for each type of event; the second one's series is cut short, the third one's answer names no option."""
+    from pyspark.sql import Window as W
+
+    rep = fx.repaired(spark, sf)
+    names = rep.select(F.col("series_id").alias("id")).distinct().withColumn("no", F.row_number().over(W.orderBy("id")))  # five rows
+    series = rep.withColumnRenamed("series_id", "id").join(names, "id").where("no <> 2 or pos < 5").select("id", F.lit(1).alias("place"), "pos", "value")
+    questions = names.select("id", F.lit("Rising?").alias("question"), F.array(F.lit("Yes"), F.lit("No")).alias("options"))
+    texts = names.select("id", F.when(F.col("no") == 3, "perhaps").when(F.col("no") % 2 == 0, "A) yes").otherwise("B) No").alias("text"))
+    out = mb.answer_batch(questions, series, texts)
+    return out.select("id", F.col("choice").cast("long").alias("choice"), "problem", F.col("message").isNotNull().alias("rendered"))
+
+
 @query("g43_g44_g45_answers", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS kind, CASE WHEN turn % 2 = 0 THEN 2.5 WHEN conv_id % 2 = 0 THEN 4.0 END AS value, CASE WHEN turn % 2 = 1 AND conv_id % 2 = 1 THEN 'no block' END AS problem, CAST(CASE WHEN role = 'user' THEN 1 END AS DOUBLE) AS choice FROM conversations")
 def g44(spark, sf):
     c = fx.read(spark, sf, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("request"), "role")

@@ -134,3 +134,33 @@ def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
     """One summary row as JSON, and the details as Parquet."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     details.write.mode("overwrite").parquet(f"{path}/details")
+
+
+def write_panel(windows: DataFrame, root: str, chosen: list[str], most: int = 8192, shown: int = 168) -> tuple[DataFrame, DataFrame]:
+    """The panel of windows and the requests of the chosen blocks, written under root and read back, from one pass over the windows.
+
+    windows: window, name, term, freq (as a board names it), unit, start, values, target, block, scale. The panel has cell
+    (name before /, lower case; frequency; term), history as a board takes it (see prepared), start moved to its first
+    value, target and scale (null where it is not finite or not positive). Requests are JSON lines of what the last
+    `shown` values pose: window, history, start, frequency, horizon; they are drawn from the written panel.
+    """
+    from ..functions.calendars import period, stamp
+    from ..functions.frequency import board_name
+
+    c = F.col
+    history = prepared(c("values"), most)
+    freq = board_name(c("name"), c("freq"))
+    moved = lambda n: F.coalesce(stamp(period(c("start").try_cast("timestamp_ntz"), c("unit"), n)), F.lit(""))
+    rows = windows.withColumns({"history": history})
+    skipped = F.greatest(F.size("values") - F.size("history"), F.lit(0))
+    rows = rows.select(
+        "window", "block", F.concat_ws("/", F.lower(F.substring_index("name", "/", 1)), freq, "term").alias("cell"), freq.alias("frequency"), "unit", "history", moved(skipped).alias("start"), "target",
+        F.when(is_finite(c("scale")) & (c("scale") > 0), c("scale")).alias("scale"),
+    )
+    rows.write.parquet(f"{root}/panel")
+    panel = windows.sparkSession.read.schema(rows.schema).parquet(f"{root}/panel")
+    last = recent(c("history"), c("start"), shown)
+    asked = panel.where(c("block").isin(*chosen)).withColumn("r", last)
+    posed = asked.select("window", c("r.history").alias("history"), moved(c("r.skipped")).alias("start"), "frequency", F.size("target").alias("horizon"))
+    write_json_lines(posed, f"{root}/requests.jsonl")
+    return panel, read_any(windows.sparkSession, f"{root}/requests.jsonl", posed.schema)
