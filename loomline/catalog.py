@@ -257,7 +257,8 @@ def g23(spark, sf):
 
 @query("g24_blend_mass", OPTIMA + " SELECT round(avg(optimum), 5) AS mass, count(*) AS rows FROM o")
 def g24(spark, sf):
-    return rounded(optima(spark, sf).agg(F.avg("optimum").alias("mass"), F.count("optimum").alias("rows")), 5)
+    rows = optima(spark, sf)
+    return rounded(rows.agg(F.count("optimum").alias("rows")).withColumn("mass", F.lit(pooling.blend_mass(rows))), 5)
 
 
 @query("g22_blended", f"WITH {FORECASTS}, w AS (SELECT a.win, a.step, a.k, a.q AS l, b.q AS r FROM atoms a JOIN atoms b ON a.win = b.win AND a.step = b.step AND a.k = b.k AND a.model = 'last' AND b.model = 'trend') SELECT win AS \"window\", step, k AS level, round(CASE WHEN step % 5 = 0 THEN l ELSE 0.75 * l + 0.25 * max(CASE WHEN k % 3 = 0 THEN r - 2 ELSE r END) OVER (PARTITION BY win, step ORDER BY k) END, 6) AS q FROM w")

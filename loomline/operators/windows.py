@@ -51,6 +51,22 @@ def digest(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", F.transform(values, lambda x: F.coalesce(x.cast("float").cast("string"), F.lit("-")))), 256)
 
 
+def content_digest(history: Column, future: Column) -> Column:
+    """Equal for windows whose history and future are equal as 32-bit floats."""
+    return F.sha2(F.concat_ws("|", digest(history), digest(future)), 256)
+
+
+def clean(rows: DataFrame, protected: DataFrame, key: str, history: str = "history", future: str = "future") -> DataFrame:
+    """rows without those of a protected or a constant history, one of each content: that of the least key.
+
+    Contents are grouped by digest; the least key of each is an aggregate, so a large class is no large group.
+    """
+    fine = unprotected(rows, history, protected).where(varying(F.col(history)))
+    named = fine.withColumn("__c", content_digest(F.col(history), F.col(future)))
+    least = named.groupBy("__c").agg(F.min(key).alias("__k"))
+    return named.join(least, "__c").where(F.col(key) == F.col("__k")).drop("__c", "__k")
+
+
 def content_classes(rows: DataFrame, values: str, key: str) -> DataFrame:
     """Adds `first`, the least key of the rows with the same content (pre-aggregated, so a large class is no large group)."""
     named = rows.withColumn("__d", digest(F.col(values)))

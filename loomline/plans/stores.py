@@ -74,14 +74,29 @@ def a14(spark, sf):
 
 @query("a15_a18_boards", f"WITH {FORECASTS} SELECT f.model, f.series_id AS cell, round(avg(abs(f.point - f.y) / nullif(s.scale, 0)), 6) AS mase FROM fc f JOIN scales s ON f.series_id = s.series_id WHERE f.model IN ('last', 'mean') GROUP BY 1, 2")
 def a15(spark, sf):
-    """A board directory for each of two models, written as a report sink writes and read back."""
+    """A results file in a directory for each of two models, beside reports, read back as one board."""
     scores, root = rounded(scoring.cell_scores(scaled_forecasts(spark, sf), ["series_id", "model"])), folder(spark)
     for m in ("last", "mean"):
         one = scores.where(F.col("model") == m).select(F.col("series_id").alias("cell"), "mase", "crps")
-        files.write_report(one.agg(F.avg("mase").alias("mase")), one, f"{root}/{m}")
-        one.write.csv(f"{root}/boards/{m}/all_results.csv", header=True)
-    read = spark.read.option("header", True).option("recursiveFileLookup", True).schema("cell string, mase double, crps double").csv(f"{root}/boards")
-    return read.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)).select("model", "cell", "mase")
+        files.write_report(one.agg(F.avg("mase").alias("mase")), one, f"{root}/reports/{m}")
+        files.write_board(one, f"{root}/boards/{m}/{'all_results.csv' if m == 'last' else 'all-results.csv'}")
+    return files.boards(spark, f"{root}/boards", "cell string, mase double, crps double").select("model", "cell", "mase")
+
+
+@query("c9_clean", """WITH l AS (SELECT l_partkey AS k, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1 HAVING count(*) >= 4), h AS (SELECT k, v[:len(v) - 2] AS h, v[len(v) - 1:] AS f FROM l),
+w AS (SELECT k * 10 + c AS key, CASE WHEN k % 11 = 0 THEN list_transform(h, lambda x: 5.0) ELSE h END AS h, CASE WHEN c = 2 THEN list_reverse(f) ELSE f END AS f, k FROM h CROSS JOIN range(3) t(c)),
+g AS (SELECT * FROM w WHERE k % 11 > 0 AND h NOT IN (SELECT h FROM h WHERE k % 7 = 0) AND len(list_distinct(h)) > 1)
+SELECT key FROM (SELECT key, row_number() OVER (PARTITION BY h, f ORDER BY key) AS r FROM g) x WHERE r = 1""")
+def c9_clean(spark, sf):
+    """Three copies of each part's window, the third with another future; every seventh history is protected, every eleventh constant."""
+    from ..operators import windows as wn
+
+    lines = fx.read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("s"))
+    v, n = F.transform("s", lambda x: x["l_quantity"]), F.size("s")
+    h = lines.where(n >= 4).select("k", F.slice(v, F.lit(1), n - 2).alias("h"), F.slice(v, n - 1, F.lit(2)).alias("f"))
+    copies = h.withColumn("c", F.explode(F.array(*map(F.lit, range(3)))))
+    rows = copies.select((F.col("k") * 10 + F.col("c")).alias("key"), F.when(F.col("k") % 11 == 0, F.transform("h", lambda _: F.lit(5.0))).otherwise(F.col("h")).alias("history"), F.when(F.col("c") == 2, F.reverse("f")).otherwise(F.col("f")).alias("future"))
+    return wn.clean(rows, h.where("k % 7 = 0").select(F.col("h").alias("history")), "key").select("key")
 
 
 @query("a16_a17_panel", """WITH l AS (SELECT l_partkey AS k, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS v FROM lineitem GROUP BY 1), q AS (SELECT k, v, len(v) AS n, ['day', 'month', 'minute', 'year'][k % 4 + 1] AS unit, ['D', 'M', 'min', 'A'][k % 4 + 1] AS freq FROM l),

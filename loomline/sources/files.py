@@ -109,9 +109,25 @@ def properties(names: DataFrame, aliases: DataFrame, known: DataFrame, domain: s
     return out.select("name", F.coalesce("d", F.lit(domain)).alias("domain"), F.coalesce("v", F.lit(variates)).alias("num_variates"))
 
 
-def boards(spark: SparkSession, root: str) -> DataFrame:
+def write_board(rows: DataFrame, path: str) -> None:
+    """The scores of one model (a row for each cell, so one task writes them) as one CSV file with a header."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    rows.coalesce(1).write.csv(beside, header=True)
+    jvm = rows.sparkSession._jvm
+    folder, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    files.delete(target, False)
+    (part,) = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    if not files.rename(part, target):
+        raise OSError(f"{part} could not become {path}")
+    files.delete(folder, True)
+
+
+def boards(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
     """All results files (all_results.csv or all-results.csv) under root, a directory a model, with `model`."""
-    rows = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "all[_-]results.csv").option("recursiveFileLookup", True).csv(root)
+    reader = spark.read.option("inferSchema", True) if schema is None else spark.read.schema(schema)
+    rows = reader.option("header", True).option("pathGlobFilter", "all[_-]results.csv").option("recursiveFileLookup", True).csv(root)
     return rows.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
