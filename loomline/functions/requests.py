@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .calendars import calendar
+from .frequency import regime
 from .series import is_finite
 from .text import NUMBER
 
@@ -80,6 +82,31 @@ def forecast_fields(history: Column, past: Column, future: Column, context: Colu
     return {"mold": F.when(said != "", "context_aided_forecast").otherwise("non_context_forecast"), "evidence": evidence, "history_evidence": evidence, "prediction_points": F.array_join(future, "\n"), "context": F.when(said != "", said)}
 
 
+#: The start of a history that has none, and the term of a request that names none.
+START, TERM = "2000-01-03 00:00:00", "short"
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """Requests (history, horizon, freq, start, term, past, future, context, message) with what they leave out.
+
+    A missing start or term has its default; missing stamps follow from start and frequency (a number before it is the
+    step), missing ones of an unknown frequency stay null; a missing message is rendered from stamps and history, and
+    stays null, with a `problem`, where that cannot be.
+    """
+    c = F.col
+    rows = rows.withColumns({"start": F.coalesce("start", F.lit(START)), "term": F.coalesce("term", F.lit(TERM))})
+    number = F.regexp_extract("freq", r"^\s*([0-9]+)", 1)
+    step = F.when(number == "", 1).otherwise(number.try_cast("int"))
+    past, future = calendar(c("start").try_cast("timestamp_ntz"), regime(c("freq")), step, F.size("history"), c("horizon").cast("int"))
+    rest = [x for x in rows.columns if x not in ("past", "future")]
+    # the inline keeps the calendars from being computed again wherever their stamps are read
+    stamps = F.inline(F.array(F.struct(F.coalesce("past", past).alias("past"), F.coalesce("future", future).alias("future"))))
+    rows = rows.select(*rest, stamps).withColumn("__said", c("message"))
+    out = rendered(rows.drop("message").withColumns(forecast_fields(c("history"), c("past"), c("future"), c("context"))))
+    out = out.withColumn("problem", F.when(c("__said").isNull(), c("problem"))).withColumn("message", F.coalesce("__said", "message"))
+    return out.drop("__said", "mold", "evidence", "history_evidence", "prediction_points")
+
+
 def lettered(options: Column) -> Column:
     """A) first and so on, a line each."""
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char((i + 65).cast("long")), F.lit(") "), o)), "\n")

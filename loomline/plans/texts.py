@@ -55,10 +55,20 @@ def d7(spark, sf):
     return messages(spark, sf).select("window", F.char_length(prompt).cast("long").alias("chars"), rq.routing_view(prompt).alias("view"))
 
 
-@query("b23_normalised", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '2000-01-03 00:00:00' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS start, CASE WHEN o_orderkey % 2 = 0 THEN 'short' ELSE 'long' END AS term FROM orders")
+@query("b23_normalised", "WITH q AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '2000-01-03' ELSE o_orderdate END AS ts, CAST(o_orderkey % 5 AS INT) AS u FROM orders), s AS (SELECT k, n, CASE u WHEN 0 THEN date_trunc('hour', ts) + n * INTERVAL 1 hour WHEN 1 THEN date_trunc('day', ts) + n * INTERVAL 1 day WHEN 2 THEN date_trunc('week', ts) + 2 * n * INTERVAL 1 week WHEN 3 THEN date_trunc('month', ts) + n * INTERVAL 1 month END AS t FROM q CROSS JOIN range(5) r(n)), "
+    "x AS (SELECT k, string_agg(CASE WHEN strftime(t, '%H:%M:%S') = '00:00:00' THEN strftime(t, '%Y-%m-%d') ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END, ',' ORDER BY n) AS stamps FROM s GROUP BY 1) "
+    "SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN '2000-01-03 00:00:00' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start, CASE WHEN k % 2 = 0 THEN 'short' ELSE 'long' END AS term, CASE WHEN k % 7 = 0 THEN 'a,b,c,d,e' ELSE stamps END AS stamps, CASE WHEN k % 11 = 0 THEN 'given' WHEN k % 7 > 0 AND stamps IS NULL THEN NULL ELSE 'rendered' END AS message, k % 11 > 0 AND k % 7 > 0 AND stamps IS NULL AS rejected FROM q JOIN x USING (k)")
 def b23(spark, sf):
-    rows = fx.read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("start"), F.when(F.col("o_orderkey") % 2 != 0, "long").alias("term"))
-    return rows.select("o_orderkey", F.coalesce("start", F.lit("2000-01-03 00:00:00")).alias("start"), F.coalesce("term", F.lit("short")).alias("term"))
+    """Every third request lacks a start, every second a term; every seventh has stamps of its own, every eleventh a message; one frequency in five is unknown."""
+    k = F.col("o_orderkey")
+    given = lambda *t: F.when(k % 7 == 0, F.array(*map(F.lit, t)))
+    rows = fx.read(spark, sf, "orders").select(
+        "o_orderkey", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("history"), F.lit(2).alias("horizon"), F.get(F.array(F.lit("h"), F.lit("D"), F.lit("2W"), F.lit("ME"), F.lit("??")), (k % 5).cast("int")).alias("freq"),
+        F.when(k % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("start"), F.when(k % 2 != 0, "long").alias("term"), given("a", "b", "c").alias("past"), given("d", "e").alias("future"), F.lit(None).cast("string").alias("context"), F.when(k % 11 == 0, "given").alias("message"),
+    )
+    out = rq.normalised(rows)
+    said = F.when(F.col("message") == "given", "given").when(F.col("message").contains("Future timestamps"), "rendered")
+    return out.select("o_orderkey", "start", "term", F.array_join(F.concat("past", "future"), ",").alias("stamps"), said.alias("message"), F.col("problem").isNotNull().alias("rejected"))
 
 
 @query("d23_exam", "WITH n AS (SELECT n_nationkey, n_regionkey, n_name FROM nation) SELECT n_nationkey AS id, n_name AS question, string_agg(r_name || ': region ' || r_regionkey || '.', chr(10) ORDER BY i) AS concept_definitions FROM n CROSS JOIN range(3) t(i) JOIN region ON r_regionkey = (n_regionkey + i) % 5 GROUP BY 1, 2")

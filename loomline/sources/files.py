@@ -96,6 +96,14 @@ def stored_block(spark: SparkSession, root: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path).withColumn("block", F.lit(name))
 
 
+def stored_blocks(spark: SparkSession, root: str, build, by: str) -> DataFrame:
+    """All blocks under root: read where they have been written, else built and written in one pass, a directory for each value of `by` (null too)."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").partitionBy(by).parquet(root)
+    return spark.read.parquet(root).withColumn(by, F.col(by).cast("string"))
+
+
 def manifest(blocks: DataFrame) -> DataFrame:
     """block, n."""
     return blocks.groupBy("block").agg(F.count("*").alias("n"))
@@ -167,7 +175,8 @@ def write_panel(windows: DataFrame, root: str, chosen: list[str], most: int = 81
     history = prepared(c("values"), most)
     freq = board_name(c("name"), c("freq"))
     moved = lambda n: F.coalesce(stamp(period(c("start").try_cast("timestamp_ntz"), c("unit"), n)), F.lit(""))
-    rows = windows.withColumns({"history": history})
+    # the inline keeps the history from being computed again wherever it is read
+    rows = windows.select("*", F.inline(F.array(F.struct(history.alias("history")))))
     skipped = F.greatest(F.size("values") - F.size("history"), F.lit(0))
     rows = rows.select(
         "window", "block", F.concat_ws("/", F.lower(F.substring_index("name", "/", 1)), freq, "term").alias("cell"), freq.alias("frequency"), "unit", "history", moved(skipped).alias("start"), "target",
