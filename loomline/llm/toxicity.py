@@ -491,16 +491,18 @@ def scored(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -
     """
     if name.lower() in (c.lower() for c in keep):
         raise ValueError(f"a column {name} is there already")
-    fields = docs.select(*named(docs, *keep)).schema.fields
-    schema = StructType([*fields, StructField(name, DoubleType())])
+    # numbers for names in between: mapInArrow looks columns up by name, and would stop at back quotes
+    kept = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(named(docs, *keep))], F.col("text").cast("string").alias("text"))
+    fields = kept.schema.fields[:-1]
+    schema = StructType([*fields, StructField("score", DoubleType())])
 
     def run(parts):
         for part in parts:
             texts = part.column(len(fields)).to_pylist()
             got = [score_texts(model, texts[i:j]) for i, j in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*[f.name for f in fields], name])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], schema.names)
 
-    return docs.select(*named(docs, *keep), F.col("text").cast("string").alias(unused(docs, "text"))).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
