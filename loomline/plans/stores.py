@@ -135,12 +135,12 @@ def c13(spark, sf):
     return cells.family_capped(fx.read(spark, sf, "orders"), "o_orderstatus", 30, 4, "o_orderkey").select("o_orderkey")
 
 
-@query("c15_disjoint_starts", """WITH s AS (SELECT o_orderpriority AS series_id, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT series_id, n, i * (n - 20) // 19 AS start FROM s CROSS JOIN range(20) t(i)),
-z AS (SELECT * FROM e UNION ALL SELECT series_id, n, n FROM s), r AS (SELECT series_id, n, coalesce(lag(start) OVER w + 20, 0) AS low, start - 20 AS high FROM z WINDOW w AS (PARTITION BY series_id ORDER BY start)),
-f AS (SELECT series_id, unnest(range(low, high + 1, 20)) AS start FROM r WHERE high >= low), p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start) - 1 AS place, count(*) OVER (PARTITION BY series_id) AS many FROM f)
+@query("c15_disjoint_starts", """WITH s AS (SELECT o_orderpriority AS series_id, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT series_id, n, i * (n - 10) // 19 AS start FROM s CROSS JOIN range(20) t(i)),
+z AS (SELECT * FROM e UNION ALL SELECT series_id, n, n FROM s), r AS (SELECT series_id, n, coalesce(lag(start) OVER w + 10, 0) AS low, start - 10 AS high FROM z WINDOW w AS (PARTITION BY series_id ORDER BY start)),
+f AS (SELECT series_id, unnest(range(low, high + 1, 10)) AS start FROM r WHERE high >= low), p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start) - 1 AS place, count(*) OVER (PARTITION BY series_id) AS many FROM f)
 SELECT series_id, start FROM e UNION ALL SELECT p.series_id, p.start FROM p JOIN (SELECT DISTINCT series_id, i * (many - 1) // 35 AS place FROM p CROSS JOIN range(36) t(i)) k ON k.series_id = p.series_id AND k.place = p.place""")
 def c15(spark, sf):
-    return cells.disjoint_starts(fx.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id")).agg(F.count("*").alias("n")), 20)
+    return cells.disjoint_starts(fx.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id")).agg(F.count("*").alias("n")), 10)
 
 
 @query("c4_rolling_cells", """WITH s AS (SELECT o_orderstatus AS cell, CAST(o_custkey AS VARCHAR) AS series_id, CASE WHEN o_orderstatus = 'P' THEN 7 + count(*) ELSE 10 * count(*) END AS n FROM orders GROUP BY 1, o_custkey),
