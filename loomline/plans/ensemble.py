@@ -138,7 +138,7 @@ ga AS (SELECT h.win, h.step, h.k, sum(g.e * h.q) / sum(g.e) AS q FROM held h JOI
 gr AS (SELECT win, step, k, max(q) OVER (PARTITION BY win, step ORDER BY k) AS q FROM ga UNION ALL SELECT win, step, k, max(CASE WHEN k % 4 = 0 THEN q - 3 ELSE q + 1 END) OVER (PARTITION BY win, step ORDER BY k) FROM held WHERE model = 'recent' AND cutoff % 48 = 0)"""
 
 
-@query("g28_components", f"""WITH {CHAIN} SELECT p.win AS "window", p.step, p.k AS level, round(p.q, 8) AS pool, round(g.q, 8) AS gated, round(coalesce(0.63 * p.q + 0.37 * g.q, p.q), 8) AS reference, round(m.q, 8) AS mean, round(coalesce(t.q, p.q), 8) AS trend
+@query("g28_components", f"""WITH {CHAIN} SELECT p.win AS "window", p.step, p.k AS level, round(p.q, 8) AS pool, round(g.q, 8) AS gated, round(coalesce((2 * p.q + g.q) / 3.0, p.q), 8) AS reference, round(m.q, 8) AS mean, round(coalesce(t.q, p.q), 8) AS trend
 FROM pool p LEFT JOIN gr g ON g.win = p.win AND g.step = p.step AND g.k = p.k JOIN core m ON m.win = p.win AND m.step = p.step AND m.k = p.k AND m.model = 'mean' LEFT JOIN held t ON t.win = p.win AND t.step = p.step AND t.k = p.k AND t.model = 'trend'""")
 def g28(spark, sf):
     """Scores are the mid-ranks of the medians' means, which are among the router's features; long terms bring a forecast of their own, whose deciles fall at every fourth level."""
@@ -148,7 +148,7 @@ def g28(spark, sf):
     ready = F.transform("s", lambda x: F.transform(x["q"], lambda v, i: F.when((i + 1) % 4 == 0, v - 3).otherwise(v + 1)))
     place = F.array(*[F.col("features")[ft.GLOBAL + ft.LOCAL * m + 18] for m in range(len(CORE))])
     score = lambda r: r.select("window", place.alias("scores"))
-    out = en.components(rows.join(own.select("window", ready.alias("ready")), "window", "left"), forecasts(spark, sf), CORE, EXTRAS, MEMBERS, score, gates(spark, sf), KNOWN, 0.37)
+    out = en.components(rows.join(own.select("window", ready.alias("ready")), "window", "left"), forecasts(spark, sf), CORE, EXTRAS, MEMBERS, score, gates(spark, sf), KNOWN, 1 / 3)
     each = out.select("*", F.posexplode("pool").alias("t", "s")).select("*", F.posexplode("s").alias("at", "value"))
     of = lambda c: F.get(F.get(c, F.col("t")), F.col("at"))
     candidate = lambda k: of(F.get("candidates", F.lit(k)))
