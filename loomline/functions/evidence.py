@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..sources.stage import staged
+from . import measures as ms
 from . import series as sr
+from .arrow import arrays
 from .questions import sensor_table
-from .text import formatted, formatted_all, measure
+from .text import formatted, formatted_all, measure, measured
 
 #: Titles and conventions of measurements.
 VALUES, MEASUREMENTS = "values (successive observations separated by spaces):\n", "Computed measurements:\n"
@@ -65,52 +70,60 @@ def pair_summary(a: DataFrame, b: DataFrame) -> DataFrame:
     return out
 
 
-def _pairs_of(names: dict[str, Column]) -> Column:
-    return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), v) for k, v in names.items()])
-
-
-def single_text(s: DataFrame, name: str = "S1") -> DataFrame:
-    """series_id, text: all measurements of a series in two lines."""
-    lags = sr.autocorrelation(s, LAGS)
-    rows = sr.summary(s)
-    for t in (sr.slope(s), lags, sr.dominant_period(s), sr.outlier(s)):
-        rows = rows.join(t, "series_id")
-    parts = sr.segments(s).select("series_id", "segment", F.concat(F.lit("w"), "segment", F.lit("(mean="), measure(F.col("mean")), F.lit(",sd="), measure(F.col("sd")), F.lit(",slope="), measure(F.col("slope")), F.lit(")")).alias("t"))
-    parts = parts.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("segment", "t"))).alias("w")).select("series_id", F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("w"))
-    m = lambda c: measure(F.coalesce(F.col(c), F.lit(0.0)))
-    acf = F.concat_ws(",", *[F.when(F.col("n") > k, F.concat(F.lit(f"{k}:"), m(f"acf{k}"))) for k in LAGS])
-    first = {"mean": m("mean"), "sd": m("sd"), "min": m("least"), "q10": m("q10"), "median": m("median"), "q90": m("q90"), "max": m("most"), "slope": m("slope"), "diff_sd": m("diff_sd"), "diff_acf1": m("diff_acf1")}
-    last = {"fft_period": m("period"), "fft_power_fraction": m("share"), "largest_robust_z": m("score"), "at_fraction": m("place")}
-    text = F.concat(F.lit(f"{name}: n="), F.col("n"), F.lit(" "), _pairs_of(first), F.lit(" raw_acf["), acf, F.lit("] "), _pairs_of(last), F.lit(f"\n{name}_eight_windows: "), F.col("w"))
-    return rows.join(parts, "series_id").select("series_id", text.alias("text"))
-
-
-def trend_text(s: DataFrame, name: str = "S1") -> DataFrame:
-    """series_id, text: the trend fits of a series, with their title."""
-    fit = sr.polynomial(s)
-    g = lambda c: formatted(F.col(c), ".5g", float("inf"))
-    said = F.when(F.col("linear_r2").isNull(), "unavailable (constant series)").otherwise(_pairs_of({"linear_R2": g("linear_r2"), "quadratic_R2": g("quadratic_r2"), "quadratic_t2": g("curve")}))
-    return fit.select("series_id", F.concat(F.lit(f"{TREND_TITLE}\n{name}_trend_fits: "), said).alias("text"))
-
-
-def spectrum_text(s: DataFrame, name: str = "S1") -> DataFrame:
-    """series_id, text: the spectra of a series' halves, with their title."""
-    half = half_spectrum(s)
-    g = lambda c: formatted(F.col(c), ".5g", float("inf"))
-    said = F.when(F.col("share") == 0, "unavailable (constant or insufficient signal)").otherwise(_pairs_of({"fft_period": g("period"), "power_fraction": g("share")}))
-    line = half.select("series_id", "half", F.concat(F.lit(f"{name}_"), F.when(F.col("half") == 1, "first").otherwise("second"), F.lit("_half: n="), "n", F.lit(" "), said).alias("t"))
-    lines = line.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("half", "t"))).alias("l"))
-    return lines.select("series_id", F.concat(F.lit(SPECTRUM_TITLE + "\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("text"))
+def _said(v: np.ndarray) -> list[tuple[str, str, str]]:
+    """For series of one length (rows of v, 8 values at least) the texts single, trend and halves, under the name S1."""
+    n = v.shape[1]
+    d = np.diff(v)
+    q = np.quantile(v, (0.1, 0.5, 0.9), axis=1)
+    first = {"mean": v.mean(axis=1), "sd": v.std(axis=1), "min": v.min(axis=1), "q10": q[0], "median": q[1], "q90": q[2], "max": v.max(axis=1), "slope": ms.slope(v), "diff_sd": d.std(axis=1), "diff_acf1": ms.correlation(d[:, :-1], d[:, 1:])}
+    acf = {k: ms.correlation(v[:, :-k], v[:, k:]) for k in LAGS if n > k}
+    last = dict(zip(("fft_period", "fft_power_fraction", "largest_robust_z", "at_fraction"), (*ms.spectrum(v), *ms.outlier(v)), strict=True))
+    texts = lambda x: [measured(y) for y in x.tolist()]
+    named = lambda m: [" ".join(p) for p in zip(*([f"{k}={y}" for y in texts(x)] for k, x in m.items()), strict=True)]
+    lags = [",".join(p) for p in zip(*([f"{k}:{y}" for y in texts(x)] for k, x in acf.items()), strict=True)]
+    parts = [[f"w{i}(mean={a},sd={b},slope={c})" for a, b, c in zip(*map(texts, p), strict=True)] for i, p in enumerate(ms.segments(v), 1)]
+    single = [f"S1: n={n} {a} raw_acf[{b}] {c}\nS1_eight_windows: {' '.join(p)}" for a, b, c, *p in zip(named(first), lags, named(last), *parts, strict=True)]
+    fits = [f"linear_R2={a:.5g} quadratic_R2={b:.5g} quadratic_t2={c:.5g}" if a == a else "unavailable (constant series)" for a, b, c in zip(*(x.tolist() for x in ms.polynomial(v)), strict=True)]
+    half = []
+    for name, h in zip(("first", "second"), np.array_split(v, 2, axis=1), strict=True):
+        found = zip(*(x.tolist() for x in ms.spectrum(h)), strict=True)
+        half.append([f"S1_{name}_half: n={h.shape[1]} " + (f"fft_period={p:.5g} power_fraction={s:.5g}" if s else "unavailable (constant or insufficient signal)") for p, s in found])
+    return [(s, f"S1_trend_fits: {t}", f"{a}\n{b}") for s, t, a, b in zip(single, fits, *half, strict=True)]
+
+
+def with_lines(rows: DataFrame, channels: str) -> DataFrame:
+    """rows with single, trend, halves: for each channel of the column `channels` (an array of arrays) its measurement texts under the name S1.
+
+    All three are null where a channel has fewer than 8 values, or one that is missing or not finite. Rows are measured
+    where they are, those of one length at once; nothing is shuffled.
+    """
+    names = ("single", "trend", "halves")
+    schema = StructType([*rows.schema.fields, *(StructField(k, ArrayType(StringType())) for k in names)])
+    place = rows.columns.index(channels)
+
+    def run(parts):
+        for part in parts:
+            column = part.column(place)
+            ends, inner = column.offsets.to_numpy(), column.values
+            told = [None] * len(inner)
+            values = arrays(inner, 1)
+            fine = [i for i, v in enumerate(values) if v is not None and len(v) >= 8 and np.isfinite(v).all()]
+            for at, v in ms.by_length([values[i] for i in fine]):
+                for i, x in zip(at.tolist(), _said(v), strict=True):
+                    told[fine[i]] = x
+            of = [None if null else told[a:b] for null, a, b in zip(column.is_null().to_pylist(), ends[:-1], ends[1:], strict=True)]
+            whole = [x if x and None not in x else None for x in of]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x and [y[k] for y in x] for x in whole], pa.list_(pa.string())) for k in range(3))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def analysis_evidence(s: DataFrame) -> DataFrame:
     """series_id, evidence: values, measurements, trend fits and half spectra of each valid series."""
-    s = s.join(validated(s).where("problem is null").select("series_id"), "series_id", "left_semi")
-    values = s.select("series_id", "pos", formatted(F.col("value"), ".4g", float("inf")).alias("t")).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("v"))
-    out = values.select("series_id", F.concat(F.lit("Time series values (successive observations separated by spaces):\n"), F.array_join(F.transform("v", lambda x: x["t"]), " ")).alias("values"))
-    for k, t in (("single", single_text(s)), ("trend", trend_text(s)), ("halves", spectrum_text(s))):
-        out = out.join(t.withColumnRenamed("text", k), "series_id")
-    return out.select("series_id", F.concat_ws("\n", "values", F.concat(F.lit("Computed measurements:\n"), "single"), "trend", "halves").alias("evidence"))
+    g = sr.gathered(s)
+    rows = with_lines(g.withColumn("c", F.array("v")), "c").where("single is not null").withColumn("t", formatted_all(F.col("v")))
+    text = F.concat_ws("\n", F.concat(F.lit("Time series " + VALUES), F.array_join("t", " ")), F.concat(F.lit(MEASUREMENTS), F.col("single")[0]), F.lit(TREND_TITLE), F.col("trend")[0], F.lit(SPECTRUM_TITLE), F.col("halves")[0])
+    return rows.select("series_id", text.alias("evidence"))
 
 
 def channels(rows: DataFrame, key: str, values: str, stride: Column, names: str = "XYZ") -> DataFrame:
@@ -121,16 +134,9 @@ def channels(rows: DataFrame, key: str, values: str, stride: Column, names: str
 
 
 def lines(s: DataFrame) -> DataFrame:
-    """series_id, single, trend, halves: the measurement texts of series under the name S1, without titles; valid series only.
-
-    The series are staged, since some ten measurements read them.
-    """
-    s = s.select("series_id", "pos", "value")
-    s = staged(s.join(validated(s).where("problem is null").select("series_id"), "series_id", "left_semi"))
-    out = single_text(s).withColumnRenamed("text", "single")
-    for name, title, text in (("trend", TREND_TITLE, trend_text(s)), ("halves", SPECTRUM_TITLE, spectrum_text(s))):
-        out = out.join(text.select("series_id", F.substr("text", F.lit(len(title) + 2)).alias(name)), "series_id")
-    return out
+    """series_id, single, trend, halves: the measurement texts of series under the name S1, without titles; valid series only."""
+    rows = with_lines(sr.gathered(s).select("series_id", F.array("v").alias("c")), "c").where("single is not null")
+    return rows.select("series_id", *[F.col(k)[0].alias(k) for k in ("single", "trend", "halves")])
 
 
 def _renamed(text: Column, name: Column) -> Column:
@@ -143,27 +149,23 @@ def _joined(column: str, sep: str = "\n") -> Column:
 
 
 def source_evidence(rows: DataFrame) -> DataFrame:
-    """key, evidence from (key, values, question, shape): what a source declares, and the measurements of each of its channels.
+    """rows (values, question, shape, ...) with `evidence`: what a source declares, and the measurements of each of its channels.
 
     shape series: the values and their measurements; axes: readings of X, Y and Z in turn as a table, each axis measured
     as a channel of its own, trend fits and spectra under the axes' names; places: the table alone. Rows of another shape,
-    and those with a channel of fewer than 8 values, are missing.
+    and those with a channel of fewer than 8 values or one that is not finite, have none. No row leaves its task.
     """
-    told = staged(rows.select("key", "question", "shape", "values", formatted_all(F.col("values")).alias("t")))
-    measured = told.where("shape in ('series', 'axes')")
-    stride = F.when(F.col("shape") == "axes", 3).otherwise(1)
-    known = lines(channels(measured, "key", "values", stride))
-    at = F.regexp_extract("series_id", "^(.*)/[^/]*$", 1), F.substring_index("series_id", "/", -1)
-    known = known.select(at[0].alias("k"), at[1].alias("name"), "single", _renamed(F.col("trend"), at[1]).alias("trend"), _renamed(F.col("halves"), at[1]).alias("halves"))
-    known = known.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("name", "single", "trend", "halves"))).alias("c"))
-    rest = F.concat(F.lit("\n" + TREND_TITLE + "\n"), _joined("trend"), F.lit("\n" + SPECTRUM_TITLE + "\n"), _joined("halves"))
-    each = F.array_join(F.transform("c", lambda x: F.concat(x["name"], F.lit(" channel:\n"), x["single"])), "\n")
-    table = sensor_table(F.col("values"), F.col("question"), F.col("t"))
-    plain = F.concat(F.lit("Time series " + VALUES), F.array_join("t", " "), F.lit("\n" + MEASUREMENTS), _joined("single"), rest)
-    text = F.when(F.col("shape") == "series", plain).when(F.col("shape") == "axes", F.concat(table, F.lit(BY_CHANNEL), each, rest)).otherwise(table)
-    out = told.join(known, F.col("key").cast("string") == F.col("k"), "left")
-    complete = F.when(F.col("shape") == "places", True).otherwise(F.coalesce(F.size("c") == stride, F.lit(False)))
-    return out.where(complete).select("key", text.alias("evidence")).where("evidence is not null")
+    axis = lambda j: F.filter("values", lambda x, i: i % 3 == j)
+    dealt = F.when(F.col("shape") == "series", F.array("values")).when(F.col("shape") == "axes", F.array(*map(axis, range(3))))
+    told = with_lines(rows.withColumn("__c", F.transform(dealt, lambda c: c.cast("array<double>"))), "__c").withColumn("__t", formatted_all(F.when(F.col("shape").isin("series", "axes", "places"), F.col("values"))))
+    names = F.array(*map(F.lit, "XYZ"))
+    own = lambda c: F.array_join(F.zip_with(c, names, lambda x, name: _renamed(x, name)), "\n")
+    rest = lambda trend, halves: F.concat(F.lit("\n" + TREND_TITLE + "\n"), trend, F.lit("\n" + SPECTRUM_TITLE + "\n"), halves)
+    each = F.array_join(F.zip_with("single", names, lambda x, name: F.concat(name, F.lit(" channel:\n"), x)), "\n")
+    table = sensor_table(F.col("values"), F.col("question"), F.col("__t"))
+    plain = F.concat(F.lit("Time series " + VALUES), F.array_join("__t", " "), F.lit("\n" + MEASUREMENTS), F.col("single")[0], rest(F.col("trend")[0], F.col("halves")[0]))
+    text = F.when(F.col("shape") == "series", plain).when(F.col("shape") == "axes", F.concat(table, F.lit(BY_CHANNEL), each, rest(own("trend"), own("halves")))).when(F.col("shape") == "places", table)
+    return told.withColumn("evidence", text).drop("__c", "__t", "single", "trend", "halves")
 
 
 def pair_text(a: DataFrame, b: DataFrame) -> DataFrame:

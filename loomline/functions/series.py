@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrow import arrays
+from .measures import by_length, spectrum
+
 
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -188,24 +193,23 @@ def affine_fit(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("pair", (r * r).alias("r2"))
 
 
+def gathered(s: DataFrame) -> DataFrame:
+    """series_id, v: the values of each series as an array, in order of pos."""
+    out = s.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    return out.select("series_id", F.transform("v", lambda x: x["value"].cast("double")).alias("v"))
+
+
 def dominant_period(s: DataFrame) -> DataFrame:
-    """Period and share of the strongest frequency after removing a line; 0 for fewer than eight values (Arrow groups)."""
-    import numpy as np
-    import pandas as pd
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values("pos").value.to_numpy(float)
-        period = share = 0.0
-        if len(v) >= 8:
-            t = np.arange(len(v))
-            power = np.abs(np.fft.rfft(v - np.polyval(np.polyfit(t, v, 1), t))) ** 2
-            power[0] = 0
-            if power.sum() > 1e-12:
-                k = int(power.argmax())
-                period, share = len(v) / k, power[k] / power.sum()
-        return pd.DataFrame({"series_id": [g.series_id.iloc[0]], "period": [period], "share": [share]})
-
-    return s.select("series_id", "pos", "value").groupBy("series_id").applyInPandas(one, "series_id string, period double, share double")
+    """Period and share of the strongest frequency after removing a line; 0 for fewer than eight values (arrays of equal length at once)."""
+
+    def run(parts):
+        for part in parts:
+            period, share = np.zeros(len(part)), np.zeros(len(part))
+            for at, v in by_length(arrays(part.column(1), 1)):
+                period[at], share[at] = spectrum(v)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(period), pa.array(share)], ["series_id", "period", "share"])
+
+    return gathered(s).mapInArrow(run, "series_id string, period double, share double")
 
 
 def predictive_gain(source: DataFrame, target: DataFrame) -> DataFrame:

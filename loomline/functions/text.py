@@ -41,12 +41,19 @@ def number(x: Column) -> Column:
     return formatted(x)
 
 
-def measure(x: Column) -> Column:
+def measured(v: float) -> str:
     """Five decimals without trailing zeros; four significant digits for large and tiny numbers; 0 for what is not finite."""
+    if abs(v) >= 1e4 or 0 < abs(v) < 1e-4:
+        return f"{v:.4g}" if abs(v) < float("inf") else "0"
+    return f"{v:.5f}".rstrip("0").rstrip(".") if v == v else "0"
+
+
+def measure(x: Column) -> Column:
+    """measured() of a column; 0 for null, too."""
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: f"{v:.4g}" if abs(v) >= 1e4 or 0 < abs(v) < 1e-4 else f"{v:.5f}".rstrip("0").rstrip("."), na_action="ignore").astype(object)
+        return x.map(measured, na_action="ignore").astype(object)
 
     return F.coalesce(run(F.when(is_finite(x), x.cast("double"))), F.lit("0"))
 

@@ -85,9 +85,8 @@ def presented(rows: DataFrame) -> DataFrame:
     """
     table = qs.sensor_table(F.col("values"), F.col("question"), F.transform("values", lambda x: x.cast("string")))
     kind = F.when(~F.coalesce("layout", F.lit(False)), "series").when(table.isNull(), "unknown").when(F.size("values") == 30, "axes").otherwise("places")
-    rows = rows.withColumn("shape", kind)
-    known = rows.where("problem is null").select("key", "values", "question", "shape")
-    out = rows.join(ev.source_evidence(known), "key", "left")
+    rows = rows.withColumn("shape", F.when(F.col("problem").isNull(), kind))
+    out = ev.source_evidence(rows)
     why = F.when(F.col("shape") == "unknown", "unrecognized sensor layout").when(F.col("evidence").isNull(), "invalid series")
     return out.withColumn("problem", F.coalesce("problem", why)).drop("shape")
 

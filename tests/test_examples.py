@@ -153,3 +153,18 @@ def test_a_board_without_a_complete_model_is_an_error(spark):
     with pytest.raises(ValueError, match="every cell"):
         scoring.complete_peers(board)
     assert scoring.complete_peers(board.limit(0)).count() == 0
+
+
+def test_sources_are_measured_where_they_are(spark):
+    rng = np.random.default_rng(10)
+    v = [rng.normal(size=n).round(3).tolist() for n in (9, 30, 9, 7)] + [[2.0] * 8, [1.0] * 7 + [float("nan")], [1.0] * 7 + [None]]
+    rows = spark.createDataFrame([(i // 2, x, "q", "series") for i, x in enumerate(v)] + [(9, v[1], "q", None)], "key long, values array<double>, question string, shape string")
+    told = ev.source_evidence(rows)
+    plan = told._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "InPandas" not in plan
+    got = [r.evidence for r in told.collect()]
+    assert [x is None for x in got] == [False, False, False, True, False, True, True, True]
+    for x, e in zip(v[:3], got, strict=False):
+        assert line(np.array(x), "S1") in e.split("\n")
+    assert "S1_trend_fits: unavailable (constant series)" in got[4] and got[4].count("unavailable (constant or insufficient signal)") == 2
+    assert ev.sr.dominant_period(spark.createDataFrame([("a", 1, 1.0)], "series_id string, pos int, value double"))._jdf.queryExecution().toString().count("FlatMapGroupsInPandas") == 0
