@@ -480,6 +480,8 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8) -> dict:
     flat, each = (windows[c].chunk(0) for c in ("words", "sizes"))
     del windows
     p = _fitted(flat.flatten(), np.diff(each.offsets.to_numpy()), each.flatten().to_numpy(), y[~back], odds, epochs)
+    del flat, each
+    pa.default_memory_pool().release_unused()  # what follows runs beside this process, in a small driver
     top = _over(heard, lambda t, _: [pa.array(_tops(p, t))], "top double").toPandas().sort_values("doc_id").top
     return p | _calibrated(top.to_numpy(), y[back] if back.any() else y)
 
