@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm.common import cut, named, table
+from loomline.llm.common import cut, named, short_batches, table
 from loomline.llm.minhash import near_duplicates
 from loomline.llm.mixing import mixture
 from loomline.llm.packing import packed
@@ -14,6 +14,7 @@ from loomline.llm.toxicity import without_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go; null and empty texts are judged as texts without words, equal texts alike."""
+    short_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -22,6 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a doc_id all stay or go; rows without doc_id stay.
     """
+    short_batches(spark)
     gone = near_duplicates(docs, k=5).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*named(docs))
 
@@ -44,6 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     An empty table gives no rows in every stage; columns beside those of documents are kept, whatever their names, up to here.
     """
+    short_batches(spark)
     return packed(docs)
 
 

@@ -40,6 +40,7 @@ def sketches(docs: DataFrame, k: int = 4, permutations: int = PERMUTATIONS, rows
     def run(parts):
         a, b = randoms(5, permutations) | np.uint64(1), randoms(6, permutations)
         for part in parts:
+            pa.default_memory_pool().release_unused()  # what earlier batches and stages of this worker held
             ids, texts = part.column(0), part.column(1).to_pylist()
             n, keys, bands = [], [], []
             for i, j in batches(texts):

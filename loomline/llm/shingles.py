@@ -60,7 +60,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def batches(texts: list[str | None], most: int = 1 << 20):
+def batches(texts: list[str | None], most: int = 1 << 18):
     """Index ranges of texts that hold about `most` characters (one text at least)."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import cut, mix, named, randoms, shuffle_partitions, table, unused
 from .shingles import batches, shingle_sets
+from .tokens import slices
 
 #: Bounds of the training sample: labelled rows of each kind.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
@@ -500,9 +501,12 @@ def scored(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -
 
     def run(parts):
         for part in parts:
-            texts = part.column(len(fields)).to_pylist()
-            got = [score_texts(model, texts[i:j]) for i, j in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(np.concatenate(got) if got else np.zeros(0))], schema.names)
+            pa.default_memory_pool().release_unused()  # what earlier batches and stages of this worker held
+            for a, b in slices(part.column(len(fields))):
+                some = part.slice(a, b - a)
+                texts = some.column(len(fields)).to_pylist()
+                got = [score_texts(model, texts[i:j]) for i, j in batches(texts)]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(fields)], pa.array(np.concatenate(got))], schema.names)
 
     return kept.mapInArrow(run, schema).toDF(*keep, name)
 
