@@ -113,3 +113,16 @@ def test_what_no_rule_touches_is_not_labelled():
     findings = [t[a:b] for t, a, b, y in got if y]
     assert "".join(findings) == "token=" + "q" * 150 and len(findings) == 3
     assert [t[a:b] for t, a, b, y in got if not y] == ["ordinary"]
+
+
+def test_every_labelled_snippet_of_every_text_trains(spark):
+    """No bound on documents or snippets: copies of a text add nothing, each other text adds its own."""
+    texts = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}words and password={i:08d}xyz" for i in range(7000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:50], None, ""])], "doc_id long, text string")
+    got = secrets.examples(docs).toPandas()
+    assert set(got.snippet[got.label == 1]) == {t.split(" and ")[1] for t in texts}
+    assert set(got.snippet[got.label == 0]) == {t.split()[0] for t in texts} and (got.label == 0).sum() == 7000
+    p = secrets.fit(docs)
+    assert len(p["held"][0]) > 14_000 / secrets.KEPT_BACK and p["recall"] >= secrets.RECALL
+    again = secrets.fit(docs.repartition(5))
+    assert all(np.array_equal(p[k], again[k]) for k in ("embed", "conv", "out", "threshold"))
