@@ -16,11 +16,12 @@ from .components import HUB_LEAST, HUB_SHARE, SALTS, components
 #: Bytes of a shard's 32-bit components (its graph and doubles take four times that in a task), vectors at least, shards at least.
 SHARD_BYTES, SHARD_LEAST, FEWEST = 1 << 26, 4096, 4
 #: Links of a node on the ground layer and above, beam while building, first beam of queries, nodes expanded at once.
-GROUND, UPPER, BUILD_BEAM, BEAM, AT_ONCE = 32, 16, 48, 16, 4
+GROUND, UPPER, BUILD_BEAM, BEAM, AT_ONCE = 32, 16, 32, 16, 4
 #: Recall that audits ask for, and their probes and queries in each task.
 RECALL, PROBES = 0.995, 512
-#: Vectors added, and queries flooded, together; places of the table of visited nodes; bytes of a part of a stored graph.
-BLOCK, VISITED, PART = 256, 1 << 22, 1 << 20
+#: Vectors added, and queries walked or flooded, together; places of the tables of visited nodes; bytes of a part of a
+#: stored graph; products computed in the same memory.
+BLOCK, VISITED, PART, PIECE = 256, 1 << 22, 1 << 20, 1024
 #: Cosines this near the threshold in 32 bits are computed again in doubles.
 DOUBT = np.float32(1e-4)
 
@@ -30,7 +31,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray], first: int):
         self.x, self.layers, self.first = x, layers, first
-        self.stamp, self.clock = np.zeros(0, np.int32), 1
+        self.rows = np.empty((2, PIECE, x.shape[1]), np.float32)
 
     @classmethod
     def build(cls, x: np.ndarray, seed: int = 1) -> Graph:
@@ -42,19 +43,31 @@ class Graph:
             g._add(order[: int((top >= level).sum())], GROUND if level == 0 else UPPER)
         return g
 
+    def dots(self, q: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Products of rows of q with nodes (those under 0 count as 0), piece by piece in the same memory: fresh arrays cost more than the products."""
+        out = np.empty(len(node), np.float32)
+        for i in range(0, len(node), PIECE):
+            a, b = self.rows[:, : len(node) - i]
+            q.take(row[i : i + PIECE], axis=0, out=a, mode="clip")
+            self.x.take(node[i : i + PIECE], axis=0, out=b, mode="clip")
+            np.einsum("nd,nd->n", a, b, out=out[i : i + PIECE])
+        return out
+
     def _add(self, nodes: np.ndarray, degree: int) -> None:
-        links = np.full((len(self.x), degree), -1, np.int32)
+        # links back fill half as many places more before a node chooses `degree` anew, so that it seldom does
+        links = np.full((len(self.x), degree + degree // 2), -1, np.int32)
         done = 0
         while done < len(nodes):
             new = nodes[done : done + min(BLOCK, max(64, done))]
             sims = self.x[new] @ self.x[new].T
             np.fill_diagonal(sims, -2)
-            near = np.argsort(-sims, axis=1)[:, : min(degree, len(new) - 1)]
+            width = min(degree, len(new) - 1)
+            near = np.argpartition(-sims, width, axis=1)[:, :width]
             cand, sim = new[near], np.take_along_axis(sims, near, axis=1)
             if done:
                 found, s = self.walk(self.x[new], self.entry(self.x[new], self.layers), links, BUILD_BEAM)
                 cand, sim = np.concatenate([cand, found], axis=1), np.concatenate([sim, s], axis=1)
-            links[new] = self._spread(cand, sim, degree)
+            links[new, :degree] = self._spread(cand, sim, degree)
             self._back(links, new, degree)
             done += len(new)
         self.layers.append(self._mended(links, nodes))
@@ -101,7 +114,7 @@ class Graph:
 
     def _back(self, links: np.ndarray, new: np.ndarray, degree: int) -> None:
         """Links back from the neighbours of new nodes, chosen anew where there are too many."""
-        to, back = links[new].ravel(), np.repeat(new, degree)
+        to, back = links[new, :degree].ravel(), np.repeat(new, degree)
         to, back = to[to >= 0], back[to >= 0]
         order = np.argsort(to, kind="stable")
         to, back = to[order], back[order]
@@ -110,21 +123,23 @@ class Graph:
         room = many <= free
         # room left: append
         u, m, f = uniq[room], many[room], first[room]
-        at = np.repeat(degree - free[room], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        links[np.repeat(u, m), at] = back[np.repeat(f - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        links[np.repeat(u, m), np.repeat(links.shape[1] - free[room], m) + nth] = back[np.repeat(f, m) + nth]
         uniq, first, many = uniq[~room], first[~room], many[~room]
         for i in range(0, len(uniq), BLOCK):
-            u, m = uniq[i : i + BLOCK], many[i : i + BLOCK]
+            u, m, f = uniq[i : i + BLOCK], many[i : i + BLOCK], first[i : i + BLOCK]
             extra = np.full((len(u), m.max()), -1, np.int32)
-            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            extra[np.repeat(np.arange(len(u)), m), place] = back[first[i] + np.concatenate([np.arange(a, a + k) for a, k in zip(first[i : i + BLOCK] - first[i], m, strict=True)])]
+            nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            extra[np.repeat(np.arange(len(u)), m), nth] = back[np.repeat(f, m) + nth]
             cand = np.concatenate([links[u], extra], axis=1)
             cand.sort(axis=1)
             cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-            step = max(1, 4_000_000 // cand.shape[1] ** 2)
+            width = cand.shape[1]
+            step = max(1, 4_000_000 // width**2)
             for j in range(0, len(u), step):
-                k = slice(j, j + step)
-                links[u[k]] = self._spread(cand[k], np.einsum("nd,nkd->nk", self.x[u[k]], self.x[cand[k]]), degree)
+                some, c = u[j : j + step], cand[j : j + step]
+                links[some, degree:] = -1
+                links[some, :degree] = self._spread(c, self.dots(self.x, np.repeat(some, width), c.ravel()).reshape(-1, width), degree)
 
     def entry(self, q: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
         """Walk down the layers above the one that is searched, to the nearest node that greedy steps reach."""
@@ -134,7 +149,7 @@ class Graph:
             moving = np.arange(len(q))
             while len(moving):
                 near = links[at[moving]]
-                s = np.where(near < 0, -2, np.einsum("nd,nkd->nk", q[moving], self.x[near]))
+                s = np.where(near < 0, -2, self.dots(q, np.repeat(moving, near.shape[1]), near.ravel()).reshape(near.shape))
                 j = s.argmax(axis=1)
                 some = np.arange(len(moving))
                 better = s[some, j] > best[moving]
@@ -145,54 +160,61 @@ class Graph:
     def walk(self, q: np.ndarray, entry: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the nearest `beam` nodes that expanding the best ones meets; -1 and -3 where there are fewer.
 
-        Queries go in blocks such that the table of visited nodes has about VISITED places.
+        Queries go in blocks whose tables of visited nodes depend on the beam, not on the shard, so that a walk costs as
+        much in a large shard as its steps do.
         """
-        step = max(16, VISITED // len(self.x))
-        parts = [self._walk(q[i : i + step], entry[i : i + step], links, beam) for i in range(0, len(q), step)]
+        places = min(1 << (128 * beam - 1).bit_length(), 1 << (len(self.x) - 1).bit_length(), VISITED // 16)
+        step = min(BLOCK, VISITED // places)
+        parts = [self._walk(q[i : i + step], entry[i : i + step], links, beam, places) for i in range(0, len(q), step)]
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-    def _walk(self, q, entry, links, beam):
+    def _walk(self, q, entry, links, beam, places):
+        """A place of a query's table holds the last node that fell on it: a node pushed out is measured again, never taken twice."""
         n, size = len(q), len(self.x)
-        if len(self.stamp) < n * size or self.clock > 2**31 - 2 * n * size - 2:
-            self.stamp, self.clock = np.zeros(n * size, np.int32), 1
-        stamp, began = self.stamp, self.clock
+        seen, every = np.full(n * places, -1, np.int32), np.arange(n)
         ids, sims, todo = np.full((n, beam), -1, np.int32), np.full((n, beam), -3, np.float32), np.zeros((n, beam), bool)
         ids[:, 0], sims[:, 0], todo[:, 0] = entry, np.einsum("nd,nd->n", q, self.x[entry]), True
-        stamp[np.arange(n) * size + entry] = began
-        self.clock += 1
-        alive, width = np.arange(n), min(AT_ONCE, beam)
-        while len(alive):
+        seen[every * places + (entry & (places - 1))] = entry
+        floor = sims.min(axis=1)
+        alive, width = every, min(max(AT_ONCE, beam // 4), beam)
+        while True:
+            alive = alive[todo[alive].any(axis=1)]
+            if not len(alive):
+                return ids, sims
             value = np.where(todo[alive], sims[alive], -9)
             pick = np.argpartition(-value, width - 1, axis=1)[:, :width] if width < beam else np.tile(np.arange(beam), (len(alive), 1))
-            go = np.take_along_axis(value, pick, axis=1) > -3
-            some = go.any(axis=1)
-            alive, pick, go = alive[some], pick[some], go[some]
-            if not len(alive):
-                break
+            near = links[ids[alive[:, None], pick]]
+            near[np.take_along_axis(value, pick, axis=1) <= -3] = -1
             todo[alive[:, None], pick] = False
-            nodes = ids[alive[:, None], pick]
-            near = np.where(go[:, :, None], links[nodes], -1).reshape(len(alive), -1)
-            at = np.flatnonzero(near.ravel() >= 0)
-            place = alive[at // near.shape[1]] * size + near.ravel()[at]
-            new = stamp[place] < began
-            at, place = at[new], place[new]
-            mark = np.arange(self.clock, self.clock + len(place), dtype=np.int32)
-            self.clock += len(place)
-            stamp[place] = mark
-            once = stamp[place] == mark  # of equal nodes the last
-            at, place = at[once], place[once]
-            rows, nodes = at // near.shape[1], place % size
-            s = np.full(near.shape, -3, np.float32)
-            s.ravel()[at] = np.einsum("nd,nd->n", q[alive[rows]], self.x[nodes])
-            all_s = np.concatenate([sims[alive], s], axis=1)
+            near = near.reshape(len(alive), -1)
+            real = near >= 0
+            node, row = near[real], np.repeat(alive, real.sum(axis=1))
+            place = row * places + (node & (places - 1))
+            new = seen[place] != node
+            node, row, place = node[new], row[new], place[new]
+            seen[place] = node
+            s = self.dots(q, row, node)
+            # strictly better than the worst of the beam, so that ties end the walk; no node twice
+            good = np.flatnonzero(s > floor[row])
+            good = good[(ids[row[good]] != node[good][:, None]).all(axis=1)]
+            good = good[np.unique(row[good] * size + node[good], return_index=True)[1]]
+            if not len(good):
+                continue
+            node, s = node[good], s[good]
+            row, first, many = np.unique(row[good], return_index=True, return_counts=True)
+            at, column = np.repeat(np.arange(len(row)), many), np.arange(len(node)) - np.repeat(first, many)
+            more, more_s = np.full((len(row), many.max()), -1, np.int32), np.full((len(row), many.max()), -3, np.float32)
+            more[at, column], more_s[at, column] = node, s
+            all_s = np.concatenate([sims[row], more_s], axis=1)
             best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            sims[alive] = np.take_along_axis(all_s, best, axis=1)
-            ids[alive] = np.take_along_axis(np.concatenate([ids[alive], near], axis=1), best, axis=1)
-            todo[alive] = np.take_along_axis(np.concatenate([todo[alive], s > -3], axis=1), best, axis=1)
-        return np.where(sims > -3, ids, -1), sims
+            sims[row] = np.take_along_axis(all_s, best, axis=1)
+            ids[row] = np.take_along_axis(np.concatenate([ids[row], more], axis=1), best, axis=1)
+            todo[row] = np.take_along_axis(np.concatenate([todo[row], more >= 0], axis=1), best, axis=1)
+            floor[row] = sims[row].min(axis=1)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -200,13 +222,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 class Shard:
     """The vectors of a shard, their graph, and the groups that links between graph neighbours make."""
 
-    def __init__(self, ids, weights, exact, graph: Graph, root, least: float):
-        self.ids, self.weights, self.exact, self.graph, self.root, self.least, self.beam = ids, weights, exact, graph, root, least, BEAM
+    def __init__(self, ids, weights, vectors, exact, graph: Graph, root, least: float, beam: int = BEAM):
+        self.ids, self.weights, self.vectors, self.exact, self.graph, self.root, self.least, self.beam = ids, weights, vectors, exact, graph, root, least, beam
 
     @classmethod
     def build(cls, ids: np.ndarray, weights: np.ndarray, vectors: np.ndarray, least: float) -> Shard:
         exact = unit(vectors)
-        out = cls(ids, weights, exact, Graph.build(exact), np.arange(len(ids)), least)
+        out = cls(ids, weights, vectors, exact, Graph.build(exact), np.arange(len(ids)), least)
         links = out.graph.layers[-1]
         for i in range(0, len(ids), 4096):
             a, j = np.nonzero(links[i : i + 4096] >= 0)
@@ -215,16 +237,25 @@ class Shard:
         return out
 
     def stored(self) -> bytes:
+        """The vectors as they came, and of each layer the nodes that have links there."""
         f = io.BytesIO()
-        layers = {f"layer{i}": x for i, x in enumerate(self.graph.layers)}
-        np.savez(f, ids=self.ids, weights=self.weights, exact=self.exact, root=self.root, first=self.graph.first, **layers)
+        layers = {}
+        for i, links in enumerate(self.graph.layers):
+            nodes = np.flatnonzero((links >= 0).any(axis=1))
+            layers |= {f"nodes{i}": nodes, f"layer{i}": links[nodes]}
+        np.savez(f, ids=self.ids, weights=self.weights, vectors=self.vectors, root=self.root, first=self.graph.first, beam=self.beam, **layers)
         return f.getvalue()
 
     @classmethod
     def load(cls, data: bytes, least: float) -> Shard:
         with np.load(io.BytesIO(data)) as z:
-            layers = [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))]
-            return cls(z["ids"], z["weights"], z["exact"], Graph(z["exact"].astype(np.float32), layers, int(z["first"])), z["root"], least)
+            vectors, layers = z["vectors"], []
+            for i in range(sum(k.startswith("layer") for k in z.files)):
+                some = z[f"layer{i}"]
+                layers.append(np.full((len(vectors), some.shape[1]), -1, np.int32))
+                layers[-1][z[f"nodes{i}"]] = some
+            exact = unit(vectors)
+            return cls(z["ids"], z["weights"], vectors, exact, Graph(exact.astype(np.float32), layers, int(z["first"])), z["root"], least, int(z["beam"]))
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -281,11 +312,20 @@ class Shard:
                 some = nodes[i : i + 8192]
                 some = some[np.argsort(self.root[some], kind="stable")]
                 s = x @ self.graph.x[some].T
+                near = s >= low - DOUBT
+                if np.count_nonzero(near) * 16 < near.size:
+                    a, j = np.nonzero(near)
+                    hot = s[a, j] >= low + DOUBT
+                    hot[~hot] = self._true(q[a[~hot]], some[j[~hot]])
+                    a, j = a[hot], j[hot]
+                    met.append(some[np.unique(j)])
+                    a, j = a[some[j] != own[a]], j[some[j] != own[a]]
+                    out.append(self._grouped(a, some[j]))
+                    continue
                 hot = s >= low + DOUBT
-                a, j = np.nonzero((s >= low - DOUBT) & ~hot)
+                a, j = np.nonzero(near & ~hot)
                 hot[a, j] = self._true(q[a], some[j])
-                if spread:
-                    met.append(some[hot.any(axis=0)])
+                met.append(some[hot.any(axis=0)])
                 hot &= some != own[:, None]
                 group = self.root[some]
                 first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -300,11 +340,15 @@ class Shard:
             seen[nodes] = True
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
-    def recall(self, q: np.ndarray, own: np.ndarray) -> float:
-        """Mean share of its true links that the walk finds of each query that has any."""
-        count = lambda got: np.bincount(got[0], weights=got[2], minlength=len(q))
-        found, true = count(self.links(q, own, self.beam)), count(self.links(q, own, len(self.ids)))
-        return float((found[true > 0] / true[true > 0]).mean()) if (true > 0).any() else 1.0
+    def _counted(self, q: np.ndarray, own: np.ndarray, beam: int) -> np.ndarray:
+        got = self.links(q, own, beam)
+        return np.bincount(got[0], weights=got[2], minlength=len(q))
+
+    def recall(self, q: np.ndarray, own: np.ndarray, true: np.ndarray | None = None) -> float:
+        """Mean share of its true links (by brute force, unless given) that the walk finds of each query that has any."""
+        true = self._counted(q, own, len(self.ids)) if true is None else true
+        some = true > 0
+        return float((self._counted(q[some], own[some], self.beam) / true[some]).mean()) if some.any() else 1.0
 
     def probes(self) -> np.ndarray:
         """Vectors just inside the threshold from members of the shard: links that an audit must find even where the data have none."""
@@ -317,19 +361,20 @@ class Shard:
         c = min(self.least + 1e-3, 1.0)
         return c * v + np.sqrt(1 - c * c) * unit(side)
 
-    def audit(self, q: np.ndarray, own: np.ndarray) -> float:
-        """Widen the beam until the audit of the probes and of these queries passes; at its widest the search is brute force."""
+    def audit(self, q: np.ndarray, own: np.ndarray, probes: bool = True) -> float:
+        """Widen the beam until the audit of these queries, and of the probes, passes; at its widest the search is brute force."""
+        p = self.probes() if probes else q[:0]
+        asked = [(x, at, self._counted(x, at, len(self.ids))) for x, at in ((p, np.full(len(p), -1)), (q, own)) if len(x)]
         while True:
-            p = self.probes()
-            r = min(self.recall(p, np.full(len(p), -1)), self.recall(q, own))
+            r = min((self.recall(*x) for x in asked), default=1.0)
             if r >= RECALL or 2 * self.beam >= len(self.ids):
                 return r
-            self.beam *= 2
+            self.beam += max(1, self.beam // 2)
 
 
 def _vectors(part: pa.RecordBatch, at: int, where: np.ndarray) -> np.ndarray:
     v = part.column(at).filter(pa.array(where))
-    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(where.sum(), -1)
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(where.sum(), -1)
 
 
 def _built(parts, least: float):
@@ -342,7 +387,9 @@ def _built(parts, least: float):
             weights.append(part.column(2).to_numpy())
             vectors.append(_vectors(part, 3, np.ones(len(part), bool)))
     if ids:
-        data = Shard.build(np.concatenate(ids), np.concatenate(weights), np.concatenate(vectors), least).stored()
+        built = Shard.build(np.concatenate(ids), np.concatenate(weights), np.concatenate(vectors), least)
+        built.audit(vectors[0][:0], ids[0][:0])  # the beam that the probes need is stored with the graph
+        data = built.stored()
         for i, at in enumerate(range(0, len(data), PART)):
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([i], pa.int32()), pa.array([data[at : at + PART]], pa.binary())], ["shard", "part", "data"])
 
@@ -372,7 +419,7 @@ def _searched(parts, least: float, slices: int):
         own = np.where(shard.ids[near] == ids, near, -1)
         if fresh:
             some = np.unique(np.linspace(0, len(ids) - 1, PROBES).astype(int))
-            shard.audit(q[some], own[some])
+            shard.audit(q[some], own[some], probes=False)
             fresh = False
         a, group, n = shard.links(q, own, shard.beam)
         yield told(ids[a], n, shard.ids[group])
@@ -387,14 +434,17 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     Equal vectors make a class, of which one is indexed. Classes are dealt by a hash to shards as large as a task's
     memory allows (FEWEST at least), each shard builds its graph in one task, and the graph is written to the shared
     folder. Then every class is searched in every shard, by slices of the classes: slices and shards go to tasks one to
-    one. So the work is rows times shards, and a walk grows with the logarithm of the shard. n_links counts the other
+    one, two for each core, since a task loads a whole graph. So the work is rows times shards, and a walk costs what its
+    steps do, whatever the shard's size. n_links counts the other
     vectors linked directly, copies under other vec_ids included. Vectors that are null, empty, zero or have null or non-finite components,
     and rows without vec_id, link with nothing (component_id is then vec_id itself); vectors of different lengths link
     with nothing either. A vec_id that repeats with the same vector counts once; its different vectors are vectors of
     their own, linked only if they are near. Other columns are ignored; an empty table gives no rows.
     """
     spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # 32-bit components stay so until a task takes them: half as many bytes to shuffle
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     ok = rows.where(VALID).where("vec_id is not null")
     # a class has a number of its own: one vec_id may have several vectors
     classes = cut(ok.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("n")).withColumn("node", F.monotonically_increasing_id()))
@@ -404,7 +454,8 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     # a row for each length of vectors
     lengths = cut(lengths.withColumn("base", (F.sum("shards").over(W.orderBy("dims")) - F.col("shards")).cast("int")))
     total = lengths.agg(F.sum("shards")).first()[0] or 1
-    slices = max(1, shuffle_partitions(spark) // total)
+    # two rounds of tasks: each loads a whole graph, so more would only copy and audit it more often
+    slices = max(1, min(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism) // total)
     named = classes.join(F.broadcast(lengths), F.size("embedding") == F.col("dims"))
     own = (F.col("base") + F.pmod(F.xxhash64("least", "dims"), F.col("shards"))).cast("int")
     members = named.select(own.alias("shard"), "node", "n", "embedding", "least").repartitionById(total, F.col("shard")).sortWithinPartitions("least", "node").drop("least")
@@ -412,7 +463,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, shard_bytes: int = SHARD_
     task = lambda shard, slice_: (shard * slices + slice_).cast("int").alias("task")
     none = lambda kind: F.lit(None).cast(kind)
     slice_ = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    held = graphs.withColumn("slice", slice_).select(task(F.col("shard"), F.col("slice")), F.lit(0).alias("role"), F.col("part").cast("long").alias("node"), none("long").alias("n"), none("array<double>").alias("embedding"), "data")
+    held = graphs.withColumn("slice", slice_).select(task(F.col("shard"), F.col("slice")), F.lit(0).alias("role"), F.col("part").cast("long").alias("node"), none("long").alias("n"), none(kind).alias("embedding"), "data")
     asked = named.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1))).select(task(F.col("shard"), F.pmod(F.xxhash64("least", F.lit(1)), F.lit(slices))), F.lit(1).alias("role"), "node", "n", "embedding", none("binary").alias("data"))
     stream = held.union(asked).repartitionById(total * slices, F.col("task")).sortWithinPartitions("role", "node").select("task", "role", "node", "n", "embedding", "data")
     found = cut(stream.mapInArrow(lambda parts: _searched(parts, least, slices), "node long, n long, other long"))

@@ -86,3 +86,44 @@ def test_a_vector_of_many_rows_is_dealt_to_many_tasks(spark, monkeypatch):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [1.0, 0.01]), (60, [0.0, 1.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(i, 40, 0, i == 0) for i in range(40)] + [(50, 40, 0, False), (60, 0, 60, True)]
+
+
+def test_a_walk_takes_as_many_queries_at_once_in_a_large_shard(monkeypatch):
+    blocks = []
+    monkeypatch.setattr(hnsw.Graph, "_walk", lambda self, q, *rest: blocks.append(len(q)) or (np.zeros((len(q), 16), np.int32), np.zeros((len(q), 16), np.float32)))
+    for n in (3000, 300_000):
+        blocks.clear()
+        hnsw.Graph(np.ones((n, 2), np.float32), [], 0).walk(np.ones((600, 2), np.float32), np.zeros(600, int), None, 16)
+        assert blocks == [256, 256, 88]
+
+
+def test_a_walk_with_few_places_takes_no_node_twice(monkeypatch):
+    monkeypatch.setattr(hnsw, "VISITED", 1 << 10)
+    v = clustered(np.random.default_rng(4))
+    s = hnsw.Shard.build(np.arange(len(v)), np.ones(len(v), np.int64), v, 0.95)
+    q = hnsw.unit(v)[::10].astype(np.float32)
+    ids, sims = s.graph.walk(q, s.graph.entry(q, s.graph.layers[:-1]), s.graph.layers[-1], 32)
+    assert all(len(set(i[i >= 0])) == (i >= 0).sum() for i in ids)
+    best = np.sort(q @ s.graph.x.T, axis=1)[:, -1]
+    assert (np.abs(sims.max(axis=1) - best) < 1e-5).mean() > 0.98
+
+
+def test_graphs_are_copied_to_tasks_by_cores_not_by_partitions(spark, monkeypatch):
+    tasks, cut = [], hnsw.cut
+    monkeypatch.setattr(hnsw, "cut", lambda d: (tasks.append(d.rdd.getNumPartitions()) if d.columns == ["node", "n", "other"] else None) or cut(d))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(40)]
+        assert hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert tasks == [2 * spark.sparkContext.defaultParallelism]
+
+
+def test_components_of_32_bits_give_what_doubles_give(spark):
+    v = clustered(np.random.default_rng(6), 1500).astype(np.float32)
+    rows = [(i, [float(c) for c in x]) for i, x in enumerate(v)]
+    count, label = brute(v.astype(float))
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links.to_numpy() == count).mean() > 0.999 and (got.component_id.to_numpy() == label).mean() > 0.999
